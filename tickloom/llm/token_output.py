@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import fresh_path, materialize, small_batches, table
 
 END_ID = 0
-#: Entries of a worker's cache of encoded words; it is emptied when full.
+#: Encoded parts of a generation of a worker's cache.
 CACHE_WORDS = 400_000
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -37,55 +38,71 @@ _models: dict = {}
 
 
 def _model(path: str) -> tuple:
-    """The tokenizer and the cache of this worker process."""
+    """The tokenizer of this worker process and its two generations of encoded parts."""
     if path not in _models:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _models[path] = (Tokenizer.from_file(path), {})
+        _models[path] = (Tokenizer.from_file(path), {}, {})
     return _models[path]
 
 
-def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers.
+def _parts(text: str) -> tuple[bool, list[str]]:
+    """The text cut where a byte-level tokenizer of this family always starts a new piece.
 
-    A byte-level tokenizer of this family starts a new piece at every space that stands between two non-spaces, so
-    such parts are encoded once and remembered; a text with other runs of white space is encoded as a whole where
-    a part would begin or end with white space.
+    That is before a space between two non-spaces, and around a line feed between two non-spaces. Where other
+    white space or runs of it occur, cuts are made at those spaces alone that stand between two non-spaces. True: no
+    part but single line feeds has white space beyond its leading space.
     """
-    tokenizer, known = _model(path)
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    split, new = [], {}
-    for text in texts:
-        parts = text.split(" ")
-        parts[1:] = [" " + p for p in parts[1:]]
-        if any(len(p) < 2 or p[1].isspace() or p[-1].isspace() for p in parts[1:]) or parts[0][-1:].isspace():
-            parts = _safe(parts)
-        split.append(parts)
-        for p in parts:
-            if p not in known:
-                new[p] = None
-    words = list(new)
-    for at in range(0, len(words), 4096):
-        batch = words[at : at + 4096]
-        for w, e in zip(batch, tokenizer.encode_batch(batch, add_special_tokens=False)):
-            new[w] = np.array(e.ids, dtype="<u4").tobytes()
-    out = []
-    for parts in split:
-        out.append(b"".join([known.get(p) or new.get(p) or b"" for p in parts]))
-    known.update((w, v) for w, v in new.items() if len(w) <= 64)
-    return out
+    if text.split() == text.replace("\n", " ").split(" "):
+        parts: list[str] = []
+        for line in text.split("\n"):
+            head, *rest = line.split(" ")
+            parts.append(head)
+            parts.extend([" " + w for w in rest])
+            parts.append("\n")
+        del parts[-1]
+        return True, parts
+    parts = []
+    head, *rest = text.split(" ")
+    for p in (head, *[" " + w for w in rest]):
+        if parts and (len(p) < 2 or p[1].isspace() or not parts[-1] or parts[-1][-1].isspace()):
+            parts[-1] += p
+        else:
+            parts.append(p)
+    return False, parts
 
 
-def _safe(parts: list[str]) -> list[str]:
-    """Join neighbours until no boundary touches white space on either side other than its own space."""
-    out: list[str] = []
-    for p in parts:
-        if out and (len(p) < 2 or p[1].isspace() or not out[-1] or out[-1][-1].isspace()):
-            out[-1] += p
-        else:
-            out.append(p)
+def encode_texts(path: str, texts: list[str]) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers; parts met before are not encoded again."""
+    tokenizer, young, old = _model(path)
+    split = [_parts(t) for t in texts]
+    feed = tokenizer.encode("\n", add_special_tokens=False).ids
+    young["\n"] = array("I", feed).tobytes()
+    plain = set().union(*[p for clean, p in split if clean]).difference(young)
+    met = {w: old[w] for w in plain if w in old}
+    new = list(plain.difference(met))
+    lists = [new[at : at + 2048] for at in range(0, len(new), 2048)]
+    # Parts of their own lines are encoded together: a line feed between non-spaces is a piece by itself.
+    for words, e in zip(lists, tokenizer.encode_batch(["\n".join(w) for w in lists], add_special_tokens=False)):
+        ids = np.array(e.ids, dtype="<u4")
+        ends = [*np.flatnonzero(ids == feed[0]).tolist(), len(ids)]
+        if len(feed) != 1 or len(ends) != len(words):
+            raise ValueError("the tokenizer doesn't keep line feeds apart")
+        raw, a = ids.tobytes(), 0
+        for w, z in zip(words, ends):
+            met[w] = raw[4 * a : 4 * z]
+            a = z + 1
+    odd = list(set().union(*[p for clean, p in split if not clean]).difference(young, met))
+    for at in range(0, len(odd), 4096):
+        for w, e in zip(odd[at : at + 4096], tokenizer.encode_batch(odd[at : at + 4096], add_special_tokens=False)):
+            met[w] = array("I", e.ids).tobytes()
+    young.update(met)
+    out = [b"".join(map(young.__getitem__, parts)) for _, parts in split]
+    if len(young) > CACHE_WORDS:  # what isn't met again goes with the next generation
+        old.clear()
+        old.update((w, v) for w, v in young.items() if len(w) <= 64)
+        young.clear()
     return out
 
 
