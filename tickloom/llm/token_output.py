@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import fresh_path, materialize, small_batches, table
 
 END_ID = 0
+MARKS = ".,;:!?&#*%$|"
 #: Encoded parts of a generation of a worker's cache.
 CACHE_WORDS = 400_000
 ORC_OPTIONS = {
@@ -81,7 +82,16 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     young["\n"] = array("I", feed).tobytes()
     plain = set().union(*[p for clean, p in split if clean]).difference(young)
     met = {w: old[w] for w in plain if w in old}
-    new = list(plain.difference(met))
+    unknown = plain.difference(met)
+    # Closing marks after a letter or digit are a piece by themselves, so words are encoded without them.
+    stems = {w: w.rstrip(MARKS) for w in unknown}
+    cut = {w: (x, w[len(x) :]) for w, x in stems.items() if len(x) < len(w) and x[-1:].isalnum()}
+    for x in {*[x for x, _ in cut.values()], *[m for _, m in cut.values()]}.difference(young, met):
+        if x in old:
+            met[x] = old[x]
+        else:
+            unknown.add(x)
+    new = [w for w in unknown if w not in cut]
     lists = [new[at : at + 2048] for at in range(0, len(new), 2048)]
     # Parts of their own lines are encoded together: a line feed between non-spaces is a piece by itself.
     for words, e in zip(lists, tokenizer.encode_batch(["\n".join(w) for w in lists], add_special_tokens=False)):
@@ -93,6 +103,8 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
         for w, z in zip(words, ends):
             met[w] = raw[4 * a : 4 * z]
             a = z + 1
+    for w, (x, m) in cut.items():
+        met[w] = (met.get(x) or young[x]) + (met.get(m) or young[m])
     odd = list(set().union(*[p for clean, p in split if not clean]).difference(young, met))
     for at in range(0, len(odd), 4096):
         for w, e in zip(odd[at : at + 4096], tokenizer.encode_batch(odd[at : at + 4096], add_special_tokens=False)):
