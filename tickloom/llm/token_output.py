@@ -26,9 +26,9 @@ from tickloom.llm.common import fresh_path, materialize, small_batches, table
 END_ID = 0
 MARKS = ".,;:!?&#*%$|"
 #: Encoded parts of a generation of a worker's cache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 ORC_OPTIONS = {
-    "compression": "zstd",
+    "compression": "none",
     "orc.stripe.size": str(32 << 20),
     "orc.row.index.stride": "5000",
     "orc.bloom.filter.columns": "doc_id",
@@ -94,7 +94,7 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     new = [w for w in unknown if w not in cut]
     lists = [new[at : at + 2048] for at in range(0, len(new), 2048)]
     # Parts of their own lines are encoded together: a line feed between non-spaces is a piece by itself.
-    for words, e in zip(lists, tokenizer.encode_batch(["\n".join(w) for w in lists], add_special_tokens=False)):
+    for words, e in zip(lists, tokenizer.encode_batch_fast(["\n".join(w) for w in lists], add_special_tokens=False)):
         ids = np.array(e.ids, dtype="<u4")
         ends = [*np.flatnonzero(ids == feed[0]).tolist(), len(ids)]
         if len(feed) != 1 or len(ends) != len(words):
