@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("ticker").orderBy("idx")
-RUN = BY.rowsBetween(Window.unboundedPreceding, 0)
-ALL = Window.partitionBy("ticker")
+
+def by() -> WindowSpec:
+    """Bars of a ticker in order; made when called, as a window needs a session."""
+    return Window.partitionBy("ticker").orderBy("idx")
+
+
+def run() -> WindowSpec:
+    return by().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("ticker")
 
 
 def half_up(x: Column, digits: int = 6) -> Column:
@@ -18,7 +27,7 @@ def half_up(x: Column, digits: int = 6) -> Column:
 
 def last(n: int, back: int = 0):
     """Frame of n bars ending `back` bars ago; trailing only."""
-    return BY.rowsBetween(-(n - 1) - back, -back)
+    return by().rowsBetween(-(n - 1) - back, -back)
 
 
 def guarded(n: int, x: Column) -> Column:
@@ -37,8 +46,8 @@ def smooth(x: Column, n: int, first: int, alpha: float) -> Column:
     """
     q, seed_at = 1.0 - alpha, first + n - 1
     i = F.col("idx")
-    seed = F.sum(F.when(i.between(first, seed_at), x / n)).over(ALL)
-    tail = F.sum(F.when(i > seed_at, alpha * x * F.pow(F.lit(q), -(i - seed_at)))).over(RUN)
+    seed = F.sum(F.when(i.between(first, seed_at), x / n)).over(whole())
+    tail = F.sum(F.when(i > seed_at, alpha * x * F.pow(F.lit(q), -(i - seed_at)))).over(run())
     return F.when(i >= seed_at, F.pow(F.lit(q), i - seed_at) * (seed + F.coalesce(tail, F.lit(0.0))))
 
 
@@ -52,4 +61,4 @@ def wilder(x: Column, n: int, first: int) -> Column:
 
 def bars_since(event: Column) -> Column:
     """Bars since the last bar with the event, null before the first."""
-    return F.col("idx") - F.last(F.when(event, F.col("idx")), ignorenulls=True).over(RUN)
+    return F.col("idx") - F.last(F.when(event, F.col("idx")), ignorenulls=True).over(run())

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.config import HORIZONS
-from tickloom.functions.exprs import BY, half_up
+from tickloom.functions.exprs import by, half_up
 
 
 def forward_returns(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """ticker, date, days, ret: close `days` bars later against close; rows only where that bar exists."""
-    ahead = bars.select("ticker", "date", *[(F.lead("close", h).over(BY) / F.col("close") - 1).alias(f"r{h}") for h in horizons])
+    ahead = bars.select("ticker", "date", *[(F.lead("close", h).over(by()) / F.col("close") - 1).alias(f"r{h}") for h in horizons])
     cols = [F.struct(F.lit(h).alias("days"), F.col(f"r{h}").alias("ret")) for h in horizons]
     return ahead.select("ticker", "date", F.explode(F.array(*cols)).alias("x")).select("ticker", "date", "x.days", "x.ret").filter("ret IS NOT NULL")
 

@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.config import BREAKOUT_RECENCY, BUFFER, CHASE, FAR, VOL_MULT
-from tickloom.functions.exprs import BY, RUN, bars_since, ema, guarded, last, sma, wilder
+from tickloom.functions.exprs import by, run, bars_since, ema, guarded, last, sma, wilder
 
 
 def indicators(bars: DataFrame) -> DataFrame:
     c, v, h, low, idx = (F.col(x) for x in ("close", "volume", "high", "low", "idx"))
-    pc, ph, pl = F.lag("close").over(BY), F.lag("high").over(BY), F.lag("low").over(BY)
+    pc, ph, pl = F.lag("close").over(by()), F.lag("high").over(by()), F.lag("low").over(by())
     up, down = h - ph, pl - low
     avg = lambda x, n, back=0: F.avg(x).over(last(n, back))
     sd = lambda n, back=0: F.stddev_samp("ret").over(last(n, back))
-    anchor = lambda n: (c / F.lag("close", n - 1).over(BY) - 1) * 100
+    anchor = lambda n: (c / F.lag("close", n - 1).over(by()) - 1) * 100
     f = bars.withColumns(
         {
             "ret": (c - pc) / pc,
@@ -36,7 +36,7 @@ def indicators(bars: DataFrame) -> DataFrame:
             "sim_return": guarded(63, anchor(63)),
             "fast_k": guarded(14, (c - F.min("low").over(last(14))) / F.nullif(F.max("high").over(last(14)) - F.min("low").over(last(14)), F.lit(0.0)) * 100),
             "high63": F.when(idx >= 63, F.max("close").over(last(63, 1))),
-            "ret10": F.when(idx >= 10, (c / F.lag("close", 10).over(BY) - 1) * 100),
+            "ret10": F.when(idx >= 10, (c / F.lag("close", 10).over(by()) - 1) * 100),
             "boll_sd": guarded(20, F.stddev_samp("close").over(last(20))),
         }
     )
@@ -54,11 +54,11 @@ def indicators(bars: DataFrame) -> DataFrame:
             "disparity": (c - F.col("sma20")) / F.nullif(F.col("sma20"), F.lit(0.0)) * 100,
             "volatility": guarded(63, sd(62)),
             "contraction": F.when(idx >= 50, sd(10) / F.nullif(sd(40, 10), F.lit(0.0))),
-            "obv": F.sum(F.coalesce(F.signum("diff").cast("long") * v, F.lit(0).cast("long"))).over(RUN),
+            "obv": F.sum(F.coalesce(F.signum("diff").cast("long") * v, F.lit(0).cast("long"))).over(run()),
             "slow_k": full("fast_k", 3),
             "boll_upper": F.col("sma20") + 2 * F.col("boll_sd"),
             "boll_lower": F.col("sma20") - 2 * F.col("boll_sd"),
-            "breakout": F.coalesce((idx >= 64) & (c > F.col("high63")) & (pc <= F.lag("high63").over(BY)), F.lit(False)),
+            "breakout": F.coalesce((idx >= 64) & (c > F.col("high63")) & (pc <= F.lag("high63").over(by())), F.lit(False)),
         }
     )
     pdi, mdi = F.col("pdm14") / F.col("tr14") * 100, F.col("mdm14") / F.col("tr14") * 100
@@ -71,17 +71,17 @@ def indicators(bars: DataFrame) -> DataFrame:
             "dx": F.when(idx >= 14, dx),
             "slow_d": full("slow_k", 3),
             "since_breakout": bars_since(F.col("breakout")),
-            "last_high": F.last(F.when(F.col("breakout"), F.col("high63")), ignorenulls=True).over(RUN),
-            "breakout_volume_ok": F.last(F.when(F.col("breakout"), F.coalesce(v >= VOL_MULT * F.col("vsma50"), F.lit(False))), ignorenulls=True).over(RUN),
-            "segment": F.sum(F.col("breakout").cast("long")).over(RUN),
+            "last_high": F.last(F.when(F.col("breakout"), F.col("high63")), ignorenulls=True).over(run()),
+            "breakout_volume_ok": F.last(F.when(F.col("breakout"), F.coalesce(v >= VOL_MULT * F.col("vsma50"), F.lit(False))), ignorenulls=True).over(run()),
+            "segment": F.sum(F.col("breakout").cast("long")).over(run()),
         }
     )
-    prev_m, prev_s = F.lag("macd_line").over(BY), F.lag("signal_line").over(BY)
+    prev_m, prev_s = F.lag("macd_line").over(by()), F.lag("signal_line").over(by())
     return f.withColumns(
         {
             "adx14": F.when(idx >= 28, wilder(F.col("dx"), 14, 14)),
             "since_cross": bars_since(F.coalesce((prev_m <= prev_s) & (F.col("macd_line") > F.col("signal_line")), F.lit(False))),
-            "since_dead_cross": bars_since(F.coalesce((F.lag("ema26").over(BY) <= F.lag("ema12").over(BY)) & (F.col("ema26") > F.col("ema12")), F.lit(False))),
+            "since_dead_cross": bars_since(F.coalesce((F.lag("ema26").over(by()) <= F.lag("ema12").over(by())) & (F.col("ema26") > F.col("ema12")), F.lit(False))),
         }
     )
 

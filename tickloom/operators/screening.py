@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.config import BUFFER_BARS, DOWN_ENTER, DOWN_EXIT, MAX_RESULTS, MIN_BARS, MIN_RESULTS, STEP, UP_ENTER, UP_EXIT, WARMUP, YEAR, Preset
-from tickloom.functions.exprs import BY, half_up
+from tickloom.functions.exprs import by, half_up
 
 
 def trading_calendar(bars: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def evaluation_dates(calendar: DataFrame, warmup: int = WARMUP, buffer: int = BU
 
 def snapshots(f: DataFrame, dates: DataFrame) -> DataFrame:
     """The last bar of every ticker at or before each date: an equi-join on the dates that each bar is current."""
-    until = f.withColumn("_next", F.lead("date").over(BY))
+    until = f.withColumn("_next", F.lead("date").over(by()))
     # dates are one row a grid day: a few thousand at most, so the range join runs against a broadcast list
     return until.join(F.broadcast(dates), (F.col("eval_date") >= F.col("date")) & (F.col("_next").isNull() | (F.col("eval_date") < F.col("_next")))).drop("_next")
 

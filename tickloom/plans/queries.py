@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.config import PRESETS
-from tickloom.functions.exprs import BY, half_up
+from tickloom.functions.exprs import by, half_up
 from tickloom.operators import backtest, screening
 from tickloom.operators.indicators import entry_state, exit_signals, indicators
 from tickloom.sources.bars import bars, quarters
@@ -64,7 +64,7 @@ def _exit_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    return indicators(bars(spark, d)).withColumn("sma200_prior", F.lag("sma200", 22).over(BY))
+    return indicators(bars(spark, d)).withColumn("sma200_prior", F.lag("sma200", 22).over(by()))
 
 
 def _snapshot(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +74,7 @@ def _snapshot(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _regimes(spark: SparkSession, d: str) -> DataFrame:
-    f = bars(spark, d).withColumn("sma200", F.when(F.col("idx") >= 199, F.avg("close").over(BY.rowsBetween(-199, 0))))
+    f = bars(spark, d).withColumn("sma200", F.when(F.col("idx") >= 199, F.avg("close").over(by().rowsBetween(-199, 0))))
     return screening.regimes(screening.breadth(f, screening.trading_calendar(f)))
 
 
