@@ -25,3 +25,5 @@ HORIZONS = (5, 20, 60, 90, 120)
 UP_ENTER, UP_EXIT, DOWN_ENTER, DOWN_EXIT = 0.65, 0.55, 0.40, 0.50
 PIVOT_LOOKBACK, BREAKOUT_RECENCY = 63, 21
 BUFFER, CHASE, FAR, STOP, ATR_STOP, VOL_MULT = 0.003, 0.05, 0.10, 0.08, 2.5, 1.5
+DEPTH_MIN, DEPTH_MAX, RESUME_BARS, RESUME_WINDOW, TRIGGER_WINDOW = 10.0, 25.0, 10, 30, 21
+PULLBACK_STOP, PIVOT_STOP, TRAIL, HOLD = 0.98, 0.97, 0.15, 60

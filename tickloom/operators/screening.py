@@ -93,8 +93,8 @@ def trend_score(leading: Column) -> Column:
     return half_up(part("disparity", 15, 60) + part("vol_trend", 50, 30) + F.when(leading, 10).otherwise(0), 1)
 
 
-def trend_recommend(s: DataFrame, preset: Preset) -> DataFrame:
-    """Up to ten tickers a date: the first relaxation level with five passers, then high scores without a signal."""
+def trend_stage1(s: DataFrame, preset: Preset) -> DataFrame:
+    """Sufficient tickers with score, level (the first relaxation level with five passers) and signal."""
     sectors = sector_returns(s).filter("leading").select("eval_date", "sector", F.lit(True).alias("leading"))
     s = s.filter("sufficient").join(sectors, ["eval_date", "sector"], "left").withColumn("score", trend_score(F.coalesce("leading", F.lit(False))))
     base = (F.col("rsi14") >= preset.rsi_min) & (F.col("macd_line") > 0)
@@ -103,9 +103,13 @@ def trend_recommend(s: DataFrame, preset: Preset) -> DataFrame:
     day = Window.partitionBy("eval_date")
     n = lambda c: F.sum(F.col(c).cast("int")).over(day)
     s = s.withColumn("level", F.when(n("p0") >= MIN_RESULTS, "strict").when(n("p1") >= MIN_RESULTS, "relaxed10d").otherwise("rsiMacdOnly"))
-    s = s.withColumn("signal", F.when(F.col("level") == "strict", F.col("p0")).when(F.col("level") == "relaxed10d", F.col("p1")).otherwise(F.col("p2")))
-    s = s.filter(F.col("signal") | (F.col("score") >= preset.high_score))
-    rank = F.row_number().over(day.orderBy(F.desc("score"), F.desc("signal"), "pos"))
+    return s.withColumn("signal", F.when(F.col("level") == "strict", F.col("p0")).when(F.col("level") == "relaxed10d", F.col("p1")).otherwise(F.col("p2")))
+
+
+def trend_recommend(s: DataFrame, preset: Preset) -> DataFrame:
+    """Up to ten tickers a date: passers of the date's level, then high scores without a signal."""
+    s = trend_stage1(s, preset).filter(F.col("signal") | (F.col("score") >= preset.high_score))
+    rank = F.row_number().over(Window.partitionBy("eval_date").orderBy(F.desc("score"), F.desc("signal"), "pos"))
     return s.withColumn("rank", rank).filter(F.col("rank") <= MAX_RESULTS).select("eval_date", "ticker", "sector", "pos", "score", "signal", "level", "rank")
 
 

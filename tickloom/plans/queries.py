@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tickloom.config import PRESETS
 from tickloom.functions.exprs import by, half_up
-from tickloom.operators import backtest, screening
+from tickloom.operators import backtest, pullback, screening
 from tickloom.operators.indicators import entry_state, exit_signals, indicators
 from tickloom.sources.bars import bars, quarters
+from tickloom.sources.stage import staged
 
 QUERY = Callable[[SparkSession, str], DataFrame]
 
@@ -64,24 +65,33 @@ def _exit_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    return indicators(bars(spark, d)).withColumn("sma200_prior", F.lag("sma200", 22).over(by()))
+    """Bars with all that screening, fills and exits look at; computed once a session."""
+
+    def make() -> DataFrame:
+        f = pullback.pullbacks(entry_state(exit_signals(indicators(bars(spark, d)))))
+        averages = F.when(F.col("idx") >= 19, F.avg("obv").over(by().rowsBetween(-19, 0)))
+        return f.withColumns({"sma200_prior": F.lag("sma200", 22).over(by()), "obv20": averages})
+
+    return staged(spark, d, "features", make)
 
 
 def _snapshot(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     f = _features(spark, d)
-    calendar = screening.trading_calendar(bars(spark, d))
-    return f, screening.with_template(screening.snapshots(f, screening.evaluation_dates(calendar)))
+    dates = screening.evaluation_dates(screening.trading_calendar(f))
+    return f, staged(spark, d, "snapshot", lambda: screening.with_template(screening.snapshots(f, dates)))
 
 
 def _regimes(spark: SparkSession, d: str) -> DataFrame:
-    f = bars(spark, d).withColumn("sma200", F.when(F.col("idx") >= 199, F.avg("close").over(by().rowsBetween(-199, 0))))
-    return screening.regimes(screening.breadth(f, screening.trading_calendar(f)))
+    f = _features(spark, d)
+    return staged(spark, d, "regimes", lambda: screening.regimes(screening.breadth(f, screening.trading_calendar(f))))
 
 
-def _lists(spark: SparkSession, d: str, preset: str = "default") -> tuple[DataFrame, DataFrame]:
+def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The gated trend and template lists."""
     _, s = _snapshot(spark, d)
     r = _regimes(spark, d)
-    return screening.gate(screening.trend_recommend(s, PRESETS[preset]), r), screening.gate(screening.template_recommend(s), r)
+    trend = staged(spark, d, "trend", lambda: screening.gate(screening.trend_recommend(s, PRESETS["default"]), r))
+    return trend, staged(spark, d, "template", lambda: screening.gate(screening.template_recommend(s), r))
 
 
 def _trend(preset: str) -> QUERY:
@@ -104,26 +114,26 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _strategy_table(spark: SparkSession, d: str) -> DataFrame:
-    forward = backtest.forward_returns(bars(spark, d))
+    forward = backtest.forward_returns(_features(spark, d))
     s = _signals(spark, d).withColumn("basis", F.explode(F.when(F.col("rank") <= 5, F.array(F.lit("allSignals"), F.lit("top5"))).otherwise(F.array(F.lit("allSignals")))))
     return backtest.summarize(backtest.performance(s, forward, backtest.benchmark(forward)), ["strategy", "basis", "days"])
 
 
 def _regime_axis(spark: SparkSession, d: str) -> DataFrame:
-    forward = backtest.forward_returns(bars(spark, d))
+    forward = backtest.forward_returns(_features(spark, d))
     perf = backtest.performance(_signals(spark, d), forward, backtest.benchmark(forward))
     at = _regimes(spark, d).select(F.col("date").alias("eval_date"), "regime").filter("regime IS NOT NULL")
     return backtest.summarize(perf.join(F.broadcast(at), "eval_date"), ["strategy", "regime", "days"])
 
 
 def _benchmark(spark: SparkSession, d: str) -> DataFrame:
-    b = backtest.benchmark(backtest.forward_returns(bars(spark, d)))
+    b = backtest.benchmark(backtest.forward_returns(_features(spark, d)))
     return b.select("date", "days", half_up(F.col("bench")).alias("bench"))
 
 
 def _drawdown(spark: SparkSession, d: str) -> DataFrame:
     trend = screening.trend_recommend(_snapshot(spark, d)[1], PRESETS["default"])
-    return backtest.drawdowns(bars(spark, d), trend).select("eval_date", "ticker", "days", half_up(F.col("mdd")).alias("mdd"))
+    return backtest.drawdowns(_features(spark, d), trend).select("eval_date", "ticker", "days", half_up(F.col("mdd")).alias("mdd"))
 
 
 def _hurdle(spark: SparkSession, d: str) -> DataFrame:
