@@ -1,8 +1,7 @@
 import pytest
 from compare import oracle, rows
 
-from tickloom.plans.oracle import SQL
-from tickloom.plans.queries import QUERIES
+from tickloom.plans.catalogue import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 

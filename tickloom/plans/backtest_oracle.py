@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from tickloom.config import HORIZONS
-from tickloom.plans.oracle import _ALL, _CROSS, _DAILY, BARS, EXITS, FORWARD, QUARTERS, SQL as BASE, STATE, _r, _sql, _trend
 from tickloom.plans.backtest_queries import COMBOS
+from tickloom.plans.oracle import _ALL, _CROSS, _DAILY, BARS, EXITS, FORWARD, QUARTERS, STATE, _r, _sql, _trend
+from tickloom.plans.oracle import SQL as BASE
 
 _T = "PARTITION BY ticker ORDER BY idx"
 _K = "PARTITION BY eval_date, ticker"
@@ -17,7 +18,7 @@ pb0 AS (SELECT f.*, state, ex.x1, ex.x4, CASE WHEN f.idx >= 63 THEN
 cum AS (SELECT ticker, idx, SUM(volume) OVER ({_T}) AS cv FROM bars),
 pb AS (SELECT p.*, -(p.close - p.pvt) / p.pvt * 100 AS depth, COALESCE(p.close > p.sma200, FALSE) AS p3,
          COALESCE(2 * p.peak_idx - p.idx >= 0 AND c.cv - k.cv < k1.cv - COALESCE(r1.cv, 0), FALSE) AS p4,
-         CASE WHEN p.pvt IS NOT NULL THEN (SELECT MIN(b.close) FROM bars b WHERE b.ticker = p.ticker AND b.idx BETWEEN p.peak_idx + 1 AND p.idx) END AS low,
+         CASE WHEN p.pvt IS NOT NULL THEN (SELECT MIN(b.close) FROM bars b WHERE b.ticker = p.ticker AND b.idx BETWEEN p.peak_idx + 1 AND p.idx) END AS low_since,
          MAX(p.close) OVER (PARTITION BY p.ticker ORDER BY p.idx ROWS 9 PRECEDING) AS resume
        FROM pb0 p LEFT JOIN cum c ON c.ticker = p.ticker AND c.idx = p.idx LEFT JOIN cum k ON k.ticker = p.ticker AND k.idx = p.peak_idx
        LEFT JOIN cum k1 ON k1.ticker = p.ticker AND k1.idx = p.peak_idx - 1 LEFT JOIN cum r1 ON r1.ticker = p.ticker AND r1.idx = 2 * p.peak_idx - p.idx - 1)
@@ -74,7 +75,7 @@ def _walk(entry: str, tag: str = "") -> str:
     """fl: fills; wk: one row a position and bar ahead."""
     return f"""
 fl{tag} AS MATERIALIZED ({FILLS[entry]}),
-wk{tag} AS (SELECT g.eval_date, g.ticker, g.rank, g.sample, g.regime, g.price, e.date AS fill_date, e.atr14 AS atr0, e.pvt AS pvt0, e.low AS low0, a.idx - g.fill_idx AS k, a.close AS c, a.x1, a.x4,
+wk{tag} AS (SELECT g.eval_date, g.ticker, g.rank, g.sample, g.regime, g.price, e.date AS fill_date, e.atr14 AS atr0, e.pvt AS pvt0, e.low_since AS low0, a.idx - g.fill_idx AS k, a.close AS c, a.x1, a.x4,
    COALESCE(r.regime = 'down' AND r.transition_date = r.date, FALSE) AS flip,
    MAX(a.close) OVER (PARTITION BY g.eval_date, g.ticker ORDER BY a.idx) AS top, GREATEST(price, MAX(CASE WHEN a.idx > g.fill_idx THEN a.close END) OVER (PARTITION BY g.eval_date, g.ticker ORDER BY a.idx)) AS peak
   FROM fl{tag} g JOIN pb e ON e.ticker = g.ticker AND e.idx = g.fill_idx JOIN pb a ON a.ticker = g.ticker AND a.idx BETWEEN g.fill_idx AND g.fill_idx + 120 LEFT JOIN reg r ON r.date = a.date),
@@ -196,7 +197,7 @@ SQL: dict[str, str] = {
         f"""SELECT eval_date, ticker, hit IS NOT NULL AS triggered, held, {_r('ret')} AS ret, {_r('ret - bench')} AS excess, {_r('mdd')} AS mdd FROM (
         SELECT eval_date, ticker, SUM(weight * ret) AS ret, SUM(weight * bench) AS bench, SUM(weight * days) AS held FROM {_measured('SELECT * FROM lg')} GROUP BY ALL) JOIN cl USING (eval_date, ticker) JOIN fall USING (eval_date, ticker)""",
     ),
-    "pullback_checks": _sql(_SIG, f"SELECT ticker, idx, peak_idx, depth BETWEEN 10 AND 25 AS p2, p3, p4, {_r('depth')} AS depth_pct, {_r('low')} AS pullback_low, {_r('resume')} AS resume_trigger FROM pb WHERE pvt IS NOT NULL"),
+    "pullback_checks": _sql(_SIG, f"SELECT ticker, idx, peak_idx, depth BETWEEN 10 AND 25 AS p2, p3, p4, {_r('depth')} AS depth_pct, {_r('low_since')} AS pullback_low, {_r('resume')} AS resume_trigger FROM pb WHERE pvt IS NOT NULL"),
     "pullback_funnel": _sql(_SIG, f"SELECT sample, basis, regime, COUNT(*) AS signals, COUNT(*) FILTER (WHERE pvt IS NULL) AS insufficient, {_FUNNEL} FROM (SELECT *, {_BASIS} FROM sg WHERE regime IS NOT NULL) GROUP BY ALL"),
     "pullback_axis": _pullback_axis(),
     "signal_performance": _sql(_PERF, f"SELECT eval_date, ticker, strategy, days, sample, regime, {_r('ret')} AS ret, {_r('excess')} AS excess FROM pr"),
