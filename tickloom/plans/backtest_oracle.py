@@ -28,7 +28,7 @@ RECORDS = f"""
 rec AS MATERIALIZED (SELECT t.eval_date, t.ticker, CAST(ROW_NUMBER() OVER (PARTITION BY t.eval_date ORDER BY t.rank) AS INT) AS rank, t.level <> 'strict' AS relaxed, t.regime, COALESCE(s.n_passed = 8, FALSE) AS p1,
    CASE WHEN t.eval_date >= split THEN 'out' ELSE 'in' END AS sample
   FROM tg t JOIN s USING (eval_date, ticker) CROSS JOIN sp WHERE t.signal),
-sg AS (SELECT rec.*, p.idx AS pos_at, p.close, p.pvt, p.pvt * (1 + 0.003::DOUBLE) AS trig, p.resume, p.depth BETWEEN 10 AND 25 AS p2, p.p3, p.p4 FROM rec JOIN pb p ON p.ticker = rec.ticker AND p.date = rec.eval_date)
+sg AS MATERIALIZED (SELECT rec.*, p.idx AS pos_at, p.close, p.pvt, p.pvt * (1 + 0.003::DOUBLE) AS trig, p.resume, p.depth BETWEEN 10 AND 25 AS p2, p.p3, p.p4 FROM rec JOIN pb p ON p.ticker = rec.ticker AND p.date = rec.eval_date)
 """
 _SIG = [*_ALL, STATE, EXITS, PULLBACK.replace("pb0 AS (", "pb0 AS MATERIALIZED (").replace("\npb AS (", "\npb AS MATERIALIZED ("), SPLIT, RECORDS]
 
@@ -78,7 +78,7 @@ fl{tag} AS MATERIALIZED ({FILLS[entry]}),
 wk{tag} AS (SELECT g.eval_date, g.ticker, g.rank, g.sample, g.regime, g.price, e.date AS fill_date, e.atr14 AS atr0, e.pvt AS pvt0, e.low_since AS low0, a.idx - g.fill_idx AS k, a.close AS c, a.x1, a.x4,
    COALESCE(r.regime = 'down' AND r.transition_date = r.date, FALSE) AS flip,
    MAX(a.close) OVER (PARTITION BY g.eval_date, g.ticker ORDER BY a.idx) AS top, GREATEST(price, MAX(CASE WHEN a.idx > g.fill_idx THEN a.close END) OVER (PARTITION BY g.eval_date, g.ticker ORDER BY a.idx)) AS peak
-  FROM fl{tag} g JOIN pb e ON e.ticker = g.ticker AND e.idx = g.fill_idx JOIN pb a ON a.ticker = g.ticker AND a.idx BETWEEN g.fill_idx AND g.fill_idx + 120 LEFT JOIN reg r ON r.date = a.date),
+  FROM fl{tag} g JOIN pb e ON e.ticker = g.ticker AND e.idx = g.fill_idx CROSS JOIN (SELECT UNNEST(RANGE(0, 121)) AS step) ks JOIN pb a ON a.ticker = g.ticker AND a.idx = g.fill_idx + ks.step LEFT JOIN reg r ON r.date = a.date),
 wd{tag} AS MATERIALIZED (SELECT *, MAX((top - c) / top) OVER ({_K} ORDER BY k) AS dd FROM wk{tag})
 """
 
