@@ -208,7 +208,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """docs without near-copies: the row of least doc_id (then text) of each component stays; columns as they are."""
-    found = materialize(near_duplicates(docs).select("doc_id", "text_hash", "root"), "near-duplicates")
+    return first_of_each(docs, materialize(near_duplicates(docs).select("doc_id", "text_hash", "root"), "near-duplicates"))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of least doc_id (then text) of each root stays. found: doc_id, text_hash, root of every row of docs."""
     best = found.filter("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("b"))
     stay = F.struct("doc_id", "text_hash") == F.col("b")
     light = found.join(best, "root").select("doc_id", F.col("text_hash").alias("_tl_h"), stay.alias("stay"))
