@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontamination, language, mixing, sharding, simhash
+from tickloom.llm import decontamination, language, mixing, near_copies, sharding
 from tickloom.llm.common import fresh_path, table
 
 
@@ -24,7 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each_group(docs)
+    """One document of each class of similar texts: SimHash candidates, verified on five-word shingles at 0.8."""
+    return near_copies.one_of_each_group(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
