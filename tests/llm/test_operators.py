@@ -194,6 +194,18 @@ def test_quality_rejects_far_documents(spark, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_quality_rejects_duplicated_lines(spark):
+    rng = random.Random(8)
+    line = lambda: sentence(rng, "en", rng.randint(8, 14))
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(4, 30))), "en", "s0", 0, "x", 1, 2) for i in range(400)]
+    rows += [(i, "\n".join([*(line() for _ in range(12)), "read on", line(), "read on"]), "en", "s0", 0, "x", 1, 2) for i in range(400, 410)]
+    rows += [(900 + k, "\n".join(x for _ in range(k) for x in (line(), "read on")), "en", "s0", 0, "x", 1, 2) for k in (8, 12, 25)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(got[900 + k]["base_failed"] or got[900 + k]["kept"] for k in (8, 12, 25))
+    assert all(got[i]["kept"] for i in range(400, 410))  # one line twice is within what a document can resolve
+    assert sum(got[i]["kept"] for i in range(400)) >= 396
+
+
 def test_mixing_meets_the_margins(docs, empty):
     got = mixing.mix(docs)
     assert got.count() == docs.count() and mixing.mix(empty).count() == 0

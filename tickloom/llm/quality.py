@@ -3,9 +3,15 @@
 Text statistics of every whole document are computed once and kept in the shared folder. The minimum-covariance-
 determinant estimate is then found for each language and source over all its documents: from medians as a start,
 concentration steps repeat "distances to the estimate, smallest H of them, their mean and covariance". Distances
-are counted in fine logarithmic bins, so a step is an aggregation and never gathers a group. A document whose
+are counted in fine logarithmic bins, so a step is an aggregation and never gathers a group. A last step takes the
+mean and covariance of all documents within the 97.5 % distance of that estimate (reweighting). A document whose
 transformed statistics lie beyond the cut by squared Mahalanobis distance is rejected.
 
+The group's own deviations and correlations decide. Most documents of a group have no symbols or duplicated lines, and
+a deviation of zero would reject the first one, so a deviation counts as no less than what the statistic of a document
+of that length can resolve: half a unit of a root of counts (a symbol, a line, a repeat of five words, which covers
+ten), and the sampling error of a mean word length.
+
 Groups of fewer than MIN_GROUP documents use their language's estimate, and then that of all documents; below
 MIN_GROUP documents altogether nothing is rejected by distance.
 
@@ -28,11 +34,12 @@ from tickloom.llm.common import materialize, small_batches, table
 
 #: Share of a group that the estimate rests on, concentration steps, and least documents of a group.
 H, STEPS, MIN_GROUP = 0.75, 4, 200
-#: Least standard deviations of the five transformed statistics: smaller spreads are taken as these.
-FLOORS = (0.8, 0.15, 0.08, 0.3, 0.3)
-#: Fixed values for five dimensions: what makes the covariance of the nearest 75 % consistent; chi-square at 0.999.
-CONSISTENCY, CUT = 1.41, 20.515
-DIMS = len(FLOORS)
+#: Fixed values for five dimensions: what makes the covariances of the nearest 75 and 97.5 % consistent; chi-square at
+#: 0.975 and 0.999.
+CONSISTENCY, REWEIGHTED, NEAR, CUT = 1.41, 1.055, 12.833, 20.515
+#: Deviations below this are not resolved by a document of any length; weight of the unit matrix in correlations.
+RESOLUTION, RIDGE = 0.02, 0.01
+DIMS = 5
 _WORD, _SYMBOL = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[#*$%&|<>]")
 STATS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
@@ -76,26 +83,40 @@ def _features() -> list[Column]:
     ]
 
 
-def _estimates(moments: DataFrame) -> DataFrame:
-    """Mean and inverse covariance of each group from its sums: n, s (5), ss (25)."""
-    small_batches(moments.sparkSession)
+def _resolutions() -> list[Column]:
+    """Least deviation of each feature in a document of its length."""
+    half = lambda n, unit=1: F.sqrt(F.lit(0.25 * unit) / F.greatest(F.col(n), F.lit(1)))
+    own = [F.lit(RESOLUTION), half("n_words"), half("word_chars"), half("n_lines"), half("n_words", 10)]
+    return [F.greatest(r, F.lit(RESOLUTION)) for r in own]
+
+
+def _estimates(near: DataFrame, consistency: float) -> DataFrame:
+    """Mean, deviations and inverse correlations of each group of near (g, x)."""
+    small_batches(near.sparkSession)
+    pairs = [(i, j) for i in range(DIMS) for j in range(DIMS)]
+    sums = near.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(DIMS)], *[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"q{i}_{j}") for i, j in pairs if i <= j])
+    packed = sums.select("g", "n", F.array(*[F.col(f"s{i}") for i in range(DIMS)]).alias("s"), F.array(*[F.col(f"q{min(i, j)}_{max(i, j)}") for i, j in pairs]).alias("ss"))
 
     def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floor = np.diag(np.square(FLOORS))
         for b in batches:
-            mu, inv = [], []
+            mu, dev, inv = [], [], []
             for n, s, ss in zip(b["n"], b["s"], b["ss"]):
                 m = np.array(s) / n
-                cov = CONSISTENCY * (np.array(ss).reshape(DIMS, DIMS) / n - np.outer(m, m))
+                cov = consistency * (np.array(ss).reshape(DIMS, DIMS) / n - np.outer(m, m))
+                d = np.sqrt(np.maximum(np.diag(cov), 0))
+                spread = np.where(d > 1e-6, d, np.inf)  # a constant statistic correlates with none
+                corr = cov / np.outer(spread, spread)
+                np.fill_diagonal(corr, 1)
                 mu.append(m.tolist())
-                inv.append(np.linalg.inv(cov + floor).ravel().tolist())
-            yield pd.DataFrame({"g": b["g"], "mu": mu, "inv": inv})
+                dev.append(d.tolist())
+                inv.append(np.linalg.inv((1 - RIDGE) * corr + RIDGE * np.eye(DIMS)).ravel().tolist())
+            yield pd.DataFrame({"g": b["g"], "mu": mu, "dev": dev, "inv": inv})
 
-    return moments.mapInPandas(invert, "g string, mu array<double>, inv array<double>")
+    return packed.mapInPandas(invert, "g string, mu array<double>, dev array<double>, inv array<double>")
 
 
 def _distance() -> Column:
-    d = [F.col("x")[i] - F.col("mu")[i] for i in range(DIMS)]
+    d = [(F.col("x")[i] - F.col("mu")[i]) / F.greatest(F.col("dev")[i], F.col("least")[i]) for i in range(DIMS)]
     total = F.lit(0.0)
     for i in range(DIMS):
         total = total + d[i] * d[i] * F.col("inv")[i * DIMS + i]
@@ -105,12 +126,12 @@ def _distance() -> Column:
 
 
 def mcd(rows: DataFrame) -> DataFrame:
-    """Estimates by group. rows: g string, x array of DIMS doubles."""
-    start = rows.groupBy("g").agg(*[F.percentile_approx(F.col("x")[i], 0.5, 1_000).alias(f"m{i}") for i in range(DIMS)])
-    inverse = F.array(*[F.lit(1 / FLOORS[i] ** 2 if i == j else 0.0) for i in range(DIMS) for j in range(DIMS)])
-    now = materialize(start.select("g", F.array(*[F.col(f"m{i}") for i in range(DIMS)]).alias("mu"), inverse.alias("inv")), "mcd")
+    """Estimates by group. rows: g string, x and least arrays of DIMS doubles."""
+    quartiles = rows.groupBy("g").agg(*[F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 1_000).alias(f"m{i}") for i in range(DIMS)])
+    spread = [(F.col(f"m{i}")[2] - F.col(f"m{i}")[0]) / 1.349 for i in range(DIMS)]
+    unit = F.array(*[F.lit(float(i == j)) for i in range(DIMS) for j in range(DIMS)])
+    now = materialize(quartiles.select("g", F.array(*[F.col(f"m{i}")[1] for i in range(DIMS)]).alias("mu"), F.array(*spread).alias("dev"), unit.alias("inv")), "mcd")
     bin_of = F.floor(F.log2(_distance() + 1e-6) * 32).cast("int")
-    upper = [(i, j) for i in range(DIMS) for j in range(DIMS)]
     for _ in range(STEPS):
         far = rows.join(now, "g").select("g", "x", bin_of.alias("bin"))
         bins = far.groupBy("g", "bin").count().groupBy("g").agg(F.array_sort(F.collect_list(F.struct("bin", "count"))).alias("bins"), F.sum("count").alias("n"))
@@ -123,11 +144,8 @@ def mcd(rows: DataFrame) -> DataFrame:
             ),
         )
         cut = bins.select("g", walk["cut"].alias("cut"))
-        near = far.join(cut, "g").filter("bin <= cut")
-        sums = near.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(DIMS)], *[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"q{i}_{j}") for i, j in upper if i <= j])
-        packed = sums.select("g", "n", F.array(*[F.col(f"s{i}") for i in range(DIMS)]).alias("s"), F.array(*[F.col(f"q{min(i, j)}_{max(i, j)}") for i, j in upper]).alias("ss"))
-        now = materialize(_estimates(packed), "mcd")
-    return now
+        now = materialize(_estimates(far.join(cut, "g").filter("bin <= cut"), CONSISTENCY), "mcd")
+    return materialize(_estimates(rows.join(now, "g").filter(_distance() <= NEAR).select("g", "x"), REWEIGHTED), "mcd")
 
 
 def judge(docs: DataFrame, cut: float = CUT, min_group: int = MIN_GROUP) -> DataFrame:
@@ -135,15 +153,16 @@ def judge(docs: DataFrame, cut: float = CUT, min_group: int = MIN_GROUP) -> Data
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = materialize(text_statistics(docs).withColumn("base_failed", base), "quality")
     name = lambda *c: F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("null")) for x in c])
-    fit = stats.filter(~base).select(name("lang").alias("l"), name("lang", "source").alias("ls"), F.array(*_features()).alias("x"))
-    levels = fit.select(F.explode(F.array(F.lit("all"), F.concat(F.lit("l:"), "l"), F.concat(F.lit("s:"), "ls"))).alias("g"), "x")
+    fit = stats.filter(~base).select(name("lang").alias("l"), name("lang", "source").alias("ls"), F.array(*_features()).alias("x"), F.array(*_resolutions()).alias("least"))
+    levels = fit.select(F.explode(F.array(F.lit("all"), F.concat(F.lit("l:"), "l"), F.concat(F.lit("s:"), "ls"))).alias("g"), "x", "least")
     sizes = levels.groupBy("g").count().filter(F.col("count") >= min_group).select("g")
     known = mcd(levels.join(sizes, "g", "left_semi"))
-    by = lambda tag: known.select(F.col("g").alias(f"g_{tag}"), F.struct("mu", "inv").alias(f"e_{tag}"))
+    by = lambda tag: known.select(F.col("g").alias(f"g_{tag}"), F.struct("mu", "dev", "inv").alias(f"e_{tag}"))
     out = stats.withColumn("g_s", F.concat(F.lit("s:"), name("lang", "source"))).withColumn("g_l", F.concat(F.lit("l:"), name("lang"))).withColumn("g_a", F.lit("all"))
     for tag in ("s", "l", "a"):
         out = out.join(by(tag), f"g_{tag}", "left")
-    out = out.withColumn("e", F.coalesce("e_s", "e_l", "e_a")).withColumn("x", F.array(*_features())).withColumn("mu", F.col("e.mu")).withColumn("inv", F.col("e.inv"))
+    out = out.withColumn("e", F.coalesce("e_s", "e_l", "e_a")).withColumn("x", F.array(*_features())).withColumn("least", F.array(*_resolutions()))
+    out = out.select("*", "e.mu", "e.dev", "e.inv")
     out = out.withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
     return out.select("doc_id", "lang", "source", *[x.split()[0] for x in STATS.split(", ")], "base_failed", "distance2", (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cut)).alias("kept"))
 
