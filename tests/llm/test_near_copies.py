@@ -66,3 +66,14 @@ def test_some_group_of_shingles_is_untouched():
             h = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
             gone = rng.choice(n, int(n * (1 - near_copies.SIMILARITY)), replace=False)  # a subset at exactly 0.8
             assert set(near_copies.group_keys(h)) & set(near_copies.group_keys(np.delete(h, gone)))
+
+
+def test_similar_short_texts_share_a_key():
+    rng = np.random.default_rng(6)
+    for n in (*range(4, 21), 26, 32, 33, 40):
+        sizes = [(m, both) for m in range(n, n * 5 // 4 + 1) for both in range(1, n + 1) if 9 * both >= 4 * (n + m)]
+        for k in range(1_000):
+            m, both = sizes[k % len(sizes)]
+            h = rng.permutation(np.unique(rng.integers(0, 1 << 63, n + m + 5, dtype=np.uint64)))
+            a, b = np.sort(h[:n]), np.sort(h[n - both : n - both + m])
+            assert set(near_copies.group_keys(a).tolist()) & set(near_copies.group_keys(b).tolist()), (n, m, both)

@@ -8,7 +8,9 @@ shingles can differ at SIMILARITY, so some group is the same in both texts, and
 differ depends on the number of shingles, so texts are keyed at two levels of length; every two texts that can be
 similar share one. Of a level's groups the first KEYS are used: texts of about 90 shingles have no more, and for longer
 ones each group is untouched with a chance of 0.4 or more, so a pair exactly at 0.8 is missed at most 5 times in 100,000.
-(A group without shingles makes no key.)
+A group without shingles makes no key, which short texts can't afford: up to SHORT shingles the least hashes of a text
+are keys as well (prefix filter; a set similar to it holds at least ceil(SIMILARITY n) of its n, so both share one of the
+n - ceil(SIMILARITY n) + 1 least), at the same two levels. Texts whose similar texts are all that short have no others.
 
 Candidates are not all pairs of a bucket. First each text is verified against the least of its bucket. Then, of buckets
 whose members are not yet in one class, the pairs from different classes within DISTANCE bits are. A bucket of more
@@ -37,6 +39,8 @@ from tickloom.llm.graph import components
 SHINGLE, SIMILARITY = 5, 0.8
 #: Groups of shingles that make a key, at each of a text's two levels.
 KEYS = 20
+#: Shingles up to which a text is keyed by its least hashes, without a miss.
+SHORT = 40
 #: Bits within which fingerprints at SIMILARITY lie: about 10 on average, with a deviation of 3.
 DISTANCE = 24
 CHUNK = 1_024
@@ -63,12 +67,22 @@ def _prints(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > np.diff(np.append(starts, len(h)))[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
 def group_keys(h: np.ndarray) -> np.ndarray:
-    """One key for each used group of shingles at both levels of a text's length."""
+    """Keys at both levels of a text's length: of its least hashes if it is short, of its used groups of shingles if not."""
     if not len(h):
         return np.zeros(1, np.uint64)
     keys, own = [], math.floor(math.log(len(h)) / -math.log(SIMILARITY) + 1e-9)
     for level in (own, own + 1):
+        if len(h) <= SHORT:
+            least = h[: len(h) - math.ceil(SIMILARITY * len(h) - 1e-9) + 1]
+            keys.append(_mixed(least + np.full(1, level + (1 << 32), np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        if len(h) <= SIMILARITY * SHORT + 1e-9:  # all that is similar to it is short, too
+            continue
         longest = SIMILARITY ** -(level + 1)
         groups = math.floor(2 * longest * (1 - SIMILARITY) / (1 + SIMILARITY)) + 1
         g = h % np.uint64(groups)
@@ -76,9 +90,7 @@ def group_keys(h: np.ndarray) -> np.ndarray:
         order = order[: int(np.searchsorted(g[order], KEYS))]
         if len(order):
             at, starts = np.unique(g[order], return_index=True)
-            x = _prints(h[order], starts) + (at + np.uint64(level * KEYS + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            keys.append(x ^ (x >> np.uint64(31)))
+            keys.append(_mixed(_prints(h[order], starts) + (at + np.uint64(level * KEYS + 1)) * np.uint64(0x9E3779B97F4A7C15)))
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
