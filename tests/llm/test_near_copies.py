@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from tickloom.llm import near_copies
+from tickloom.llm import near_copies, simhash
 
 SCHEMA = "doc_id long, text string, text_hash long, root string"
 
@@ -77,3 +77,13 @@ def test_similar_short_texts_share_a_key():
             h = rng.permutation(np.unique(rng.integers(0, 1 << 63, n + m + 5, dtype=np.uint64)))
             a, b = np.sort(h[:n]), np.sort(h[n - both : n - both + m])
             assert set(near_copies.group_keys(a).tolist()) & set(near_copies.group_keys(b).tolist()), (n, m, both)
+
+
+def test_rows_without_an_id_are_copies_too(spark):
+    rows = [(5, "a", 1), (None, "a", 1), (None, "b", 1), (None, "c", 2), (None, "c", 2), (None, "d", 2), (7, "e", 3), (None, "f", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root long")
+    found = docs.selectExpr("doc_id", "xxhash64(text) AS text_hash", "root")
+    least = found.filter("root = 2").agg({"text_hash": "min"}).first()[0]
+    kept = simhash.first_of_each(docs, found).selectExpr("doc_id", "root", "xxhash64(text) AS h").collect()
+    assert sorted((r["root"], r["doc_id"] or 0) for r in kept) == [(1, 5), (2, 0), (3, 7), (4, 0)]
+    assert [r["h"] for r in kept if r["root"] == 2] == [least]

@@ -212,16 +212,21 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The row of least doc_id (then text) of each root stays. found: doc_id, text_hash, root of every row of docs."""
-    best = found.filter("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("b"))
-    stay = F.struct("doc_id", "text_hash") == F.col("b")
-    light = found.join(best, "root").select("doc_id", F.col("text_hash").alias("_tl_h"), stay.alias("stay"))
-    gone = materialize(light.filter(~F.col("stay")).select("doc_id", "_tl_h").distinct(), "copies")
-    twice = materialize(light.filter("stay").groupBy("doc_id", "_tl_h").count().filter("count > 1").drop("count"), "repeated")
-    rows = docs.withColumn("_tl_h", F.xxhash64("text")).join(if_small(gone, gone.count()), ["doc_id", "_tl_h"], "left_anti")
+    """The row of least doc_id (then text) of each root stays. found: doc_id, text_hash, root of every row of docs.
+
+    A row with a null doc_id stays only where its root has no other; of those the least text hash does.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    best = found.groupBy("root").agg(F.min(order).alias("b"))
+    stay = F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("text_hash") == F.col("b.text_hash"))
+    light = found.join(best, "root").select(F.col("doc_id").alias("_tl_i"), F.col("text_hash").alias("_tl_g"), stay.alias("stay"))
+    gone = materialize(light.filter(~F.col("stay")).select("_tl_i", "_tl_g").distinct(), "copies")
+    twice = materialize(light.filter("stay").groupBy("_tl_i", "_tl_g").count().filter("count > 1").drop("count"), "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col("_tl_i")) & (F.col("_tl_h") == F.col("_tl_g"))
+    rows = docs.withColumn("_tl_h", F.xxhash64("text")).join(if_small(gone, gone.count()), same, "left_anti")
     again = if_small(twice, twice.count())
-    once = rows.join(again, ["doc_id", "_tl_h"], "left_anti")
-    return once.unionByName(rows.join(again, ["doc_id", "_tl_h"], "left_semi").dropDuplicates(["doc_id", "_tl_h"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = rows.join(again, same, "left_anti")
+    return once.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "_tl_h"])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
