@@ -41,7 +41,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 KEYS = 20
 #: Shingles up to which a text is keyed by its least hashes, without a miss.
 SHORT = 40
-#: Bits within which fingerprints at SIMILARITY lie: about 10 on average, with a deviation of 3.
+#: Bits within which fingerprints at SIMILARITY lie: about 10 on average, with a deviation of 3. Beyond are 12.3 in 100,000
+#: pairs of 4 against 5 shingles, the worst case, and at most 0.9 of other sizes.
 DISTANCE = 24
 CHUNK = 1_024
 #: Pairs of one text that a task verifies; a text with more is copied to several.
