@@ -7,18 +7,20 @@ margin against the codeword, weighted by how well that bit could be learnt, and
 Training uses a bounded sample: at most about TRAIN_PER_LANG labelled documents of each language, drawn by a hash
 of doc_id among documents whose crc32(doc_id) mod 5 is not 0. Prediction covers all documents and whole texts.
 
-Defined results: a text that is null, empty or has no letter is `und` with score 0; with no labelled document
-everything is `und`; a null doc_id is never learnt from and counts as held out; repeated rows are each answered.
+Defined results: a text that is null, empty or has no letter (Unicode category L) is `und` with score 0; with no
+labelled document everything is `und`; with one labelled language all letters are that language; a null doc_id is never
+learnt from and counts as held out; repeated rows are each answered; equal losses take the language first in order;
+very long texts are read whole, one text of a batch at a time; an existing column of the result's name is replaced.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ TRAIN_PER_LANG = 1_500
 DIM = 2_048
 #: Two best losses closer than this share of the weights leave the language open.
 AMBIGUOUS_GAP = 0.02
-_LETTER = re.compile(r"[^\W\d_]")
+#: Unicode letters alone: numerals such as fractions, superscripts or Roman digits are none.
+_LETTER = regex.compile(r"\p{L}")
 _MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -142,10 +145,10 @@ def predict(text: Column, model: dict) -> Column:
     return run(text)
 
 
-def identify(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
-    """docs with `_tl_lang`: struct(lang, score, ambiguous), from a model learnt on docs itself."""
+def identify(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, name: str = "_tl_lang") -> DataFrame:
+    """docs with a column `name`: struct(lang, score, ambiguous), from a model learnt on docs itself."""
     small_batches(docs.sparkSession)
-    return docs.withColumn("_tl_lang", predict(F.col("text"), train(docs.select("doc_id", "text", "lang"), per_lang)))
+    return docs.withColumn(name, predict(F.col("text"), train(docs.select("doc_id", "text", "lang"), per_lang)))
 
 
 def op8_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
