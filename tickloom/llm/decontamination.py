@@ -2,37 +2,41 @@
 
 Words are runs of letters and digits, lower-cased; shingles have five words. A window of a document is as long as
 a benchmark item. A window similar to an item shares shingles with it, so windows are laid only where a document
-has a shingle of an item: each such shingle is tried as the first shared one, which at similarity S stands within
-the first (1 - S) of the window. Nothing similar is lost by that.
+has a shingle of that item: each such shingle is tried as the first shared one, which at similarity S stands within
+the first (1 - S) of the window. Nothing similar is lost by that, and a window never meets an item that it shares
+nothing with.
 
 Windows and items get 64-bit SimHash fingerprints. Eight blocks of eight bits are indexed, each with all values
 within two bits: fingerprints within RADIUS = 23 bits agree to within two in some block, so all of them are
-candidates. A pair at similarity 0.8 differs in about 10 bits, and in more than 23 about twice in a million.
+candidates, and few others are. A pair at similarity 0.8 differs in about 10 bits, and in more than 23 about twice in a million.
 Candidates are verified by the exact similarity of shingles weighted by how often each occurs: sum of the lesser
 over sum of the greater weights.
 
-Equal texts are looked at once. The benchmark is broadcast only while its rows are few; else Spark shuffles.
+Equal texts are looked at once. What is broadcast is measured in bytes first; beyond the bound Spark shuffles.
 
 Defined results: null and empty texts and texts of fewer than five words match nothing; items of fewer than five
 words are too short to be evidence and match nothing; a null doc_id or item_id is reported as such; repeated rows
-are each reported; an empty table on either side gives an empty result.
+are each reported; of windows alike the first is; a very long text is one row of shingles, cut into windows where it
+meets items; an empty table on either side gives an empty result; other columns are left out, or kept as they are by
+without_contaminated.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import if_small, materialize, table
+from tickloom.llm.common import if_light, if_small, materialize, table, unused
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 64, 8, 8, 2
 #: Guaranteed: more than 8 blocks x 2 bits + 7 further bits are needed to differ by 3 in every block.
 RADIUS = BLOCKS * BLOCK_RADIUS + BLOCKS - 1
-#: Benchmark shingles up to which they are broadcast.
-BROADCAST_ROWS = 500_000
+#: Bytes of a broadcast row of a benchmark shingle, and of one of the index, besides its values.
+ROW_BYTES = 48
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -84,27 +88,31 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, similarity: float
     """text_key, item_id, window (first word), similarity, distance: the best window of each text and item."""
     items = benchmark.select("item_id", shingle_hashes(F.col("text")).alias("shingles")).filter(F.size("shingles") > 0)
     items = materialize(items.select("item_id", "shingles", F.size("shingles").alias("m"), simhash(F.col("shingles")).alias("item_fp")), "items")
-    known = items.select(F.explode("shingles").alias("h"), "m").distinct()
-    n_known = known.count()
+    n_items, n_shingles = items.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
+    known = items.select(F.explode("shingles").alias("h"), "item_id", "m").distinct()
     keyed = docs.select(F.md5(F.encode("text", "UTF-8")).alias("text_key"), "text").filter("text IS NOT NULL")
     hashed = keyed.select("text_key", shingle_hashes(F.col("text")).alias("shingles"))
-    few = F.broadcast if n_known <= BROADCAST_ROWS else (lambda x: x)
-    hits = hashed.select("text_key", F.posexplode("shingles").alias("pos", "h")).join(few(known), "h")
+    hits = hashed.select("text_key", F.posexplode("shingles").alias("pos", "h")).join(if_light(known, n_shingles * ROW_BYTES), "h")
     back = F.floor((1 - similarity) * F.col("m")).cast("int")
-    starts = hits.select("text_key", "m", F.explode(F.sequence(F.greatest(F.col("pos") - back, F.lit(0)), "pos")).alias("s"))
-    tried = materialize(starts.groupBy("text_key").agg(F.collect_set(F.struct("m", "s")).alias("at")), "windows")
+    starts = hits.select("text_key", "item_id", "m", F.explode(F.sequence(F.greatest(F.col("pos") - back, F.lit(0)), "pos")).alias("s"))
+    tried = materialize(starts.groupBy("text_key").agg(F.collect_set(F.struct("item_id", "m", "s")).alias("at")), "windows")
     mine = if_small(tried.select("text_key"), tried.count())
     texts = hashed.join(mine, "text_key", "left_semi").dropDuplicates(["text_key"])
     cut = texts.join(tried, "text_key").select("text_key", "shingles", F.explode("at").alias("a"))
-    cut = cut.select("text_key", F.col("a.m").alias("m"), F.col("a.s").alias("s"), F.slice("shingles", F.col("a.s") + 1, F.col("a.m")).alias("win"))
+    cut = cut.select("text_key", "a.item_id", F.col("a.s").alias("s"), F.slice("shingles", F.col("a.s") + 1, F.col("a.m")).alias("win"))
     windows = materialize(cut.withColumn("fp", simhash(F.col("win"))), "windows")
-    index = items.select("m", "item_id", "item_fp", F.col("shingles").alias("item"), F.explode(_index_keys(F.col("item_fp"), False)).alias("key"))
-    probes = windows.select("text_key", "m", "s", "fp", "win", F.explode(_index_keys(F.col("fp"), True)).alias("key"))
-    met = probes.join(if_small(index, n_known), ["m", "key"])
+    per_item = BLOCKS * sum(math.comb(BLOCK_BITS, t) for t in range(BLOCK_RADIUS + 1))
+    index = if_light(items.select("item_id", "item_fp", F.explode(_index_keys(F.col("item_fp"), False)).alias("key")), n_items * per_item * ROW_BYTES)
+    probes = windows.select("text_key", "item_id", "s", "fp", F.explode(_index_keys(F.col("fp"), True)).alias("key"))
+    same_item = probes["item_id"].eqNullSafe(index["item_id"]) & (probes["key"] == index["key"])
+    met = probes.join(index, same_item).select("text_key", probes["item_id"], "s", "fp", "item_fp", probes["key"])
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     first = F.array_min(F.filter(F.array(*[F.when(F.bit_count(_block(F.col("fp"), b).bitwiseXOR(_block(F.col("item_fp"), b))) <= BLOCK_RADIUS, F.lit(b)) for b in range(BLOCKS)]), lambda x: x.isNotNull()))
     once = met.filter((distance <= RADIUS) & (F.shiftright("key", BLOCK_BITS) == first))  # a pair counts in its first block
-    right = once.select("text_key", "item_id", "s", distance.alias("distance"), weighted_similarity(F.col("win"), F.col("item")).alias("similarity")).filter(F.col("similarity") >= similarity)
+    near = once.select("text_key", F.struct("item_id").alias("i"), "item_fp", "s", distance.alias("distance")).distinct()
+    whole = if_light(items.select(F.struct("item_id").alias("i"), "item_fp", F.col("shingles").alias("item")).distinct(), 8 * n_shingles + n_items * ROW_BYTES)
+    pairs = near.join(windows.select("text_key", F.struct("item_id").alias("i"), "s", "win"), ["text_key", "i", "s"]).join(whole, ["i", "item_fp"])
+    right = pairs.select("text_key", "i.item_id", "s", "distance", weighted_similarity(F.col("win"), F.col("item")).alias("similarity")).filter(F.col("similarity") >= similarity)
     best = right.groupBy("text_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("s")).alias("back"), "distance")).alias("b"))
     return materialize(best.select("text_key", "item_id", (-F.col("b.back")).alias("window"), "b.similarity", "b.distance"), "contaminated")
 
@@ -121,9 +129,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs less those that hold an item; columns as they are."""
-    found = contaminated_texts(docs, benchmark).select(F.col("text_key").alias("_tl_k")).distinct()
-    rows = docs.withColumn("_tl_k", text_key(F.col("text")))
-    return rows.join(if_small(found, found.count()), "_tl_k", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    (key,) = unused(docs, "text_key")
+    found = contaminated_texts(docs, benchmark).select(F.col("text_key").alias(key)).distinct()
+    rows = docs.withColumn(key, text_key(F.col("text")))
+    return rows.join(if_small(found, found.count()), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
