@@ -24,17 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import if_small, materialize, small_batches, table
+from tickloom.llm.common import if_light, if_small, materialize, small_batches, table
 
 LENGTH, GRAM = 100, 40
 REACH = LENGTH - GRAM  # ranges of starts span 0 to REACH
 SEGMENT = 1 << 20
 CHUNK_ROWS = 1 << 17
-#: Rows of places, and bytes of removed runs, up to which they are broadcast to the documents.
-BROADCAST_PLACES, BROADCAST_BYTES = 2_000_000, 32 << 20
+#: Bytes of places, or of removed runs, up to which they are broadcast to the documents.
+BROADCAST_BYTES = 32 << 20
+SAME_ROW = f"d.doc_id <=> p.doc_id AND (d.tag & {(1 << 26) - 1}) = p.row"
 _U = np.uint64
 _tables: dict = {}
 
@@ -176,18 +177,23 @@ def _across(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     edge = found.filter("kind = 2")
     first = edge.groupBy("g", "c").agg(F.min(F.struct("doc_id", start.alias("start"))).alias("f"))
     judged = edge.join(first, ["g", "c"]).withColumn("later", ~F.struct("doc_id", start.alias("start")).eqNullSafe(F.col("f")))
-    several = first.groupBy("g").count().filter("count > 1").select("g")
+    several = materialize(first.groupBy("g").count().filter("count > 1").select("g"), "several")
+    several = if_small(several, several.count())
     repeats = found.filter("kind = 0").select("doc_id", "place").unionByName(judged.filter("later").select("doc_id", "place"))
     firsts = found.filter("kind = 1").select("doc_id", "place").unionByName(judged.filter("NOT later").join(several, "g", "left_semi").select("doc_id", "place"))
     return repeats, firsts
 
 
+def _by_row(places: DataFrame) -> GroupedData:
+    """Places by document; rows of one doc_id, or without one, stay apart by their texts."""
+    return places.groupBy("doc_id", F.col("place").bitwiseAND(F.lit((1 << 26) - 1).cast("long")).alias("row"))
+
+
 def _spelled(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """g, c, doc_id, place: each start in the places of firsts, by two hashes of its LENGTH bytes."""
-    places = materialize(firsts.groupBy("doc_id").agg(F.collect_list("place").alias("places")), "edges")
-    total = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
-    near = F.broadcast(places) if total <= BROADCAST_PLACES else places
-    both = docs.alias("d").join(near.alias("p"), F.expr("d.doc_id <=> p.doc_id")).select("d.doc_id", "d.tag", "d.text", "p.places")
+    places = materialize(_by_row(firsts).agg(F.collect_list("place").alias("places")), "edges")
+    rows, total = places.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    both = docs.alias("d").join(if_light(places, 8 * total + 48 * rows, BROADCAST_BYTES).alias("p"), F.expr(SAME_ROW)).select("d.doc_id", "d.tag", "d.text", "p.places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,8 +222,8 @@ def _spelled(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def _runs(places: DataFrame) -> DataFrame:
-    """doc_id, runs: maximal removed runs of each document as packed (tag, begin, end) triples of long."""
-    lists = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    """doc_id, row, runs: maximal removed runs of each document as packed (tag, begin, end) triples of long."""
+    lists = _by_row(places).agg(F.collect_list("place").alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,13 +237,13 @@ def _runs(places: DataFrame) -> DataFrame:
                     last = np.concatenate((new[1:] - 1, [len(lo) - 1]))
                     out.append(np.stack((np.full(len(new), tag), lo[new], hi[last]), axis=1))
                 packed.append(np.concatenate(out).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["doc_id", "runs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], names=["doc_id", "row", "runs"])
 
-    return lists.mapInArrow(run, "doc_id long, runs binary")
+    return lists.select("doc_id", "places", "row").mapInArrow(run, "doc_id long, row long, runs binary")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, runs of docs (doc_id, tag, text)."""
+    """doc_id, row, runs of docs (doc_id, tag, text)."""
     small_batches(docs.sparkSession)
     repeats, firsts = _across(materialize(_compare(_bucket(docs)), "suffixes"))
     more, _ = _across(materialize(_compare(_spelled(docs, firsts)), "spelled"))
@@ -248,9 +254,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text without the runs, as bytes)."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
     runs = repeated_runs(rows)
-    size = runs.agg(F.coalesce(F.sum(F.length("runs")), F.lit(0))).first()[0]
-    near = F.broadcast(runs) if size <= BROADCAST_BYTES else runs
-    both = rows.alias("d").join(near.alias("r"), F.expr("d.doc_id <=> r.doc_id"), "left").select("d.doc_id", "d.tag", "d.text", "r.runs")
+    n, size = runs.agg(F.count("*"), F.coalesce(F.sum(F.length("runs")), F.lit(0))).first()
+    both = rows.alias("d").join(if_light(runs, size + 48 * n, BROADCAST_BYTES).alias("p"), F.expr(SAME_ROW), "left").select("d.doc_id", "d.tag", "d.text", "p.runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
