@@ -4,15 +4,19 @@ Documents are range-partitioned by doc_id, encoded, and written one file or more
 `ids` is an integer list, which ORC stores with run-length encoding; readers may take stripes in parallel, and a
 lookup by doc_id skips files, stripes and row groups by their statistics and Bloom filters.
 
+Texts are cut where a new piece must begin, and each distinct part of a chunk of texts is looked up once in what the
+worker has encoded before; Arrow numbers the parts and numpy lays their ids out. A chunk is bounded by its bytes.
+
 Defined results: a null text is encoded as an empty one (only the end id); null doc_ids come first; repeated
-doc_ids are ordered by text; an empty table gives an empty result.
+doc_ids are ordered by text; fully equal rows follow each other; a very long text is a chunk of its own; other columns
+are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import fresh_path, materialize, small_batches, table
+from tickloom.llm.common import BATCH_ROWS, fresh_path, materialize, small_batches, table
 
 END_ID = 0
 MARKS = ".,;:!?&#*%$|"
-#: Encoded parts of a generation of a worker's cache.
-CACHE_WORDS = 700_000
+#: Words encoded as one text: few enough that it stays in a processor's cache.
+LINES = 16
+#: Distinct parts whose ids a worker keeps, and bytes of text that it encodes at once.
+CACHE_WORDS, CHUNK_BYTES = 1_000_000, 12 << 20
 ORC_OPTIONS = {
     "compression": "none",
     "orc.stripe.size": str(32 << 20),
@@ -35,106 +41,167 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
 }
 FILE_SCHEMA = "part int, ord long, doc_id long, ids array<int>"
-_models: dict = {}
+_encoders: dict = {}
+
+
+def _spaces(data: np.ndarray) -> np.ndarray:
+    """By byte of UTF-8 text, with one more at either end: whether it belongs to white space."""
+    table_ = np.zeros(256, bool)
+    table_[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+    out = np.concatenate(([True], table_[data], [True]))
+    for lead, more in ((0xC2, ("85", "a0")), (0xE1, ("9a80",)), (0xE2, (*[f"80{x:02x}" for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)], "819f")), (0xE3, ("8080",))):
+        at = np.flatnonzero(data == lead)
+        for tail in map(bytes.fromhex, more):
+            hit = at[at + len(tail) < len(data)]
+            for k, x in enumerate(tail):
+                hit = hit[data[hit + k + 1] == x]
+            for k in range(len(tail) + 1):
+                out[hit + k + 1] = True
+    return out
 
 
-def _model(path: str) -> tuple:
-    """The tokenizer of this worker process and its two generations of encoded parts."""
-    if path not in _models:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where a byte-level tokenizer of this family always starts a new piece, of texts that end at ends[1:].
 
-        _models[path] = (Tokenizer.from_file(path), {}, {})
-    return _models[path]
+    That is at the start of a text, before a space between two non-spaces, and around a line feed between two.
+    """
+    space, edge = _spaces(data), np.zeros(len(data) + 2, bool)
+    edge[ends] = True  # at i + 1: the byte i is the last of a text
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    at = at[~(space[at] | edge[at] | space[at + 2] | edge[at + 1])]
+    start = np.zeros(len(data) + 1, bool)
+    start[ends] = start[at] = start[at[data[at] == 0x0A] + 1] = True
+    return np.flatnonzero(start)
 
 
-def _parts(text: str) -> tuple[bool, list[str]]:
-    """The text cut where a byte-level tokenizer of this family always starts a new piece.
+class Encoder:
+    """A tokenizer with the ids of the parts met so far: the ids of slot i are pool[first[i] : first[i] + count[i]]."""
 
-    That is before a space between two non-spaces, and around a line feed between two non-spaces. Where other
-    white space or runs of it occur, cuts are made at those spaces alone that stand between two non-spaces. True: no
-    part but single line feeds has white space beyond its leading space.
-    """
-    if text.split() == text.replace("\n", " ").split(" "):
-        parts: list[str] = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            parts.append(head)
-            parts.extend([" " + w for w in rest])
-            parts.append("\n")
-        del parts[-1]
-        return True, parts
-    parts = []
-    head, *rest = text.split(" ")
-    for p in (head, *[" " + w for w in rest]):
-        if parts and (len(p) < 2 or p[1].isspace() or not parts[-1] or parts[-1][-1].isspace()):
-            parts[-1] += p
-        else:
-            parts.append(p)
-    return False, parts
-
-
-def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers; parts met before are not encoded again."""
-    tokenizer, young, old = _model(path)
-    split = [_parts(t) for t in texts]
-    feed = tokenizer.encode("\n", add_special_tokens=False).ids
-    young["\n"] = array("I", feed).tobytes()
-    plain = set().union(*[p for clean, p in split if clean]).difference(young)
-    met = {w: old[w] for w in plain if w in old}
-    unknown = plain.difference(met)
-    # Closing marks after a letter or digit are a piece by themselves, so words are encoded without them.
-    stems = {w: w.rstrip(MARKS) for w in unknown}
-    cut = {w: (x, w[len(x) :]) for w, x in stems.items() if len(x) < len(w) and x[-1:].isalnum()}
-    for x in {*[x for x, _ in cut.values()], *[m for _, m in cut.values()]}.difference(young, met):
-        if x in old:
-            met[x] = old[x]
-        else:
-            unknown.add(x)
-    new = [w for w in unknown if w not in cut]
-    lists = [new[at : at + 2048] for at in range(0, len(new), 2048)]
-    # Parts of their own lines are encoded together: a line feed between non-spaces is a piece by itself.
-    for words, e in zip(lists, tokenizer.encode_batch_fast(["\n".join(w) for w in lists], add_special_tokens=False)):
-        ids = np.array(e.ids, dtype="<u4")
-        ends = [*np.flatnonzero(ids == feed[0]).tolist(), len(ids)]
-        if len(feed) != 1 or len(ends) != len(words):
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.slot: dict[str, int] = {}
+        self.pool, self.first = np.array([END_ID], "<u4"), np.zeros(1, np.int64)
+        self.count, self.seen = np.ones(1, np.int64), np.full(1, 1 << 30)
+
+    def forget(self, least: int = 1 << 30) -> None:
+        """Drop parts that fewer than `least` chunks held. Slot 0 is the end of a document, the others are in order of learning."""
+        if self.slot:
+            kept = np.flatnonzero(self.seen >= least)
+            words, ids = list(self.slot), self._ids(kept)
+            self.slot = {words[k - 1]: i for i, k in enumerate(kept[1:].tolist(), 1)}
+            self.pool, self.count, self.seen = ids, self.count[kept], self.seen[kept] // 2
+            self.seen[0] = 1 << 30
+            self.first = np.cumsum(self.count) - self.count
+
+    def _encode(self, words: list[str], odd: np.ndarray, marked: np.ndarray) -> None:
+        """Learn words; those without inner white space (not odd) are encoded together, a line feed between each two."""
+        plain = words
+        if odd.any():
+            plain, inner = [w for w, o in zip(words, odd.tolist()) if not o], [w for w, o in zip(words, odd.tolist()) if o]
+            marked = marked[~odd]
+            coded = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(inner, add_special_tokens=False)]
+            size = np.fromiter(map(len, coded), np.int64, len(inner))
+            self._learn(inner, np.concatenate(coded), np.cumsum(size) - size, size)
+        # Closing marks after a letter or digit are a piece by themselves, so words are encoded without them.
+        both: tuple[list[str], ...] = ([], [], [])
+        for w in map(plain.__getitem__, np.flatnonzero(marked).tolist()):
+            if (x := w.rstrip(MARKS))[-1:].isalnum():
+                for column, y in zip(both, (w, x, w[len(x) :])):
+                    column.append(y)
+        new = list(set(plain).difference(both[0]).union(both[1], both[2]).difference(self.slot))
+        lines = ["\n".join(new[at : at + LINES]) for at in range(0, len(new), LINES)]
+        coded = [x for at in range(0, len(lines), 1024) for e in self.tokenizer.encode_batch_fast(lines[at : at + 1024], add_special_tokens=False) for x in (e.ids, self.feed)]
+        ids = np.fromiter(itertools.chain.from_iterable(coded), "<u4")
+        ends = np.flatnonzero(ids == self.feed[0])
+        if len(self.feed) != 1 or len(ends) != len(new):
             raise ValueError("the tokenizer doesn't keep line feeds apart")
-        raw, a = ids.tobytes(), 0
-        for w, z in zip(words, ends):
-            met[w] = raw[4 * a : 4 * z]
-            a = z + 1
-    for w, (x, m) in cut.items():
-        met[w] = (met.get(x) or young[x]) + (met.get(m) or young[m])
-    odd = list(set().union(*[p for clean, p in split if not clean]).difference(young, met))
-    for at in range(0, len(odd), 4096):
-        for w, e in zip(odd[at : at + 4096], tokenizer.encode_batch(odd[at : at + 4096], add_special_tokens=False)):
-            met[w] = array("I", e.ids).tobytes()
-    young.update(met)
-    out = [b"".join(map(young.__getitem__, parts)) for _, parts in split]
-    if len(young) > CACHE_WORDS:  # what isn't met again goes with the next generation
-        old.clear()
-        old.update((w, v) for w, v in young.items() if len(w) <= 64)
-        young.clear()
-    return out
+        start = np.concatenate(([0], ends + 1))[:-1]
+        self._learn(new, ids, start, ends - start)
+        x, m = (np.fromiter(map(self.slot.__getitem__, w), np.int64, len(w)) for w in both[1:])
+        pairs = np.stack((x, m), axis=1).ravel()
+        size = self.count[x] + self.count[m]
+        self._learn(both[0], self._ids(pairs), np.cumsum(size) - size, size)
+
+    def _learn(self, words: list[str], ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+        self.slot.update(zip(words, range(len(self.first), len(self.first) + len(words))))
+        self.first = np.concatenate((self.first, len(self.pool) + first))
+        self.count = np.concatenate((self.count, count))
+        self.seen = np.concatenate((self.seen, np.zeros(len(words), np.int64)))
+        self.pool = np.concatenate((self.pool, ids))
+
+    def _ids(self, slot: np.ndarray) -> np.ndarray:
+        """The ids of the slots one after the other."""
+        count = self.count[slot]
+        ends = np.cumsum(count)
+        return self.pool[np.repeat(self.first[slot] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with the end id, and where each begins and the last ends."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        at = cuts(data, ends - ends[0]).astype(np.int64)
+        parts = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        words, letters = parts.dictionary.to_pylist(), parts.dictionary
+        if len(self.slot) > CACHE_WORDS:
+            self.forget(2)
+        slot = np.fromiter(map(self.slot.get, words, itertools.repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(slot < 0)):
+            begin = np.frombuffer(letters.buffers()[1], np.int64)[: len(words) + 1]
+            chars = np.frombuffer(letters.buffers()[2], np.uint8)[: begin[-1]]
+            lead = chars[begin[:-1]] == 0x20
+            odd = np.add.reduceat(_spaces(chars)[1:-1].astype(np.int64), begin[:-1]) - lead + (np.diff(begin) == lead)
+            unknown = list(map(words.__getitem__, new.tolist()))
+            self._encode(unknown, odd[new] > 0, np.isin(chars[begin[1:] - 1], list(MARKS.encode()))[new])
+            slot[new] = np.fromiter(map(self.slot.__getitem__, unknown), np.int64, len(new))
+        self.seen[slot] += 1
+        slot = slot[parts.indices.to_numpy()]
+        last = np.searchsorted(at, ends[1:] - ends[0])
+        slot = np.insert(slot, last, 0)
+        return self._ids(slot), np.concatenate(([0], np.cumsum(self.count[slot])[last + np.arange(len(last))]))
+
+
+def encoder(path: str) -> Encoder:
+    """The tokenizer of this worker process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in chunks of about CHUNK_BYTES, so that a part met often is looked up once."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= CHUNK_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     """Encode docs (doc_id, text) and write them to path in ascending doc_id order."""
     small_batches(docs.sparkSession)
-    end = np.array([END_ID], dtype="<u4").tobytes()
     schema = pa.schema([("part", pa.int32()), ("ord", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
-        for b in batches:
-            coded = [c + end for c in encode_texts(tokenizer, [t or "" for t in b.column(1).to_pylist()])]
-            flat = np.frombuffer(b"".join(coded), dtype="<i4")
-            ends = np.cumsum([0, *[len(c) // 4 for c in coded]]).astype(np.int32)
-            n = len(coded)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(done, done + n)), b.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                schema=schema,
-            )
+        for b in _chunks(batches):
+            ids, ends = encoder(tokenizer).encode(b.column(1))
+            n = b.num_rows
+            for a in range(0, n, BATCH_ROWS):
+                z = min(n, a + BATCH_ROWS)
+                lists = pa.ListArray.from_arrays(pa.array((ends[a : z + 1] - ends[a]).astype(np.int32)), pa.array(ids[ends[a] : ends[z]].view("<i4")))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(z - a, part, np.int32)), pa.array(np.arange(done + a, done + z)), b.column(0).slice(a, z - a).cast(pa.int64()), lists], schema=schema
+                )
             done += n
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
