@@ -12,9 +12,12 @@ A group without shingles makes no key, which short texts can't afford: up to SHO
 are keys as well (prefix filter; a set similar to it holds at least ceil(SIMILARITY n) of its n, so both share one of the
 n - ceil(SIMILARITY n) + 1 least), at the same two levels. Texts whose similar texts are all that short have no others.
 
-Candidates are not all pairs of a bucket. First each text is verified against the least of its bucket. Then, of buckets
-whose members are not yet in one class, the pairs from different classes within DISTANCE bits are. A bucket of more
-than CHUNK texts is dealt into chunks as in `simhash`.
+Candidates never become rows of pairs. Texts travel with their sets of shingles to the buckets of their keys, where a
+task compares whole sets and returns the links of a spanning forest. Buckets of the same members count once. First each
+text meets its largest bucket, in parts that all hold the bucket's least text; that joins the copies of one text at
+linear cost. Then the buckets that still hold several classes are compared in full: one beyond CHUNK texts or
+CHUNK_HASHES shingles is dealt into chunks, and each two chunks meet in a task of their own, so no task holds more than
+two chunks and nothing is capped.
 
 Defined results: words are lower-cased in A-Z and parted by ASCII white space; a null text has no words; texts without
 words are copies of each other; fewer words than a shingle make one shingle; equal texts are one node, found by a
@@ -29,11 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import simhash
-from tickloom.llm.common import if_small, materialize, small_batches
+from tickloom.llm.common import if_small, materialize, small_batches, temporary
 from tickloom.llm.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -41,12 +44,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 KEYS = 20
 #: Shingles up to which a text is keyed by its least hashes, without a miss.
 SHORT = 40
-#: Bits within which fingerprints at SIMILARITY lie: about 10 on average, with a deviation of 3. Beyond are 12.3 in 100,000
-#: pairs of 4 against 5 shingles, the worst case, and at most 0.9 of other sizes.
-DISTANCE = 24
-CHUNK = 1_024
-#: Pairs of one text that a task verifies; a text with more is copied to several.
-HOT = 1_000
+#: Texts, and shingles of all of them, that a chunk holds on average.
+CHUNK, CHUNK_HASHES = 1_024, 1 << 20
+#: Shingles compared at once, as columns of a matrix of texts.
+COLUMNS = 4_096
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -95,8 +96,15 @@ def group_keys(h: np.ndarray) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
+def _listed(node: list[int], sets: list[np.ndarray], *more: tuple[str, pa.Array]) -> pa.RecordBatch:
+    """text_hash and hashes (a list each), with further columns."""
+    offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), lists, *[x for _, x in more]], names=["text_hash", "hashes", *[n for n, _ in more]])
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """text_hash, fp, keys of every row of docs; equal texts of a batch once."""
+    """text_hash, hashes (its keys), fp, size (shingles) of every row of docs; equal texts of a batch once."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,104 +113,146 @@ def keyed(docs: DataFrame) -> DataFrame:
             for node, text in zip(b.column(0).to_pylist(), b.column(1)):
                 if node not in rows:
                     h = shingles(text.as_py())
-                    rows[node] = (int(_prints(h, np.zeros(1, np.int64))[0]) if len(h) else 0, group_keys(h).view(np.int64))
+                    rows[node] = (int(_prints(h, np.zeros(1, np.int64))[0]) if len(h) else 0, group_keys(h).view(np.int64), len(h))
             fp = np.array([r[0] for r in rows.values()], dtype=np.uint64).view(np.int64)
-            offsets = np.cumsum([0, *(len(r[1]) for r in rows.values())]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *(r[1] for r in rows.values())])))
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(fp), keys], names=["text_hash", "fp", "keys"])
+            size = np.array([r[2] for r in rows.values()], dtype=np.int64)
+            yield _listed(list(rows), [r[1] for r in rows.values()], ("fp", pa.array(fp)), ("size", pa.array(size)))
 
-    return docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "text_hash long, fp long, keys array<long>")
+    return docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "text_hash long, hashes array<long>, fp long, size long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (u, v: text hashes) that are similar, by the whole sets of shingles."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """text_hash, hashes (its set of shingles) of the wanted texts, once each."""
     small_batches(docs.sparkSession)
-    share = pairs.groupBy("u").count().select("u", F.ceil(F.col("count") / HOT).cast("int").alias("k"))
-    wanted = materialize(share.union(pairs.select("v", F.lit(1))).toDF("text_hash", "k").groupBy("text_hash").agg(F.max("k").alias("k")), "wanted")
-    wanted_few = if_small(wanted, wanted.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = dict(zip(b.column(0).to_pylist(), b.column(1)))
-            sets = [shingles(t.as_py()).view(np.int64) for t in texts.values()]
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            s = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), s], names=["text_hash", "s"])
-
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted_few, "text_hash", "left_semi")
-    sets = materialize(texts.mapInArrow(run, "text_hash long, s array<long>").dropDuplicates(["text_hash"]), "shingles")
-    dealt = pairs.join(if_small(share, wanted.count()), "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("k")).cast("int").alias("part"))
-    left = sets.join(wanted_few, "text_hash").select(F.col("text_hash").alias("u"), F.col("s").alias("a"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
-    met = dealt.join(sets.select(F.col("text_hash").alias("v"), F.col("s").alias("b")), "v").join(left, ["u", "part"])
-    both = F.size(F.array_intersect("a", "b"))
-    return met.filter((1 + SIMILARITY) * both >= SIMILARITY * (F.size("a") + F.size("b")) - 1e-9).select("u", "v")
-
-
-def _apart(key: np.ndarray, node: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """By distance in the order: pairs of each run of equal keys from different classes within DISTANCE bits."""
-    at, lag = np.flatnonzero(key[1:] == key[:-1]), 1
-    while len(at):
-        close = at[(root[at] != root[at + lag]) & (np.bitwise_count(fp[at] ^ fp[at + lag]) <= DISTANCE)]
-        if len(close):
-            yield node[close], node[close + lag]
-        lag += 1
-        at = at[at + lag < len(key)]
-        at = at[key[at] == key[at + lag]]
-
-
-def candidates_apart(met: DataFrame) -> DataFrame:
-    """u < v: pairs that share a bucket of met (key, text_hash, fp, root), of different classes and close fingerprints."""
-    spark = met.sparkSession
-    small_batches(spark)
-    mixed = met.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = met.join(mixed, "key").select("key", "text_hash", "fp", "root", chunks.alias("k"), F.pmod(F.xxhash64(F.lit("chunk"), "text_hash"), chunks).cast("int").alias("c"))
-    rows = rows.select("key", "text_hash", "fp", "root", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    rows = rows.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"), "text_hash", "fp", "root")
+            yield _listed(list(texts), [shingles(t.as_py()).view(np.int64) for t in texts.values()])
+
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash", "left_semi")
+    return texts.mapInArrow(run, "text_hash long, hashes array<long>").dropDuplicates(["text_hash"])
+
+
+def _matches(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Positions i < j of sets at SIMILARITY or more. Sets are counted against each other as rows of a 0/1 matrix of shingles."""
+    size = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        if (1 + SIMILARITY) * both >= SIMILARITY * size.sum() - 1e-9:
+            yield 0, 1
+        return
+    hashes = np.concatenate(sets)
+    order = np.argsort(hashes, kind="stable")
+    owner, hashes = np.repeat(np.arange(len(sets)), size)[order], hashes[order]
+    column = np.cumsum(np.concatenate(([True], hashes[1:] != hashes[:-1]))[: len(hashes)]) - 1
+    shared = np.bincount(column)[column] > 1 if len(column) else np.zeros(0, bool)
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [a, a + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[lo:hi], column[lo:hi] - a] = 1
+        both += has @ has.T
+    found = (1 + SIMILARITY) * both >= SIMILARITY * (size[:, None] + size[None]) - 1e-6
+    yield from zip(*(x.tolist() for x in np.nonzero(np.triu(found, 1))))
+
+
+def forest(node: list[int], root: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of similar texts that join the classes (by root) which meet here."""
+    parent = {r: r for r in root}
+
+    def top(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    out = []
+    if len(parent) > 1:
+        for i, j in _matches(sets):
+            a, b = top(root[i]), top(root[j])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((node[i], node[j]))
+    return out
+
+
+def linked(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v: a spanning forest of the similar texts of each bucket of met (key, text_hash, root)."""
+    small_batches(met.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 4
+        key, node, root, held = None, [], [], []
 
-        def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for u, v in _apart(cols[0], cols[1], cols[2].view(np.uint64), cols[3]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+        def out() -> pa.RecordBatch:
+            found = forest(node, root, held) if len(node) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
         for b in batches:
-            held = [np.concatenate((h, b.column(i).to_numpy())) for i, h in enumerate(held)]
-            if len(held[0]) >= 1 << 15 and (cut := int(np.searchsorted(held[0], held[0][-1]))):
-                yield from out([h[:cut] for h in held])
-                held = [h[cut:] for h in held]
-        yield from out(held)
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            flat, ends = b.column(3).values.to_numpy(), b.column(3).offsets.to_numpy()
+            for i, (k, n, r) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
+                if k != key:
+                    yield out()
+                    key, node, root, held = k, [], [], []
+                node.append(n)
+                root.append(r)
+                held.append(flat[ends[i] : ends[i + 1]])
+        yield out()
+
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = met.join(sets, "text_hash").select("key", "text_hash", "root", "hashes")
     return rows.repartition(parts, "key").sortWithinPartitions("key", "text_hash").mapInArrow(run, "u long, v long").distinct()
 
 
+def buckets(nodes: DataFrame) -> DataFrame:
+    """key, text_hash, n, chunks, least of every bucket of several texts; buckets of the same members count once."""
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("text_hash").alias("first")), "fingerprints")
+    close = simhash.links(firsts, firsts.count())
+    close = close.join(firsts.toDF("u", "first_u"), "u").join(firsts.toDF("v", "first_v"), "v")
+    close = close.select(F.xxhash64(F.lit("link"), "first_u", "first_v").alias("key"), F.explode(F.array("first_u", "first_v")).alias("text_hash"))
+    keys = nodes.select(F.explode("hashes").alias("key"), "text_hash", "size")
+    keys = keys.union(nodes.select(F.xxhash64(F.lit("print"), "fp"), "text_hash", "size"))
+    keys = keys.union(close.join(nodes.select("text_hash", "size"), "text_hash").select("key", "text_hash", "size"))
+    members = F.struct(F.count("*"), F.bit_xor(F.xxhash64("text_hash")), F.sum(F.pmod(F.xxhash64(F.lit(1), "text_hash"), F.lit(1 << 40))))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"), F.min("text_hash").alias("least"), members.alias("members")).filter("n > 1")
+    chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("hashes") / CHUNK_HASHES)).cast("int")
+    once = sizes.groupBy("members").agg(F.min(F.struct("key", "n", chunks.alias("chunks"), "least")).alias("b")).select("b.*")
+    once = materialize(once, "buckets")
+    return keys.select("key", "text_hash").join(if_small(once, once.count()), "key")
+
+
+def _chunk(text_hash: str = "text_hash") -> Column:
+    return F.pmod(F.xxhash64(F.lit("chunk"), text_hash), F.col("chunks")).cast("int")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """text_hash, root (one text hash of the class) of every text of docs (text) that has a near-copy."""
     nodes = materialize(keyed(docs).dropDuplicates(["text_hash"]), "nodes")
-    firsts = materialize(nodes.groupBy("fp").agg(F.min("text_hash").alias("first")), "fingerprints")
-    same = nodes.join(firsts, "fp").select(F.col("first").alias("u"), F.col("text_hash").alias("v"))
-    linked = simhash.links(firsts, firsts.count())
-    linked = linked.join(firsts.toDF("u", "first_u"), "u").join(firsts.toDF("v", "first_v"), "v")
-    linked = linked.select(F.least("first_u", "first_v").alias("u"), F.greatest("first_u", "first_v").alias("v"))
-
-    keys = nodes.select("text_hash", "fp", F.explode("keys").alias("key"))
-    least = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("text_hash").alias("u")).filter("n > 1").drop("n")
-    met = materialize(keys.join(least, "key"), "buckets")
-    stars = met.select("u", F.col("text_hash").alias("v"))
-    tried = materialize(same.union(linked).union(stars).filter("u <> v").distinct(), "tried")
-    near = materialize(verified(docs, tried), "near")
-    roots = components(near)
-    named = met.join(roots.withColumnRenamed("node", "text_hash"), "text_hash", "left").select("key", "text_hash", "fp", F.coalesce("root", "text_hash").alias("root"))
-    rest = materialize(candidates_apart(named).join(tried, ["u", "v"], "left_anti"), "rest")
-    return components(near.union(verified(docs, rest))).withColumnRenamed("node", "text_hash")
+    met = materialize(buckets(nodes), "members")
+    wanted = materialize(met.select("text_hash").distinct(), "wanted")
+    sets = materialize(shingle_sets(docs, if_small(wanted, wanted.count())), "shingles")
+
+    largest = met.groupBy("text_hash").agg(F.max(F.struct("n", "key", "chunks", "least")).alias("b")).select("text_hash", "b.*")
+    part = lambda c: F.xxhash64(F.lit("first"), "key", c).alias("key")
+    leaders = largest.select("key", "chunks", "least").distinct()
+    leaders = leaders.select("key", F.col("least").alias("text_hash"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"))
+    first = largest.select(part(_chunk()), "text_hash").union(leaders.select(part(F.col("c")), "text_hash")).distinct()
+    near = materialize(linked(first.withColumn("root", F.col("text_hash")), sets), "near")
+
+    roots = components(near).withColumnRenamed("node", "text_hash")
+    named = met.join(roots, "text_hash", "left").select("key", "text_hash", "chunks", F.coalesce("root", "text_hash").alias("root"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("key")
+    rest = named.join(mixed, "key").select("key", "text_hash", "root", _chunk().alias("c"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
+    rest = rest.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"), "text_hash", "root")
+    more = materialize(linked(rest, sets), "near")
+    return components(near.union(more)).withColumnRenamed("node", "text_hash")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """docs without near-copies: the row of least doc_id (then text hash) of each class stays; columns as they are."""
-    named = materialize(classes(docs), "classes")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
-    found = rows.join(if_small(named, named.count()), "text_hash", "left")
-    found = materialize(found.select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root")), "near-copies")
-    return simhash.first_of_each(docs, found)
+    with temporary(docs.sparkSession):
+        named = materialize(classes(docs), "classes")
+        rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+        found = rows.join(if_small(named, named.count()), "text_hash", "left")
+        found = found.select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
+        return simhash.first_of_each(docs, materialize(found, "near-copies", keep=True))

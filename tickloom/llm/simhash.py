@@ -4,7 +4,7 @@ A fingerprint has a bit set where over half of the text's shingle hashes have it
 are linked. The 64 bits are dealt into groups of correlated bits; every group i gets a threshold t_i of its own, or
 none, with the sum of (t_i + 1) equal to RADIUS + 1: two fingerprints within RADIUS then agree in some group to
 within its threshold. A dynamic programme picks the thresholds of least estimated cost (keys written and candidate
-pairs expected, from the bits' frequencies over all fingerprints). A group with threshold t is probed under every
+pairs expected, from pairs of sampled fingerprints and the bits' frequencies over all). A group with threshold t is probed under every
 mask of t of its bits, so that close values meet in a bucket.
 
 Buckets are compared inside tasks and yield a spanning forest of their links, never all pairs. A bucket of more
@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import if_small, materialize, small_batches, table
+from tickloom.llm.common import if_small, materialize, small_batches, table, temporary, unused
 from tickloom.llm.graph import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 CHUNK = 1_024
 #: Estimated cost of one key (written, sorted, read) in units of one comparison.
 KEY_COST = 200.0
+#: Fingerprints whose pairs show how often the bits of a group agree; they only steer the cost of a plan.
+SAMPLE = 2_048
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -98,21 +100,38 @@ def correlated_groups(counts: np.ndarray, n: int, m: int) -> list[list[int]]:
     return groups
 
 
-def close_share(agree: np.ndarray) -> np.ndarray:
-    """By t: estimated share of pairs that differ in at most t of the bits, given each bit's chance to agree."""
+def sampled_prints(fps: DataFrame) -> np.ndarray:
+    """At most SAMPLE fingerprints, those of least hash: a uniform sample of distinct ones for estimates of cost alone."""
+    rows = fps.select("fp").orderBy(F.xxhash64(F.lit("sample"), "fp"), "fp").limit(SAMPLE).collect()
+    return np.array([r["fp"] for r in rows], dtype=np.int64).view(np.uint64)
+
+
+def close_share(group: list[int], agree: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """By t: estimated share of pairs that differ in at most t bits of the group.
+
+    The bits of a group go together, so pairs of sampled fingerprints are compared as they are; where the sample is too
+    small to show a pair, the share that independent bits would have stands in as the least value.
+    """
     d = np.zeros(RADIUS + 2)
     d[0] = 1.0
-    for a in agree:
+    for a in agree[group]:
         d[1:] = d[1:] * a + d[:-1] * (1 - a)
         d[0] *= a
-    return np.cumsum(d)
+    alone = np.cumsum(d)
+    if len(sample) < 2:
+        return alone
+    own = sample & np.uint64(sum(1 << b for b in group))
+    seen = np.zeros(RADIUS + 2)
+    for lag in range(1, len(own)):
+        seen += np.bincount(np.minimum(np.bitwise_count(own[lag:] ^ own[:-lag]), RADIUS + 1), minlength=RADIUS + 2)
+    return np.maximum(alone, np.cumsum(seen) / seen.sum())
 
 
-def allocate(groups: list[list[int]], agree: np.ndarray, n: int) -> tuple[float, list[int]]:
+def allocate(groups: list[list[int]], agree: np.ndarray, n: int, sample: np.ndarray) -> tuple[float, list[int]]:
     """Least cost and thresholds (-1: not probed) with the sum of (t + 1) equal to RADIUS + 1."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for g in groups:
-        share, step = close_share(agree[g]), {}
+        share, step = close_share(g, agree, sample), {}
         for spent, (cost, ts) in best.items():
             for t in range(-1, RADIUS + 1 - spent):
                 keys = 0 if t < 0 else math.comb(len(g), t)
@@ -123,14 +142,14 @@ def allocate(groups: list[list[int]], agree: np.ndarray, n: int) -> tuple[float,
     return best[RADIUS + 1]
 
 
-def plan_probes(counts: np.ndarray, n: int) -> list[int]:
+def plan_probes(counts: np.ndarray, n: int, sample: np.ndarray) -> list[int]:
     """Masks under which fingerprints are bucketed; any two within RADIUS bits agree under one of them."""
     p = np.diag(counts) / max(n, 1)
     agree = p * p + (1 - p) ** 2
     plans = []
     for m in range(1, 7):
         groups = correlated_groups(counts, n, m)
-        cost, ts = allocate(groups, agree, max(n, 1))
+        cost, ts = allocate(groups, agree, max(n, 1), sample)
         if sum(math.comb(len(g), t) for g, t in zip(groups, ts) if t >= 0) <= 4_096:
             plans.append((cost, m, groups, ts))
     _, _, groups, ts = min(plans, key=lambda x: x[:2])
@@ -169,7 +188,7 @@ def links(fps: DataFrame, n: int) -> DataFrame:
     """u, v: enough links of distinct fingerprints within RADIUS bits to connect all that are linked."""
     spark = fps.sparkSession
     small_batches(spark)
-    masks = plan_probes(bit_counts(fps), n)
+    masks = plan_probes(bit_counts(fps), n, sampled_prints(fps))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     keys = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long"))) for i, m in enumerate(masks)])).alias("key"))
     sizes = keys.groupBy("key").count().filter("count > 1")
@@ -198,12 +217,13 @@ def links(fps: DataFrame, n: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, fp, component_id, root of docs (doc_id, text)."""
-    prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    roots = components(links(nodes, nodes.count()))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return prints.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
+    with temporary(docs.sparkSession):
+        prints = materialize(fingerprints(docs, shingle), "fingerprints")
+        nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+        roots = components(links(nodes, nodes.count()))
+        named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+        least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+        return materialize(prints.join(named.join(least, "root").select("fp", "root", "component_id"), "fp"), "near-duplicates", keep=True)
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -217,16 +237,18 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     A row with a null doc_id stays only where its root has no other; of those the least text hash does.
     """
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    best = found.groupBy("root").agg(F.min(order).alias("b"))
+    best = found.groupBy("root").agg(F.min(order).alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    best = materialize(best, "classes", keep=True)  # of one row there is nothing to choose
     stay = F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("text_hash") == F.col("b.text_hash"))
-    light = found.join(best, "root").select(F.col("doc_id").alias("_tl_i"), F.col("text_hash").alias("_tl_g"), stay.alias("stay"))
-    gone = materialize(light.filter(~F.col("stay")).select("_tl_i", "_tl_g").distinct(), "copies")
-    twice = materialize(light.filter("stay").groupBy("_tl_i", "_tl_g").count().filter("count > 1").drop("count"), "repeated")
-    same = F.col("doc_id").eqNullSafe(F.col("_tl_i")) & (F.col("_tl_h") == F.col("_tl_g"))
-    rows = docs.withColumn("_tl_h", F.xxhash64("text")).join(if_small(gone, gone.count()), same, "left_anti")
+    i, g, h = unused(docs, "own_id", "own_hash", "text_hash")
+    light = found.join(if_small(best, best.count()), "root").select(F.col("doc_id").alias(i), F.col("text_hash").alias(g), stay.alias("stay"))
+    gone = materialize(light.filter(~F.col("stay")).select(i, g).distinct(), "copies", keep=True)
+    twice = materialize(light.filter("stay").groupBy(i, g).count().filter("count > 1").drop("count"), "repeated", keep=True)
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(g))
+    rows = docs.withColumn(h, F.xxhash64("text")).join(if_small(gone, gone.count()), same, "left_anti")
     again = if_small(twice, twice.count())
     once = rows.join(again, same, "left_anti")
-    return once.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "_tl_h"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", h])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
