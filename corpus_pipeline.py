@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontamination, language, mixing, near_copies, sharding
-from tickloom.llm.common import fresh_path, table
+from tickloom.llm.common import fresh_path, table, unused
 
 
 def _own(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,7 +20,8 @@ def _own(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known and not ambiguous."""
-    return _own(language.identify(docs).filter("_tl_lang.lang <> 'und' AND NOT _tl_lang.ambiguous"), docs.columns)
+    (found,) = unused(docs, "found")
+    return _own(language.identify(docs, name=found).filter(f"{found}.lang <> 'und' AND NOT {found}.ambiguous"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shuffle_into_shards(docs, 8)
+    return sharding.shuffle_into_shards(docs, 8, stored=True)
 
 
 STAGES = [
