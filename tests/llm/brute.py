@@ -73,10 +73,14 @@ def classes(items: list[tuple[int, int]], radius: int = 3) -> dict[int, int]:
     return comp
 
 
+def item_words(text: str) -> tuple[str, ...]:
+    return tuple(x for x in re.split(r"[\W_]+", text.lower()) if x)
+
+
 def item_similarity(text: str, item: str) -> float:
     def shingles(t: str) -> list[tuple[str, ...]]:
-        w = [x for x in re.split(r"[\W_]+", t.lower()) if x]
-        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        w = item_words(t)
+        return [w[i : i + 5] for i in range(len(w) - 4)]
 
     s, c = shingles(text), Counter(shingles(item))
     m, best = sum(c.values()), 0.0

@@ -46,7 +46,6 @@ def plain(items: list[str | None]) -> dict[int, int]:
 @pytest.mark.parametrize("chunk", [1_024, 3])
 def test_one_of_each_class_stays(spark, monkeypatch, chunk):
     monkeypatch.setattr(near_copies, "CHUNK", chunk)
-    monkeypatch.setattr(near_copies, "HOT", chunk)
     items = texts()
     rows = [(i, t, 1, "r") for i, t in enumerate(items)]
     docs = spark.createDataFrame([*rows, *rows[:20]], SCHEMA).repartition(3)
@@ -55,6 +54,46 @@ def test_one_of_each_class_stays(spark, monkeypatch, chunk):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(plain(items).values()))
 
 
+def test_forest_joins_what_all_pairs_join():
+    items = texts()
+    sets = [near_copies.shingles(t).view(np.int64) for t in items]
+    comp = list(range(len(items)))
+    for u, v in near_copies.forest(comp[:], comp[:], sets):
+        low, high = sorted((comp[u], comp[v]))
+        comp = [low if c == high else c for c in comp]
+    words = [i for i, h in enumerate(sets) if len(h)]
+    assert [comp[i] for i in words] == [plain(items)[i] for i in words]
+
+
+def families(count: int = 60) -> list[str]:
+    """Families of edited copies with similarities on both sides of 0.8: several hundred pairs at or above it."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 6)))
+    out = []
+    for f in range(count):
+        base = [word() for _ in range(rng.choice((20, 45, 90, 200, 500)))]
+        for _ in range(10):
+            copy = list(base)
+            for i in rng.sample(range(len(base)), rng.randint(0, max(1, len(base) // 45))):
+                copy[i] = word()
+            out.append(" ".join(copy))
+    return list(dict.fromkeys(out))
+
+
+def test_no_similar_pair_of_many_families_is_lost(spark):
+    items = families()
+    sets = [set(near_copies.shingles(t).tolist()) for t in items]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(items)), 2) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    assert len(pairs) > 500
+    docs = spark.createDataFrame(list(enumerate(items)), "doc_id long, text string").repartition(3)
+    found = near_copies.classes(docs).join(docs.selectExpr("doc_id", "xxhash64(text) AS text_hash"), "text_hash").collect()
+    root = {r["doc_id"]: r["root"] for r in found}
+    caught = sum(i in root and root[i] == root.get(j) for i, j in pairs)
+    assert caught >= 0.99 * len(pairs)
+    comp = plain(items)
+    assert all(comp[i] == comp[j] for (i, a), (j, b) in itertools.combinations(root.items(), 2) if a == b)
+
+
 def test_empty_table(spark):
     assert near_copies.one_of_each_group(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import math
 import random
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
@@ -67,6 +72,23 @@ def test_personal_data_on_hard_texts(spark, text):
     assert [f"{pii.KINDS[s['rank']]}:{s['start']}:{s['end']}" for s in r["base"]] == brute.personal_data(text)
 
 
+def test_parts_of_addresses(spark):
+    texts_ = ["10.0.0.1", "0.0.0.0", "00.1.2.3", "256.1.1.1", "192.168.0.5", "255.255.255.255", "1.2.3.0256", "000.000.000.000", "1.2.3.256", "0999.1.1.1", "1.2.3"]
+    rows = spark.createDataFrame([(i, f"at {t} now") for i, t in enumerate(texts_)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["base"]] for r in pii.find_personal_data(rows).collect()}
+    assert got == {i: ([(3, 3 + len(t))] if brute.personal_data(f"at {t} now") else []) for i, t in enumerate(texts_)}
+    assert sorted(i for i, x in got.items() if x) == [0, 1, 2, 4, 5, 7]
+
+
+def test_wider_spans_are_added_where_labelers_agree(spark):
+    plain = [(i, f"host address: 93.{i}.8.4 and card: {('4' + str(i).zfill(3) + '0000' * 3)[:12]}0000 or so") for i in range(120)]
+    odd = [(900, "host address: 93[.]24[.]8[.]4 is up"), (901, "pay by card: 4111.1111.1111.1111 today"), (902, "part 9999/9999/9999/9999 of 12"), (903, None)]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame([*plain, *odd, *odd], "doc_id long, text string")).collect()}
+    spans = lambda i: [(pii.KINDS[s["rank"]], s["start"], s["end"]) for s in got[i]["spans"]]
+    assert not any(got[i]["base"] for i in (900, 901, 902, 903))
+    assert spans(900) == [("ip", 14, 29)] and spans(901) == [("card", 13, 32)] and spans(902) == spans(903) == []
+
+
 def test_personal_data_adds_spelled_out_address(spark):
     plain = [(i, f"write to user{i}@mail.example.com now") for i in range(50)]
     rows = spark.createDataFrame([*plain, (99, "write to joe [at] mail [dot] example [dot] com now")], "doc_id long, text string")
@@ -100,6 +122,15 @@ def test_repeated_rows_are_not_earlier_than_each_other(spark):
     assert got == [(0, 0), (1, 0), (1, 0), (2, len(b.encode()))]
 
 
+def test_rows_without_an_id_are_told_apart(spark):
+    rng = random.Random(10)
+    a, b = sentence(rng, "en", 60), sentence(rng, "fr", 60)
+    rows = spark.createDataFrame([(None, a + "1"), (None, b + "2"), (7, a + b), (8, "short"), (9, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in suffixes.remove_repeats(rows).collect()}
+    size = lambda t: len(t.encode())
+    assert got == {(None, size(a) + 1): 0, (None, size(b) + 1): 0, (7, size(a) + size(b)): size(a) + size(b), (8, 5): 0, (9, 0): 0}
+
+
 def test_fingerprints_and_classes(docs, empty):
     got = {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     fps = [(i, brute.fingerprint(t)) for i, t in texts()]
@@ -132,7 +163,7 @@ def test_links_of_dense_and_large_buckets(spark, monkeypatch):
 def test_thresholds_cover_the_radius(n):
     counts = np.full((64, 64), n / 4)
     np.fill_diagonal(counts, n / 2)
-    masks = simhash.plan_probes(counts, n)
+    masks = simhash.plan_probes(counts, n, np.array([], dtype=np.uint64))
     rng = random.Random(n)
     for _ in range(200):
         flip = sum(1 << b for b in rng.sample(range(64), 3))
@@ -172,6 +203,13 @@ def test_language_held_out_accuracy(docs, empty):
     assert {r["l"] for r in language.identify(docs.withColumn("lang", docs.lang.cast("string").substr(99, 1))).selectExpr("_tl_lang.lang l").collect()} <= {"", "und"}
 
 
+def test_numerals_are_no_letters(spark, docs):
+    model = language.train(docs)
+    rows = spark.createDataFrame([("½ ² Ⅷ ① 12",), ("",), (None,), ("ª",), ("x" * 200_000,)], "text string")
+    got = [tuple(r) for r in rows.select(language.predict(F.col("text"), model).alias("p")).select("p.lang", "p.score").collect()]
+    assert got[:3] == [("und", 0.0)] * 3 and all(lang != "und" and 0 < score <= 1 for lang, score in got[3:])
+
+
 @pytest.mark.parametrize("k", [1, 2, 4, 9])
 def test_codewords_differ(k):
     m = language.codewords(k)
@@ -184,6 +222,28 @@ def test_quality_statistics():
     assert quality.statistics(None) == (0, 0, 0, 0, 0, 0)
 
 
+def test_least_determinant_is_found(spark):
+    """Against the least determinant over every subset."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.normal(size=(9, quality.DIMS)), 6 + 0.1 * rng.normal(size=(3, quality.DIMS))))
+    floor, h = np.full(quality.DIMS, 0.01), 9
+    best, mean = min((quality._fit(*quality._moments(x[list(c)]), floor, len(x))[2], x[list(c)].mean(0).tolist()) for c in itertools.combinations(range(len(x)), h))
+    assert abs(quality.starts_of(x, floor, len(x), 1)[1][2] - best) < 1e-9
+    rows = [("a", "l", v.tolist(), [0.1] * quality.DIMS) for v in x]
+    found = quality.mcd(spark.createDataFrame(rows, "g string, l string, x array<double>, least array<double>")).first()
+    assert abs(found["logdet"] - best) < 1e-9 and np.allclose(found["mu"], mean)
+
+
+def test_small_groups_are_judged_by_their_language(spark):
+    rng = random.Random(6)
+    rows = [(i, sentence(rng, "en", rng.randint(30, 90)), "en", f"s{i}", 0, "x", 1, 2) for i in range(120)]
+    rows += [(900, "&&& ".join(sentence(rng, "en", 60).split()), "en", "own", 0, "x", 1, 2), (901, "&&& ".join(sentence(rng, "en", 60).split()), "xx", "own", 0, "x", 1, 2)]
+    rows += rows[-2:]
+    got = [(r["doc_id"], r["kept"], r["distance2"]) for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert {k for i, k, _ in got if i >= 900} == {False} and len({x for x in got if x[0] >= 900}) == 2
+    assert sum(k for i, k, _ in got if i < 900) >= 117
+
+
 def test_quality_rejects_far_documents(spark, empty):
     rng = random.Random(5)
     rows = [(i, sentence(rng, "en", rng.randint(30, 90)), "en", f"s{i % 2}", 0, "x", 1, 2) for i in range(500)]
@@ -219,6 +279,72 @@ def test_mixing_meets_the_margins(docs, empty):
     assert words == {i: len(brute.WORD.findall(t)) for i, t in texts()}
 
 
+@pytest.mark.parametrize("good, bad, sample", [(5, 7, 6), (30, 3, 20), (2_000, 9_000, 40), (10**12, 10**12, 30)])
+def test_hypergeometric_law(good, bad, sample):
+    rng, n = np.random.default_rng(1), 20_000
+    got = np.bincount([sharding.hypergeometric(rng, good, bad, sample) for _ in range(n)], minlength=sample + 1)
+    if good < 10**9:
+        total = math.comb(good + bad, sample)
+        want = np.array([math.comb(good, k) * math.comb(bad, sample - k) / total if k <= good and sample - k <= bad else 0.0 for k in range(sample + 1)])
+    else:  # nearly binomial
+        want = np.array([math.comb(sample, k) * 0.5**sample for k in range(sample + 1)])
+    assert not got[want == 0].any()
+    often = want * n >= 5
+    chi2 = ((got - want * n)[often] ** 2 / (want * n)[often]).sum()
+    assert chi2 < often.sum() + 5 * (2 * often.sum()) ** 0.5 + 5
+
+
+def test_hypergeometric_of_large_populations():
+    rng = np.random.default_rng(2)
+    got = np.array([sharding.hypergeometric(rng, 3 * 10**11, 7 * 10**11, 10**10) for _ in range(400)], dtype=float)
+    sd = (10**10 * 0.3 * 0.7 * 0.99) ** 0.5
+    assert abs(got.mean() - 3 * 10**9) < 5 * sd / 20 and 0.8 < got.std() / sd < 1.2
+    m = sharding.communication_matrix([10**10] * 3, [6 * 10**9] * 5, 1)
+    assert (m.sum(1) == 10**10).all() and (m.sum(0) == 6 * 10**9).all()
+
+
+def test_partitions_share_a_row_of_the_matrix():
+    sizes = np.array([5, 0, 9, 4, 3, 8, 1])
+    matrix = sharding.communication_matrix([int(sizes[i::3].sum()) for i in range(3)], [10, 10, 10], 4)
+    own = np.array([sharding.own_share(matrix, sizes, p, 4) for p in range(7)])
+    assert own.sum(1).tolist() == sizes.tolist() and own.sum(0).tolist() == [10, 10, 10]
+    assert all((own[i::3].sum(0) == matrix[i]).all() for i in range(3))
+
+
+def test_sharding_of_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "x", 7)] * 300 + [(None, None, 8)] * 5 + [(i, "y" * 50_000, 9) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, dice string, at long").repartition(5).withColumn("AT_", F.lit("q")).withColumn("slot", F.lit(99))
+    got = sharding.shuffle_into_shards(df, 8)
+    assert got.columns == ["doc_id", "dice", "at", "AT_", "shard", "slot"]
+    got = got.collect()
+    assert Counter((r["doc_id"], r["dice"], r["at"]) for r in got) == Counter(rows) and {r["AT_"] for r in got} == {"q"}
+    slots = [(r["shard"], r["slot"]) for r in got]
+    assert len(set(slots)) == len(rows) and all((s, k) in set(slots) for s in range(8) for k in range(len(rows) // 8))
+
+
+def test_mixing_meets_stated_shares(spark):
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randint(20, 60), rng.choice(["en", "fr", None]), rng.choice("abc"), "q") for i in range(600)]
+    docs = spark.createDataFrame([*rows, *rows[:9], (None, None, None, None, "q")], "doc_id long, text string, lang string, source string, source_kind string")
+    stated = {"source": {"a": 0.5, "b": 0.2}, "lang": {"en": 0.4, None: 0.3}, "topic": {"x": 0.25}}
+    topic = F.when(F.col("doc_id") % 2 == 0, "x").otherwise("y")
+    got = {(r["axis"], r["kind"]): (r["target"], r["expected"]) for r in mixing.margins(docs, keep=0.4, targets=stated, topic=topic).collect()}
+    assert all(abs(got[a, k][0] - v) < 1e-9 for a, shares in stated.items() for k, v in shares.items())
+    assert all(abs(t - e) < 1e-6 for t, e in got.values())
+    mixed = mixing.mix(docs, keep=0.4, targets=stated, topic=topic)
+    assert mixed.columns == [*docs.columns, "tokens", "topic", "weight", "probability", "sampled"]
+    found = mixed.collect()
+    kept = sum(r["tokens"] * r["probability"] for r in found)
+    assert abs(sum(r["tokens"] * r["probability"] for r in found if r["source"] == "a") / kept - 0.5) < 1e-6
+    fate = {}
+    for r in found:
+        assert fate.setdefault(r["doc_id"], r["sampled"]) == r["sampled"] and r["source_kind"] == "q"
+    with pytest.warns(UserWarning, match="margins"):
+        mixing.mix(docs.filter("source <> 'a'").withColumn("source", F.lit("b")), targets={"lang": {"en": 0.9, "fr": 0.1}}, keep=0.99)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, targets={"lang": {"en": 0.9, "fr": 0.3}})
+
+
 def test_sharding_is_exact(docs, empty):
     got = sharding.shuffle_into_shards(docs, 8).collect()
     slots = {}
@@ -257,7 +383,8 @@ def test_words_are_encoded_as_in_their_text():
     marks = ["a", "Bc", " ", "  ", "\n", "\n\n", "\t", "é", "1", "'s", "!", "<|endoftext|>", "\x1c", "\x85", "🙂", ". ", ",", "&&&", "²", "　"]
     many = ["".join(rng.choices(marks, k=rng.randint(0, 12))) for _ in range(3000)]
     want = [e.ids for e in Tokenizer.from_file(path).encode_batch(many, add_special_tokens=False)]
-    assert [np.frombuffer(b, "<u4").tolist() for b in token_output.encode_texts(path, many)] == want
+    ids, ends = token_output.encoder(path).encode(pa.array(many))
+    assert [ids[a : z - 1].tolist() for a, z in zip(ends[:-1], ends[1:])] == want and not ids[ends[1:] - 1].any()
 
 
 def test_warc_round_trip(spark):
