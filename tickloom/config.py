@@ -18,6 +18,10 @@ PRESETS = {
     "default": Preset(50, 5, 10, 70),
     "aggressive": Preset(45, 10, 20, 60),
 }
+#: Keys of published results (fixed values).
+STRATEGIES = ("trend", "minervini", "consensus_2star", "consensus_1star")
+SAMPLES, BASES, QUALITIES, REGIMES, STATES = ("in", "out"), ("allSignals", "top5"), ("all", "normal", "relaxed"), ("up", "neutral", "down"), ("0", "1", "2", "3")
+COHORTS = ("0d", "1-2d", "3-4d", "5d+", "no_recent_breakout")
 MIN_BARS, SIM_WINDOW, YEAR = 110, 63, 252
 MIN_RESULTS, MAX_RESULTS = 5, 10
 WARMUP, BUFFER_BARS, STEP = 252, 120, 5

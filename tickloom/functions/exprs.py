@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -39,16 +41,28 @@ def sma(x: str, n: int) -> Column:
     return guarded(n, F.avg(x).over(last(n)))
 
 
+#: Bars of a block of recursive averages: what is older than a whole block weighs less than 1e-19 for all averages of
+#: up to 26 bars (14 after Wilder), and a power over one block stays far from overflow.
+BLOCK = 600
+
+
 def smooth(x: Column, n: int, first: int, alpha: float) -> Column:
-    """Recursive average seeded by the mean of x at bars first .. first + n - 1, as one running sum.
+    """Recursive average seeded by the mean of x at bars first .. first + n - 1, of series of any length.
 
-    Valid while (1 - alpha) ** -bars stays finite: 3,177 bars for alpha = 0.2, more for smaller ones.
+    Powers are anchored anew in each block of bars: a bar adds up its own block so far, the whole block before it, and
+    the seed, each under its own power.
     """
-    q, seed_at = 1.0 - alpha, first + n - 1
+    q, seed_at, size = 1.0 - alpha, first + n - 1, max(BLOCK, math.ceil(44 / -math.log(1.0 - alpha)))
     i = F.col("idx")
+    block = F.floor(i / size)
+    at = i - block * size
+    power = lambda k: F.pow(F.lit(q), k)
+    part = F.when(i > seed_at, alpha * x * power(-at))
     seed = F.sum(F.when(i.between(first, seed_at), x / n)).over(whole())
-    tail = F.sum(F.when(i > seed_at, alpha * x * F.pow(F.lit(q), -(i - seed_at)))).over(run())
-    return F.when(i >= seed_at, F.pow(F.lit(q), i - seed_at) * (seed + F.coalesce(tail, F.lit(0.0))))
+    own = F.sum(part).over(Window.partitionBy("ticker", block).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.sum(part).over(Window.partitionBy("ticker").orderBy(block).rangeBetween(-1, -1))
+    tail = power(at) * (F.coalesce(own, F.lit(0.0)) + q**size * F.coalesce(before, F.lit(0.0)))
+    return F.when(i >= seed_at, power(i - seed_at) * seed + tail)
 
 
 def ema(x: Column, n: int, first: int = 0) -> Column:

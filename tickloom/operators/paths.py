@@ -71,7 +71,8 @@ def at_signal(signals: DataFrame, f: DataFrame) -> DataFrame:
     return signals.join(known, KEY)
 
 
-def _ahead(starts: DataFrame, f: DataFrame, at: str, first: int, last: int, columns: list[str]) -> DataFrame:
+def ahead(starts: DataFrame, f: DataFrame, at: str, first: int, last: int, columns: list[str]) -> DataFrame:
+    """starts by offset first to last from bar `at`, with the columns of the bar there as a_...; an equi-join on ticker and bar."""
     steps = starts.withColumn("offset", F.explode(F.sequence(F.lit(first), F.lit(last))))
     steps = steps.withColumn("a_idx", F.col(at) + F.col("offset"))
     return steps.join(f.select("ticker", F.col("idx").alias("a_idx"), *[F.col(c).alias(f"a_{c}") for c in columns]), ["ticker", "a_idx"])
@@ -84,8 +85,8 @@ def fills(s: DataFrame, f: DataFrame, name: str) -> DataFrame:
     s = s.withColumn("kind", F.lit(rule.kind))
     if rule.hit is None:
         return s.withColumns({"fill_idx": F.when(allowed, F.col("at")), "price": F.when(allowed, F.col("close"))})
-    ahead = f.withColumn("before", F.lag("close").over(Window.partitionBy("ticker").orderBy("idx")))
-    walk = _ahead(s.filter(allowed), ahead, "at", 1, rule.window, ["open", "high", "close", "volume", "vsma50", "before", "next_open"])
+    bars_ = f.withColumn("before", F.lag("close").over(Window.partitionBy("ticker").orderBy("idx")))
+    walk = ahead(s.filter(allowed), bars_, "at", 1, rule.window, ["open", "high", "close", "volume", "vsma50", "before", "next_open"])
     first = walk.filter(rule.hit()).groupBy(*KEY).agg(F.min(F.struct("offset", rule.price().alias("price"))).alias("hit"))
     s = s.join(first, KEY, "left")
     ok = F.col("hit.price").isNotNull()
@@ -103,13 +104,13 @@ def exits(filled: DataFrame, f: DataFrame, rules: list[str], regimes: DataFrame
         days = regimes.filter("regime = 'down' AND transition_date = date").select("date", F.lit(True).alias("flip"))
         f, flip = f.join(F.broadcast(days), "date", "left"), F.coalesce("flip", F.lit(False))
     f = f.withColumn("flip", flip)
-    walk = _ahead(filled.filter("fill_idx IS NOT NULL").join(start, ["ticker", "fill_idx"]), f, "fill_idx", 0, HOLD, ["close", "x1", "x4", "flip"])
+    walk = ahead(filled.filter("fill_idx IS NOT NULL").join(start, ["ticker", "fill_idx"]), f, "fill_idx", 0, HOLD, ["close", "x1", "x4", "flip"])
     w = Window.partitionBy(*KEY).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = F.col("offset") >= 1
-    walk = walk.withColumns({"top": F.max("a_close").over(w), "peak": F.greatest("price", F.max(F.when(ahead, F.col("a_close"))).over(w))})
+    later = F.col("offset") >= 1
+    walk = walk.withColumns({"top": F.max("a_close").over(w), "peak": F.greatest("price", F.max(F.when(later, F.col("a_close"))).over(w))})
     walk = walk.withColumn("mdd", F.max((F.col("top") - F.col("a_close")) / F.col("top")).over(w))
     end = F.struct("offset", "a_close", "mdd")
-    stops = [F.min(F.when(ahead & EXITS[r](), end)).alias(r) for r in rules]
+    stops = [F.min(F.when(later & EXITS[r](), end)).alias(r) for r in rules]
     keep = [F.first(c).alias(c) for c in filled.columns + ["fill_date"] if c not in KEY]
     got = walk.groupBy(*KEY).agg(*stops, F.max(F.when(F.col("offset") == HOLD, end)).alias("_time"), *keep)
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.coalesce(r, "_time").alias("end"), F.col(r).isNotNull().alias("stop_hit")) for r in rules])).alias("x")
@@ -120,7 +121,7 @@ def exits(filled: DataFrame, f: DataFrame, rules: list[str], regimes: DataFrame
 def held(filled: DataFrame, f: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """A row for each filled position and horizon whose exit bar exists: days, exit_close, mdd."""
     start = f.select("ticker", F.col("idx").alias("fill_idx"), F.col("date").alias("fill_date"))
-    walk = _ahead(filled.filter("fill_idx IS NOT NULL").join(start, ["ticker", "fill_idx"]), f, "fill_idx", 0, max(horizons), ["close"])
+    walk = ahead(filled.filter("fill_idx IS NOT NULL").join(start, ["ticker", "fill_idx"]), f, "fill_idx", 0, max(horizons), ["close"])
     w = Window.partitionBy(*KEY).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     walk = walk.withColumn("top", F.max("a_close").over(w)).withColumn("mdd", F.max((F.col("top") - F.col("a_close")) / F.col("top")).over(w))
     return walk.filter(F.col("offset").isin(*horizons)).select(*filled.columns, "fill_date", F.col("offset").alias("days"), F.col("a_close").alias("exit_close"), "mdd")
@@ -155,7 +156,7 @@ def climax_partial(filled: DataFrame, f: DataFrame) -> DataFrame:
     days_held is the weighted length; legs have benchmarks of their own, so days lists the first leg's length.
     """
     start = f.select("ticker", F.col("idx").alias("fill_idx"), F.col("date").alias("fill_date"))
-    walk = _ahead(filled.filter("fill_idx IS NOT NULL").join(start, ["ticker", "fill_idx"]), f, "fill_idx", 0, HOLD, ["close", "x4"])
+    walk = ahead(filled.filter("fill_idx IS NOT NULL").join(start, ["ticker", "fill_idx"]), f, "fill_idx", 0, HOLD, ["close", "x4"])
     whole = Window.partitionBy(*KEY)
     w = whole.orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     walk = walk.withColumns({"first": F.min(F.when((F.col("offset") >= 1) & F.col("a_x4"), F.struct("offset", "a_close"))).over(whole), "_n": F.max("offset").over(whole)})

@@ -22,10 +22,15 @@ def evaluation_dates(calendar: DataFrame, warmup: int = WARMUP, buffer: int = BU
 
 
 def snapshots(f: DataFrame, dates: DataFrame) -> DataFrame:
-    """The last bar of every ticker at or before each date: an equi-join on the dates that each bar is current."""
-    until = f.withColumn("_next", F.lead("date").over(by()))
-    # dates are one row a grid day: a few thousand at most, so the range join runs against a broadcast list
-    return until.join(F.broadcast(dates), (F.col("eval_date") >= F.col("date")) & (F.col("_next").isNull() | (F.col("eval_date") < F.col("_next")))).drop("_next")
+    """The last bar of every ticker at or before each date (eval_date): an equi-join on the days that each bar is current.
+
+    A bar is current until the day before the ticker's next bar, the last one until the last date; these few days are
+    spelled out and met with the dates, so no bar is compared with dates that it can't serve.
+    """
+    until = f.withColumn("_next", F.lead("date").over(by())).crossJoin(F.broadcast(dates.agg(F.max("eval_date").alias("_last"))))
+    end = F.least(F.date_sub("_next", 1), "_last")
+    days = until.filter(end >= F.col("date")).withColumn("eval_date", F.explode(F.sequence("date", end)))
+    return days.join(dates, "eval_date").drop("_next", "_last").select(*f.columns, "eval_date")
 
 
 def with_template(s: DataFrame) -> DataFrame:
@@ -57,9 +62,9 @@ def sector_returns(s: DataFrame) -> DataFrame:
 
 
 def breadth(f: DataFrame, calendar: DataFrame) -> DataFrame:
-    """date, breadth: share of tickers above their 200-bar average, null without any."""
-    size = f.groupBy("ticker").agg((F.count("*") >= MIN_BARS).alias("ok")).filter("ok").select("ticker")
-    above = f.join(F.broadcast(size), "ticker", "left_semi").groupBy("date").agg(F.avg((F.col("close") > F.col("sma200")).cast("int")).alias("breadth"))
+    """date, breadth: share of tickers above their 200-bar average, null without any. f: ticker, idx, date, close, sma200."""
+    enough = F.count("*").over(Window.partitionBy("ticker")) >= MIN_BARS
+    above = f.withColumn("ok", enough).filter("ok").groupBy("date").agg(F.avg((F.col("close") > F.col("sma200")).cast("int")).alias("breadth"))
     return calendar.join(above, "date", "left").select("date", "breadth")
 
 
@@ -139,11 +144,13 @@ def gate(listed: DataFrame, regime: DataFrame) -> DataFrame:
 
 
 def consensus(trend: DataFrame, template: DataFrame) -> DataFrame:
+    """Both lists as one: two stars where a ticker is on both; rank runs over the whole date, two stars first."""
     pct = F.cume_dist().over(Window.partitionBy("eval_date").orderBy("score")) * 100
-    a = trend.select("eval_date", "ticker", F.col("rank").alias("trend_rank"), F.col("score").alias("trend_score"), pct.alias("a"))
-    b = template.select("eval_date", "ticker", F.col("rank").alias("template_rank"), F.col("score").alias("template_score"), pct.alias("b"))
+    a = trend.select("eval_date", "ticker", F.col("rank").alias("trend_rank"), F.col("score").alias("trend_score"), F.col("level").alias("trend_level"), pct.alias("a"))
+    b = template.select("eval_date", "ticker", F.col("rank").alias("template_rank"), F.col("score").alias("template_score"), F.col("level").alias("template_level"), pct.alias("b"))
     j = a.join(b, ["eval_date", "ticker"], "full_outer")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     j = j.withColumns({"stars": F.when(both, 2).otherwise(1), "consensus_pct": F.when(both, (F.col("a") + F.col("b")) / 2).otherwise(F.coalesce("a", "b"))})
     order = Window.partitionBy("eval_date").orderBy(F.desc("stars"), F.desc(half_up(F.col("consensus_pct"), 8)), F.col("trend_rank").asc_nulls_last(), "template_rank")
-    return j.withColumn("rank", F.row_number().over(order))
+    relaxed = F.coalesce("trend_level", "template_level") != "strict"
+    return j.withColumn("rank", F.row_number().over(order)).withColumn("relaxed", relaxed)

@@ -1,10 +1,10 @@
-"""The backtest queries as SQL, written independently of the DataFrame code, for checking results."""
+"""The backtest queries as SQL, for checking results in another engine."""
 
 from __future__ import annotations
 
-from tickloom.config import HORIZONS
-from tickloom.plans.backtest_queries import COMBOS
-from tickloom.plans.oracle import _ALL, _CROSS, _DAILY, BARS, EXITS, FORWARD, QUARTERS, STATE, _r, _sql, _trend
+from tickloom.config import COHORTS, HORIZONS, REGIMES, SAMPLES, STATES, STRATEGIES
+from tickloom.plans.backtest_queries import COMBOS, POLICIES
+from tickloom.plans.oracle import _ALL, _CROSS, _DAILY, _SAMPLE, BARS, EXITS, FORWARD, QUARTERS, STATE, _cells, _r, _sql, _summary, _trend
 from tickloom.plans.oracle import SQL as BASE
 
 _T = "PARTITION BY ticker ORDER BY idx"
@@ -23,7 +23,7 @@ pb AS (SELECT p.*, -(p.close - p.pvt) / p.pvt * 100 AS depth, COALESCE(p.close >
        FROM pb0 p LEFT JOIN cum c ON c.ticker = p.ticker AND c.idx = p.idx LEFT JOIN cum k ON k.ticker = p.ticker AND k.idx = p.peak_idx
        LEFT JOIN cum k1 ON k1.ticker = p.ticker AND k1.idx = p.peak_idx - 1 LEFT JOIN cum r1 ON r1.ticker = p.ticker AND r1.idx = 2 * p.peak_idx - p.idx - 1)
 """
-SPLIT = "sp AS (SELECT eval_date AS split FROM (SELECT eval_date, ROW_NUMBER() OVER (ORDER BY eval_date) - 1 AS i, COUNT(*) OVER () AS n FROM grid) WHERE i = n // 2)"
+SPLIT = _SAMPLE
 RECORDS = f"""
 rec AS MATERIALIZED (SELECT t.eval_date, t.ticker, CAST(ROW_NUMBER() OVER (PARTITION BY t.eval_date ORDER BY t.rank) AS INT) AS rank, t.level <> 'strict' AS relaxed, t.regime, COALESCE(s.n_passed = 8, FALSE) AS p1,
    CASE WHEN t.eval_date >= split THEN 'out' ELSE 'in' END AS sample
@@ -112,19 +112,25 @@ _COHORT = "CASE WHEN {0} IS NULL OR {0} >= 10 THEN 'no_recent_breakout' WHEN {0}
 _FRESH = f"fr AS (SELECT ticker, date, {_COHORT.format('since_cross')} AS cc, {_COHORT.format('since_high')} AS pc FROM (SELECT *, idx - MAX(CASE WHEN proximity = 0 THEN idx END) OVER ({_T} ROWS UNBOUNDED PRECEDING) AS since_high FROM f))"
 
 
+_SIGNED = "sx AS (SELECT sig.*, st.state, reg.regime FROM sig LEFT JOIN st ON st.ticker = sig.ticker AND st.date = sig.eval_date LEFT JOIN reg ON reg.date = sig.eval_date CROSS JOIN sp WHERE sig.eval_date >= split)"
+
+
 def _policy(name: str, pool: str, keep: str) -> str:
-    return f"""SELECT *, '{name}' AS policy, 'policy' AS arm FROM (SELECT * FROM ps WHERE {pool} AND {keep} AND sample = 'out' AND days = 20 QUALIFY ROW_NUMBER() OVER (PARTITION BY eval_date ORDER BY rank, strategy, ticker) <= 5)
-      UNION ALL SELECT *, '{name}', 'baseline' FROM ps WHERE {pool} AND rank <= 5 AND sample = 'out' AND days = 20"""
+    """Picks are made among all signals of a date; those with a bar 20 days on are measured."""
+    arms = f"""SELECT eval_date, ticker, strategy, 'policy' AS arm FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY eval_date ORDER BY rank) AS place FROM sx WHERE {pool} AND {keep}) WHERE place <= 5
+      UNION ALL SELECT eval_date, ticker, strategy, 'baseline' FROM sx WHERE {pool} AND rank <= 5"""
+    return f"SELECT ps.*, '{name}' AS policy, arm FROM ({arms}) JOIN ps USING (eval_date, ticker, strategy) WHERE days = 20"
 
 
 _TREND_ONLY, _PAIR = "strategy = 'trend'", "strategy LIKE 'consensus%'"
 _POLICIES = " UNION ALL ".join(
     [
         _policy("relax_off_in_downturn", _TREND_ONLY, "NOT (COALESCE(regime, '') = 'down' AND relaxed)"),
-        _policy("twostar_only_in_downturn", _PAIR, "NOT (COALESCE(regime, '') = 'down' AND strategy = 'consensus1')"),
+        _policy("twostar_only_in_downturn", _PAIR, "NOT (COALESCE(regime, '') = 'down' AND strategy = 'consensus_1star')"),
         _policy("actionable_only_top5", _TREND_ONLY, "state IN ('1', '2')"),
     ]
 )
+_ARMS = _cells({"policy": tuple(POLICIES), "arm": ("policy", "baseline")}, f"SELECT policy, arm, COUNT(*) AS signals, {_summary('', '').split('AS signals, ')[1].split(' FROM ')[0]} FROM ({_POLICIES}) GROUP BY ALL")
 _TREND_CTES = [*_CROSS, _trend("default")]
 _D = "COALESCE(disparity, 0)"
 _INVERTED = f"""SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY eval_date ORDER BY score DESC, old) AS INT) AS rank FROM (SELECT t.eval_date, t.ticker, t.rank AS old, {_r(
@@ -200,11 +206,26 @@ SQL: dict[str, str] = {
     "pullback_checks": _sql(_SIG, f"SELECT ticker, idx, peak_idx, depth BETWEEN 10 AND 25 AS p2, p3, p4, {_r('depth')} AS depth_pct, {_r('low_since')} AS pullback_low, {_r('resume')} AS resume_trigger FROM pb WHERE pvt IS NOT NULL"),
     "pullback_funnel": _sql(_SIG, f"SELECT sample, basis, regime, COUNT(*) AS signals, COUNT(*) FILTER (WHERE pvt IS NULL) AS insufficient, {_FUNNEL} FROM (SELECT *, {_BASIS} FROM sg WHERE regime IS NOT NULL) GROUP BY ALL"),
     "pullback_axis": _pullback_axis(),
-    "signal_performance": _sql(_PERF, f"SELECT eval_date, ticker, strategy, days, sample, regime, {_r('ret')} AS ret, {_r('excess')} AS excess FROM pr"),
-    "state_axis": _sql(_STATED, f"SELECT strategy, sample, state, days, {_SUM} FROM ps WHERE state <> 'undetermined' GROUP BY ALL"),
-    "state_regime_axis": _sql(_STATED, f"SELECT strategy, sample, state, regime, days, {_SUM} FROM ps WHERE state <> 'undetermined' AND regime IS NOT NULL GROUP BY ALL"),
-    "freshness_axis": _sql([*_PERF, _FRESH], f"SELECT strategy, CASE WHEN strategy = 'trend' THEN cc ELSE pc END AS cohort, days, {_SUM} FROM pr JOIN fr ON fr.ticker = pr.ticker AND fr.date = pr.eval_date WHERE strategy IN ('trend', 'template') GROUP BY ALL"),
-    "policy_variants": _sql(_STATED, f"SELECT policy, arm, {_SUM} FROM ({_POLICIES}) GROUP BY ALL"),
+    "signal_performance": _sql(_PERF, f"SELECT eval_date, ticker, strategy, days, sample, regime, {_r('ret')} AS ret, {_r('excess')} AS excess, {_r('mdd')} AS mdd FROM pr"),
+    "state_axis": _sql(_STATED, _cells({"strategy": STRATEGIES, "sample": SAMPLES, "state": STATES, "days": HORIZONS}, _summary("strategy, sample, state, days", "(SELECT * FROM ps WHERE state <> 'undetermined')"))),
+    "state_regime_axis": _sql(
+        _STATED,
+        _cells({"strategy": STRATEGIES, "sample": SAMPLES, "state": STATES, "regime": REGIMES, "days": HORIZONS}, _summary("strategy, sample, state, regime, days", "(SELECT * FROM ps WHERE state <> 'undetermined' AND regime IS NOT NULL)")),
+    ),
+    "freshness_axis": _sql(
+        [*_PERF, _FRESH],
+        _cells(
+            {"strategy": STRATEGIES[:2], "cohort": COHORTS, "days": HORIZONS},
+            _summary("strategy, cohort, days", "(SELECT pr.*, CASE WHEN strategy = 'trend' THEN cc ELSE pc END AS cohort FROM pr JOIN fr ON fr.ticker = pr.ticker AND fr.date = pr.eval_date WHERE strategy IN ('trend', 'minervini'))"),
+        ),
+    ),
+    "policy_variants": _sql([*_STATED, _SIGNED], _ARMS),
+    "policy_deltas": _sql(
+        [*_STATED, _SIGNED, f"arms AS ({_ARMS})"],
+        f"""SELECT *, policy_signals >= least_signals AS sufficient_sample, COALESCE(policy_signals >= least_signals AND excess_delta >= 0 AND win_rate_delta >= 0, FALSE) AS meets_criteria FROM (
+        SELECT p.policy, p.signals AS policy_signals, b.signals AS baseline_signals, {_r('p.avg_excess - b.avg_excess', 4)} AS excess_delta, {_r('p.win_rate - b.win_rate', 4)} AS win_rate_delta,
+          CAST(CASE p.policy WHEN 'actionable_only_top5' THEN 100 ELSE 50 END AS INT) AS least_signals FROM arms p JOIN arms b ON b.policy = p.policy WHERE p.arm = 'policy' AND b.arm = 'baseline')""",
+    ),
     "variant_inverted_u": _sql(_TREND_CTES, f"SELECT eval_date, ticker, score, rank FROM ({_INVERTED})"),
     "variant_adx_gate": _sql(_TREND_CTES, "SELECT eval_date, ticker, score, level, CAST(ROW_NUMBER() OVER (PARTITION BY eval_date ORDER BY score DESC, pos) AS INT) AS rank FROM tr3 WHERE signal AND COALESCE(adx14, 0) >= 20"),
     "variant_consensus_weighted": _sql(
@@ -221,11 +242,11 @@ SQL: dict[str, str] = {
         SELECT *, AVG(close * volume) OVER ({_T} ROWS 19 PRECEDING) AS dollars FROM bars) QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY idx DESC) = 1""",
     ),
     "ticker_sufficiency": _sql([BARS], "SELECT ticker, COUNT(*) AS n_bars, COUNT(*) >= 110 AS sufficient, CASE WHEN COUNT(*) < 110 THEN 'fewer than 110 bars' END AS reason FROM bars GROUP BY ticker"),
-    "text_search": "SELECT n_name AS ticker, r_name AS sector FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name LIKE '%\\_1%' ESCAPE '\\' OR r_name LIKE '%\\_1%' ESCAPE '\\'",
+    "text_search": _sql([BARS], "SELECT ticker, sector, COUNT(*) AS bars FROM bars WHERE ticker LIKE '%\\_1%' ESCAPE '\\' OR sector LIKE '%\\_1%' ESCAPE '\\' GROUP BY ALL"),
     "fundamental_metrics": _sql([QUARTERS, METRICS], f"SELECT ticker, {_r('eps_yoy', 4)} AS eps_yoy, {_r('revenue_yoy', 4)} AS revenue_yoy, roe, margin_up, accelerating FROM mt"),
     "fundamental_hurdle": _sql([QUARTERS, METRICS], "SELECT ticker, verdict FROM vd"),
     "fundamental_asof": _sql([*_ALL, _HISTORY, _ASOF], "SELECT eval_date, ticker, rank, verdict FROM av"),
-    "fundamental_axis": _sql([*_PERF, _HISTORY, _ASOF], f"SELECT verdict, days, {_SUM} FROM pr JOIN av USING (eval_date, ticker) WHERE strategy = 'trend' AND verdict IN ('pass', 'partial', 'fail') GROUP BY ALL"),
+    "fundamental_axis": _sql([*_PERF, _HISTORY, _ASOF], _summary("verdict, days", "(SELECT pr.*, verdict FROM pr JOIN av USING (eval_date, ticker) WHERE strategy = 'trend' AND verdict IN ('pass', 'partial', 'fail'))")),
     "recommend_fundamental_split": _sql([*_ALL, QUARTERS, METRICS], "SELECT eval_date, ticker, verdict, COALESCE(verdict, '') <> 'fail' AS visible FROM tg LEFT JOIN vd USING (ticker) WHERE signal"),
     "portfolio_weighted": _sql(_TREND_CTES, f"SELECT eval_date, COUNT(*) AS tickers, {_r('SUM(t.score * sim_return) / NULLIF(SUM(t.score), 0)')} AS weighted_return, {_r('SUM(t.score * volatility) / NULLIF(SUM(t.score), 0)')} AS weighted_volatility FROM trend t JOIN s USING (eval_date, ticker) GROUP BY eval_date"),
     "pie_buckets": _sql(

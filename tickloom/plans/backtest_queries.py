@@ -2,39 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.config import HORIZONS, PRESETS
+from tickloom.config import COHORTS, HORIZONS, PRESETS, REGIMES, SAMPLES, STATES, STRATEGIES
 from tickloom.functions.exprs import half_up
 from tickloom.operators import backtest, filters, fundamentals, paths, portfolio, screening, variants
-from tickloom.plans.queries import QUERY, _features, _lists, _regimes, _snapshot
-from tickloom.sources.bars import bars, quarters, table
+from tickloom.plans.queries import QUERY, _basis, _features, _lists, _perf, _regimes, _sampled, _signals, _snapshot
+from tickloom.sources.bars import bars, quarters
 from tickloom.sources.stage import staged
 
+#: Pairs of rules that are published (fixed values), named by both.
 COMBOS = {
-    "confirm2_stop_atr": ("entry_pivot_confirm2", "exit_stop_atr"),
-    "trigger_vol_sma50_break": ("entry_pivot_trigger_vol", "exit_sma50_break"),
-    "confirm2_sma50_break": ("entry_pivot_confirm2", "exit_sma50_break"),
-    "resume_vol_structural": ("pullback_resume_vol", "exit_structural"),
-    "close_regime_conditional": ("entry_close", "exit_regime_conditional"),
+    f"{entry}+{rule}": (entry, rule)
+    for entry, rule in (
+        ("entry_pivot_confirm2", "exit_stop_atr"),
+        ("entry_pivot_trigger_vol", "exit_sma50_break"),
+        ("entry_pivot_confirm2", "exit_sma50_break"),
+        ("pullback_resume_vol", "exit_structural"),
+        ("entry_close", "exit_regime_conditional"),
+    )
 }
 
 
-def _bars_ahead(spark: SparkSession, d: str) -> DataFrame:
-    return _features(spark, d)
-
-
-def _split(spark: SparkSession, d: str) -> DataFrame:
-    """split: the middle evaluation date; it and later ones are out of sample. One row."""
-    dates = screening.evaluation_dates(screening.trading_calendar(_features(spark, d)))
-    return dates.agg(F.array_sort(F.collect_list("eval_date")).alias("a")).select(F.get("a", F.floor(F.size("a") / 2).cast("int")).alias("split"))
-
-
-def _sampled(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
-    return df.crossJoin(F.broadcast(_split(spark, d))).withColumn("sample", F.when(F.col("eval_date") >= F.col("split"), "out").otherwise("in")).drop("split")
-
-
 def _records(spark: SparkSession, d: str) -> DataFrame:
     """Gated trend signals ranked anew, with sample, regime and p1."""
     trend, _ = _lists(spark, d)
@@ -44,17 +36,12 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return staged(spark, d, "records", lambda: _sampled(spark, d, r.join(p1, ["eval_date", "ticker"])))
 
 
-def _basis(df: DataFrame) -> DataFrame:
-    both, one = F.array(F.lit("allSignals"), F.lit("top5")), F.array(F.lit("allSignals"))
-    return df.withColumn("basis", F.explode(F.when(F.col("rank") <= 5, both).otherwise(one)))
-
-
 def _out_top5(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d).filter("rank <= 5 AND sample = 'out'")
 
 
 def _filled(spark: SparkSession, d: str, name: str, records: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    f = _bars_ahead(spark, d)
+    f = _features(spark, d)
     return paths.fills(paths.at_signal(_records(spark, d) if records is None else records, f), f, name), f
 
 
@@ -121,12 +108,12 @@ def _climax(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pullback_checks(spark: SparkSession, d: str) -> DataFrame:
-    f = _bars_ahead(spark, d)
+    f = _features(spark, d)
     return f.filter("pivot IS NOT NULL").select("ticker", "idx", "peak_idx", "p2", "p3", "p4", *[half_up(F.col(c)).alias(c) for c in ("depth_pct", "pullback_low", "resume_trigger")])
 
 
 def _funnel(spark: SparkSession, d: str) -> DataFrame:
-    s = _basis(paths.at_signal(_records(spark, d), _bars_ahead(spark, d))).filter("regime IS NOT NULL")
+    s = _basis(paths.at_signal(_records(spark, d), _features(spark, d))).filter("regime IS NOT NULL")
     ok, steps = F.col("pivot").isNotNull(), [F.col(c) for c in ("p1", "p2", "p3", "p4")]
     counts = [F.count_if(F.coalesce(ok & _all(steps[:k]), F.lit(False))).alias(n) for k, n in ((1, "p1"), (2, "p1p2"), (3, "p1p2p3"), (4, "observed"))]
     return s.groupBy("sample", "basis", "regime").agg(F.count("*").alias("signals"), F.count_if(~ok).alias("insufficient"), *counts)
@@ -148,18 +135,8 @@ def _pullback_axis(spark: SparkSession, d: str) -> DataFrame:
     return paths.summary(_basis(out).filter("regime IS NOT NULL"), ["rule", "sample", "basis", "regime", "days"])
 
 
-def _perf(spark: SparkSession, d: str) -> DataFrame:
-    """All strategies' signals with forward performance, regime and sample."""
-    trend, template = _lists(spark, d)
-    forward = backtest.forward_returns(_features(spark, d))
-    s = backtest.signals(trend, template, screening.consensus(trend, template))
-    at = _regimes(spark, d).select(F.col("date").alias("eval_date"), "regime")
-    perf = backtest.performance(s, forward, backtest.benchmark(forward)).join(F.broadcast(at), "eval_date", "left")
-    return staged(spark, d, "performance", lambda: _sampled(spark, d, perf))
-
-
 def _signal_performance(spark: SparkSession, d: str) -> DataFrame:
-    return _perf(spark, d).select("eval_date", "ticker", "strategy", "days", "sample", "regime", half_up(F.col("ret")).alias("ret"), half_up(F.col("excess")).alias("excess"))
+    return _perf(spark, d).select("eval_date", "ticker", "strategy", "days", "sample", "regime", half_up(F.col("ret")).alias("ret"), half_up(F.col("excess")).alias("excess"), half_up(F.col("mdd")).alias("mdd"))
 
 
 def _stated(spark: SparkSession, d: str) -> DataFrame:
@@ -168,38 +145,67 @@ def _stated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _state_axis(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.summarize(_stated(spark, d), ["strategy", "sample", "state", "days"])
+    table = backtest.summarize(_stated(spark, d), ["strategy", "sample", "state", "days"])
+    return backtest.with_empty_cells(table, {"strategy": STRATEGIES, "sample": SAMPLES, "state": STATES, "days": HORIZONS})
 
 
 def _state_regime_axis(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.summarize(_stated(spark, d).filter("regime IS NOT NULL"), ["strategy", "sample", "state", "regime", "days"])
+    table = backtest.summarize(_stated(spark, d).filter("regime IS NOT NULL"), ["strategy", "sample", "state", "regime", "days"])
+    return backtest.with_empty_cells(table, {"strategy": STRATEGIES, "sample": SAMPLES, "state": STATES, "regime": REGIMES, "days": HORIZONS})
 
 
 def _freshness_axis(spark: SparkSession, d: str) -> DataFrame:
     fresh = variants.freshness(_features(spark, d)).withColumnRenamed("date", "eval_date")
-    j = _perf(spark, d).filter("strategy IN ('trend', 'template')").join(fresh, ["eval_date", "ticker"])
-    j = j.withColumn("cohort", F.when(F.col("strategy") == "trend", F.col("cross_cohort")).otherwise(F.col("pivot_cohort")))
-    return backtest.summarize(j, ["strategy", "cohort", "days"])
+    j = _perf(spark, d).filter(F.col("strategy").isin(*STRATEGIES[:2])).join(fresh, ["eval_date", "ticker"])
+    j = j.withColumn("cohort", F.when(F.col("strategy") == STRATEGIES[0], F.col("cross_cohort")).otherwise(F.col("pivot_cohort")))
+    table = backtest.summarize(j, ["strategy", "cohort", "days"])
+    return backtest.with_empty_cells(table, {"strategy": STRATEGIES[:2], "cohort": COHORTS, "days": HORIZONS})
 
 
-def _policies(spark: SparkSession, d: str) -> DataFrame:
-    """Top five out of sample re-picked under each policy, against the top five as they are; 20 bars."""
-    p = _stated_all(spark, d).filter("sample = 'out' AND days = 20")
-    trend, pair = p.filter("strategy = 'trend'"), p.filter("strategy LIKE 'consensus%'")
-    down = F.col("regime").eqNullSafe("down")
-    rows = [
-        ("relax_off_in_downturn", trend, ~(down & F.col("relaxed"))),
-        ("twostar_only_in_downturn", pair, ~(down & (F.col("strategy") == "consensus1"))),
-        ("actionable_only_top5", trend, F.col("state").isin("1", "2")),
-    ]
-    out = None
-    for name, pool, keep in rows:
-        order = Window.partitionBy("eval_date").orderBy("rank", "strategy", "ticker")
-        best = pool.filter(keep).withColumn("place", F.row_number().over(order)).filter("place <= 5").withColumn("arm", F.lit("policy"))
-        now = pool.filter("rank <= 5").withColumn("arm", F.lit("baseline")).withColumn("place", F.col("rank"))
-        one = best.unionByName(now).withColumn("policy", F.lit(name))
+#: By policy: the signals that it picks from, what it keeps of them, and the least sample to judge it on (fixed values).
+POLICIES: dict[str, tuple[tuple[str, ...], Callable[[], Column], int]] = {
+    "relax_off_in_downturn": (STRATEGIES[:1], lambda: ~(F.col("regime").eqNullSafe("down") & F.col("relaxed")), 50),
+    "twostar_only_in_downturn": (STRATEGIES[2:], lambda: ~(F.col("regime").eqNullSafe("down") & (F.col("strategy") == STRATEGIES[3])), 50),
+    "actionable_only_top5": (STRATEGIES[:1], lambda: F.col("state").isin("1", "2"), 100),
+}
+
+
+def _policy_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Top five out of sample re-picked under each policy, and the top five as they are; 20 bars."""
+    p, out = _stated_all(spark, d).filter("sample = 'out' AND days = 20"), None
+    # Five survive of all signals of a date, before it is known which of them have a bar 20 days on.
+    every = _sampled(spark, d, _signals_with_state(spark, d)).filter("sample = 'out'")
+    for name, (names, keep, _) in POLICIES.items():
+        pool = every.filter(F.col("strategy").isin(*names))
+        place = F.row_number().over(Window.partitionBy("eval_date").orderBy("rank"))
+        best = pool.filter(keep()).withColumn("place", place).filter("place <= 5").withColumn("arm", F.lit("policy"))
+        now = pool.filter("rank <= 5").withColumn("arm", F.lit("baseline"))
+        picked = best.select("eval_date", "ticker", "strategy", "arm").unionByName(now.select("eval_date", "ticker", "strategy", "arm"))
+        one = picked.join(p, ["eval_date", "ticker", "strategy"]).withColumn("policy", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    return backtest.summarize(out, ["policy", "arm"])
+    return out
+
+
+def _policies(spark: SparkSession, d: str) -> DataFrame:
+    return backtest.with_empty_cells(backtest.summarize(_policy_arms(spark, d), ["policy", "arm"]), {"policy": tuple(POLICIES), "arm": ("policy", "baseline")})
+
+
+def _policy_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """By policy: differences to the top five as they are, and whether a large enough sample is no worse."""
+    s = _policies(spark, d)
+    side = lambda arm: s.filter(F.col("arm") == arm).select("policy", *[F.col(c).alias(f"{arm}_{c}") for c in ("signals", "avg_excess", "win_rate")])
+    delta = lambda c: half_up(F.col(f"policy_{c}") - F.col(f"baseline_{c}"), 4)
+    least = F.create_map(*[F.lit(x) for name, (_, _, n) in POLICIES.items() for x in (name, n)])[F.col("policy")]
+    j = side("policy").join(side("baseline"), "policy").select("policy", "policy_signals", "baseline_signals", delta("avg_excess").alias("excess_delta"), delta("win_rate").alias("win_rate_delta"), least.alias("least_signals"))
+    enough = F.col("policy_signals") >= F.col("least_signals")
+    meets = enough & F.coalesce((F.col("excess_delta") >= 0) & (F.col("win_rate_delta") >= 0), F.lit(False))
+    return j.withColumns({"sufficient_sample": enough, "meets_criteria": meets})
+
+
+def _signals_with_state(spark: SparkSession, d: str) -> DataFrame:
+    state = _features(spark, d).select("ticker", F.col("date").alias("eval_date"), "state")
+    at = _regimes(spark, d).select(F.col("date").alias("eval_date"), "regime")
+    return _signals(spark, d).join(state, ["eval_date", "ticker"], "left").join(at, "eval_date", "left")
 
 
 def _stated_all(spark: SparkSession, d: str) -> DataFrame:
@@ -260,9 +266,9 @@ def _sufficiency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _text(spark: SparkSession, d: str) -> DataFrame:
-    """Tickers whose name or region holds the text, ignoring case and outer blanks."""
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.filter(filters.text_match(" _1", "n_name", "r_name")).select(F.col("n_name").alias("ticker"), F.col("r_name").alias("sector"))
+    """Tickers with bars whose name or sector holds the text, ignoring case and outer blanks, and how many bars they have."""
+    found = bars(spark, d).filter(filters.text_match(" _1", "ticker", "sector"))
+    return found.groupBy("ticker", "sector").agg(F.count("*").alias("bars"))
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -283,7 +289,7 @@ def _with_fundamentals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fundamental_axis(spark: SparkSession, d: str) -> DataFrame:
-    p = _perf(spark, d).filter("strategy = 'trend'")
+    p = _perf(spark, d).filter(F.col("strategy") == STRATEGIES[0])
     v = _with_fundamentals(spark, d).filter("verdict IN ('pass', 'partial', 'fail')").select("eval_date", "ticker", "verdict")
     return backtest.summarize(p.join(v, ["eval_date", "ticker"]), ["verdict", "days"])
 
@@ -334,6 +340,7 @@ QUERIES: dict[str, QUERY] = {
     "state_regime_axis": _state_regime_axis,
     "freshness_axis": _freshness_axis,
     "policy_variants": _policies,
+    "policy_deltas": _policy_deltas,
     "variant_inverted_u": _inverted,
     "variant_adx_gate": _adx_gate,
     "variant_consensus_weighted": _weighted,

@@ -1,8 +1,12 @@
-"""The same queries as SQL, written independently of the DataFrame code, for checking results."""
+"""The same queries as SQL, for checking results in another engine.
+
+Thresholds, presets and lists of columns are taken from the code under test, and recursive averages use a closed form
+that holds for the few thousand bars of the test tables; the tests follow longer series bar by bar instead.
+"""
 
 from __future__ import annotations
 
-from tickloom.config import HORIZONS, PRESETS
+from tickloom.config import BASES, HORIZONS, PRESETS, QUALITIES, REGIMES, SAMPLES, STRATEGIES
 from tickloom.plans.queries import DIGITS, INDICATORS
 
 BARS = """
@@ -189,18 +193,22 @@ ca AS (SELECT *, CUME_DIST() OVER (PARTITION BY eval_date ORDER BY score) * 100
 cb AS (SELECT *, CUME_DIST() OVER (PARTITION BY eval_date ORDER BY score) * 100 AS pct FROM mg),
 co AS (SELECT COALESCE(ca.eval_date, cb.eval_date) AS eval_date, COALESCE(ca.ticker, cb.ticker) AS ticker, CASE WHEN ca.ticker IS NOT NULL AND cb.ticker IS NOT NULL THEN 2 ELSE 1 END AS stars,
   CASE WHEN ca.ticker IS NOT NULL AND cb.ticker IS NOT NULL THEN (ca.pct + cb.pct) / 2 ELSE COALESCE(ca.pct, cb.pct) END AS consensus_pct,
-  ca.score AS trend_score, cb.score AS template_score, ca.rank AS trend_rank, cb.rank AS template_rank
+  ca.score AS trend_score, cb.score AS template_score, ca.rank AS trend_rank, cb.rank AS template_rank, COALESCE(ca.level, cb.level) <> 'strict' AS relaxed
   FROM ca FULL JOIN cb ON ca.eval_date = cb.eval_date AND ca.ticker = cb.ticker),
-cr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY eval_date, stars ORDER BY FLOOR(consensus_pct * 1e8 + 0.5::DOUBLE) DESC, trend_rank NULLS LAST, template_rank) AS rank FROM co),
+cr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY eval_date ORDER BY stars DESC, FLOOR(consensus_pct * 1e8 + 0.5::DOUBLE) DESC, trend_rank NULLS LAST, template_rank) AS rank FROM co),
 sig AS (
   SELECT eval_date, ticker, 'trend' AS strategy, ROW_NUMBER() OVER (PARTITION BY eval_date ORDER BY rank) AS rank, level <> 'strict' AS relaxed FROM tg WHERE signal
-  UNION ALL SELECT eval_date, ticker, 'template', rank, level <> 'strict' FROM mg
-  UNION ALL SELECT eval_date, ticker, CASE WHEN stars = 2 THEN 'consensus2' ELSE 'consensus1' END, rank, FALSE FROM cr)
+  UNION ALL SELECT eval_date, ticker, 'minervini', rank, level <> 'strict' FROM mg
+  UNION ALL SELECT eval_date, ticker, CASE WHEN stars = 2 THEN 'consensus_2star' ELSE 'consensus_1star' END, rank, relaxed FROM cr)
 """
 FORWARD = (
     "fw AS ("
     + " UNION ALL ".join(f"SELECT * FROM (SELECT ticker, date, {h} AS days, LEAD(close, {h}) OVER (PARTITION BY ticker ORDER BY idx) / close - 1 AS ret FROM bars) WHERE ret IS NOT NULL" for h in HORIZONS)
-    + "), bm AS (SELECT date, days, AVG(ret) AS bench FROM fw GROUP BY ALL), pf AS (SELECT sig.*, fw.days, ret, bench, ret - bench AS excess FROM sig JOIN fw ON fw.ticker = sig.ticker AND fw.date = sig.eval_date JOIN bm ON bm.date = fw.date AND bm.days = fw.days)"
+    + "), bm AS (SELECT date, days, AVG(ret) AS bench FROM fw GROUP BY ALL), wp AS (SELECT s.eval_date, s.ticker, p.idx - e.idx AS days, p.close, MAX(p.close) OVER (PARTITION BY s.eval_date, s.ticker ORDER BY p.idx) AS peak FROM (SELECT DISTINCT eval_date, ticker FROM sig) s"
+    " JOIN bars e ON e.ticker = s.ticker AND e.date = s.eval_date JOIN bars p ON p.ticker = e.ticker AND p.idx BETWEEN e.idx AND e.idx + 120),"
+    " dd AS (SELECT eval_date, ticker, days, MAX((peak - close) / peak) OVER (PARTITION BY eval_date, ticker ORDER BY days) AS mdd FROM wp),"
+    " pf AS (SELECT sig.*, fw.days, ret, bench, ret - bench AS excess, dd.mdd FROM sig JOIN fw ON fw.ticker = sig.ticker AND fw.date = sig.eval_date JOIN bm ON bm.date = fw.date AND bm.days = fw.days"
+    " JOIN dd ON dd.ticker = sig.ticker AND dd.eval_date = sig.eval_date AND dd.days = fw.days)"
 )
 
 
@@ -210,7 +218,23 @@ def _sql(ctes: list[str], select: str) -> str:
 
 def _summary(keys: str, source: str) -> str:
     return f"""SELECT {keys}, COUNT(*) AS signals, {_r('AVG((excess > 0)::INT)', 4)} AS win_rate, {_r('AVG(excess)', 4)} AS avg_excess,
-      {_r('MEDIAN(excess)', 4)} AS median_excess, {_r('AVG(ret)', 4)} AS avg_return FROM {source} GROUP BY ALL"""
+      {_r('MEDIAN(excess)', 4)} AS median_excess, {_r('AVG(ret)', 4)} AS avg_return, {_r('AVG(mdd)', 4)} AS mdd FROM {source} GROUP BY ALL"""
+
+
+def _cells(keys: dict[str, tuple], summary: str) -> str:
+    """Every combination of the keys' values with its summary, if there is one."""
+    grid = " CROSS JOIN ".join(f"(SELECT UNNEST({list(v)}) AS {k})" for k, v in keys.items())
+    return f"SELECT * REPLACE (COALESCE(signals, 0) AS signals) FROM (SELECT * FROM {grid}) LEFT JOIN ({summary}) USING ({', '.join(keys)})"
+
+
+_SAMPLE = "sp AS (SELECT eval_date AS split FROM (SELECT eval_date, ROW_NUMBER() OVER (ORDER BY eval_date) - 1 AS i, COUNT(*) OVER () AS n FROM grid) WHERE i = n // 2)"
+
+
+def _graded(source: str) -> str:
+    """source by sample, basis and quality."""
+    return f"""(SELECT x.*, CASE WHEN eval_date >= split THEN 'out' ELSE 'in' END AS sample, b.basis, q.quality FROM {source} x CROSS JOIN sp
+      JOIN (SELECT UNNEST(['allSignals', 'top5']) AS basis) b ON b.basis = 'allSignals' OR x.rank <= 5
+      JOIN (SELECT UNNEST(['all', 'normal', 'relaxed']) AS quality) q ON q.quality = 'all' OR (q.quality = 'relaxed') = x.relaxed)"""
 
 
 _DAILY = [BARS, FEATURES]
@@ -238,10 +262,20 @@ SQL: dict[str, str] = {
     "template_recommend": _sql([*_CROSS, TEMPLATE], "SELECT * FROM template"),
     "consensus_ranking": _sql(_ALL, f"SELECT eval_date, ticker, stars, {_r('consensus_pct', 4)} AS consensus_pct, trend_score, template_score FROM co"),
     "signals": _sql(_ALL, "SELECT * FROM sig"),
-    "benchmark_returns": _sql([BARS, FORWARD.split(", pf AS")[0]], f"SELECT date, days, {_r('bench')} AS bench FROM bm"),
+    "benchmark_returns": _sql([BARS, FORWARD.split(", wp AS")[0]], f"SELECT date, days, {_r('bench')} AS bench FROM bm"),
     "max_drawdown": _sql([*_CROSS, _trend("default")], _MDD),
-    "strategy_table": _sql([*_ALL, FORWARD], _summary("strategy, basis, days", "(SELECT *, UNNEST(CASE WHEN rank <= 5 THEN ['allSignals', 'top5'] ELSE ['allSignals'] END) AS basis FROM pf)")),
-    "regime_axis": _sql([*_ALL, FORWARD], _summary("strategy, regime, days", "(SELECT pf.*, regime FROM pf JOIN reg ON reg.date = pf.eval_date WHERE regime IS NOT NULL)")),
+    "strategy_table": _sql(
+        [*_ALL, FORWARD, _SAMPLE],
+        f"""SELECT c.*, rs.relaxed_share FROM ({_cells({'strategy': STRATEGIES, 'sample': SAMPLES, 'basis': BASES, 'quality': QUALITIES, 'days': HORIZONS}, _summary('strategy, sample, basis, quality, days', _graded('pf')))}) c
+        LEFT JOIN (SELECT strategy, sample, basis, quality, {_r('AVG(relaxed::INT)', 4)} AS relaxed_share FROM {_graded('sig')} GROUP BY ALL) rs USING (strategy, sample, basis, quality)""",
+    ),
+    "regime_axis": _sql(
+        [*_ALL, FORWARD, _SAMPLE],
+        _cells(
+            {"strategy": STRATEGIES, "sample": SAMPLES, "basis": BASES, "regime": REGIMES, "days": HORIZONS},
+            _summary("strategy, sample, basis, regime, days", f"(SELECT g.*, regime FROM {_graded('pf')} g JOIN reg ON reg.date = g.eval_date WHERE regime IS NOT NULL AND quality = 'all')"),
+        ),
+    ),
     "fundamental_history": _sql(
         [
             QUARTERS,

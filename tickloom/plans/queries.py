@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.config import PRESETS
-from tickloom.functions.exprs import by, half_up
+from tickloom.config import BASES, HORIZONS, PRESETS, QUALITIES, REGIMES, SAMPLES, STRATEGIES
+from tickloom.functions.exprs import by, half_up, sma
 from tickloom.operators import backtest, pullback, screening
 from tickloom.operators.indicators import entry_state, exit_signals, indicators
 from tickloom.sources.bars import bars, quarters
@@ -68,7 +68,7 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     """Bars with all that screening, fills and exits look at; computed once a session."""
 
     def make() -> DataFrame:
-        f = pullback.pullbacks(entry_state(exit_signals(indicators(bars(spark, d)))))
+        f = pullback.pullbacks(entry_state(exit_signals(indicators(_priced(spark, d)))))
         averages = F.when(F.col("idx") >= 19, F.avg("obv").over(by().rowsBetween(-19, 0)))
         return f.withColumns({"sma200_prior": F.lag("sma200", 22).over(by()), "obv20": averages})
 
@@ -77,13 +77,21 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
 
 def _snapshot(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     f = _features(spark, d)
-    dates = screening.evaluation_dates(screening.trading_calendar(f))
+    dates = screening.evaluation_dates(screening.trading_calendar(_priced(spark, d)))
     return f, staged(spark, d, "snapshot", lambda: screening.with_template(screening.snapshots(f, dates)))
 
 
+def _priced(spark: SparkSession, d: str) -> DataFrame:
+    """Bars alone; computed once a session."""
+    return staged(spark, d, "bars", lambda: bars(spark, d))
+
+
 def _regimes(spark: SparkSession, d: str) -> DataFrame:
-    f = _features(spark, d)
-    return staged(spark, d, "regimes", lambda: screening.regimes(screening.breadth(f, screening.trading_calendar(f))))
+    def make() -> DataFrame:
+        b = _priced(spark, d)
+        return screening.regimes(screening.breadth(b.select("ticker", "idx", "date", "close", sma("close", 200).alias("sma200")), screening.trading_calendar(b)))
+
+    return staged(spark, d, "regimes", make)
 
 
 def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -113,27 +121,61 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
     return backtest.signals(trend, template, screening.consensus(trend, template))
 
 
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    """split: the middle evaluation date; it and later ones are out of sample. One row."""
+    dates = screening.evaluation_dates(screening.trading_calendar(_priced(spark, d)))
+    return dates.agg(F.array_sort(F.collect_list("eval_date")).alias("a")).select(F.get("a", F.floor(F.size("a") / 2).cast("int")).alias("split"))
+
+
+def _sampled(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
+    return df.crossJoin(F.broadcast(_split(spark, d))).withColumn("sample", F.when(F.col("eval_date") >= F.col("split"), "out").otherwise("in")).drop("split")
+
+
+def _basis(df: DataFrame) -> DataFrame:
+    both, one = F.array(F.lit("allSignals"), F.lit("top5")), F.array(F.lit("allSignals"))
+    return df.withColumn("basis", F.explode(F.when(F.col("rank") <= 5, both).otherwise(one)))
+
+
+def _quality(df: DataFrame) -> DataFrame:
+    return df.withColumn("quality", F.explode(F.array(F.lit("all"), F.when(F.col("relaxed"), "relaxed").otherwise("normal"))))
+
+
+def _perf(spark: SparkSession, d: str) -> DataFrame:
+    """All strategies' signals with forward performance, regime and sample."""
+
+    def make() -> DataFrame:
+        s, b = staged(spark, d, "signals", lambda: _signals(spark, d)), _priced(spark, d)
+        forward = backtest.forward_returns(b)
+        at = _regimes(spark, d).select(F.col("date").alias("eval_date"), "regime")
+        perf = backtest.performance(s, forward, backtest.benchmark(forward), backtest.drawdowns(b, s))
+        return _sampled(spark, d, perf.join(at, "eval_date", "left"))
+
+    return staged(spark, d, "performance", make)
+
+
 def _strategy_table(spark: SparkSession, d: str) -> DataFrame:
-    forward = backtest.forward_returns(_features(spark, d))
-    s = _signals(spark, d).withColumn("basis", F.explode(F.when(F.col("rank") <= 5, F.array(F.lit("allSignals"), F.lit("top5"))).otherwise(F.array(F.lit("allSignals")))))
-    return backtest.summarize(backtest.performance(s, forward, backtest.benchmark(forward)), ["strategy", "basis", "days"])
+    """By strategy, sample, basis, quality and days, groups without signals included; the relaxed share is of all signals of the group."""
+    keys = ["strategy", "sample", "basis", "quality"]
+    s = _quality(_basis(_sampled(spark, d, staged(spark, d, "signals", lambda: _signals(spark, d)))))
+    share = s.groupBy(*keys).agg(half_up(F.avg(F.col("relaxed").cast("int")), 4).alias("relaxed_share"))
+    table = backtest.summarize(_quality(_basis(_perf(spark, d))), [*keys, "days"])
+    whole = backtest.with_empty_cells(table, {"strategy": STRATEGIES, "sample": SAMPLES, "basis": BASES, "quality": QUALITIES, "days": HORIZONS})
+    return whole.join(share, keys, "left")
 
 
 def _regime_axis(spark: SparkSession, d: str) -> DataFrame:
-    forward = backtest.forward_returns(_features(spark, d))
-    perf = backtest.performance(_signals(spark, d), forward, backtest.benchmark(forward))
-    at = _regimes(spark, d).select(F.col("date").alias("eval_date"), "regime").filter("regime IS NOT NULL")
-    return backtest.summarize(perf.join(F.broadcast(at), "eval_date"), ["strategy", "regime", "days"])
+    table = backtest.summarize(_basis(_perf(spark, d).filter("regime IS NOT NULL")), ["strategy", "sample", "basis", "regime", "days"])
+    return backtest.with_empty_cells(table, {"strategy": STRATEGIES, "sample": SAMPLES, "basis": BASES, "regime": REGIMES, "days": HORIZONS})
 
 
 def _benchmark(spark: SparkSession, d: str) -> DataFrame:
-    b = backtest.benchmark(backtest.forward_returns(_features(spark, d)))
+    b = backtest.benchmark(backtest.forward_returns(bars(spark, d)))
     return b.select("date", "days", half_up(F.col("bench")).alias("bench"))
 
 
 def _drawdown(spark: SparkSession, d: str) -> DataFrame:
     trend = screening.trend_recommend(_snapshot(spark, d)[1], PRESETS["default"])
-    return backtest.drawdowns(_features(spark, d), trend).select("eval_date", "ticker", "days", half_up(F.col("mdd")).alias("mdd"))
+    return backtest.drawdowns(_priced(spark, d), trend).select("eval_date", "ticker", "days", half_up(F.col("mdd")).alias("mdd"))
 
 
 def _hurdle(spark: SparkSession, d: str) -> DataFrame:

@@ -25,6 +25,9 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("n_name").alias("ticker"), F.col("n_nationkey").cast("long").alias("pos"), F.col("r_name").alias("sector"), "date")
         .agg(F.sum("cents").alias("cents"), F.sum("volume").alias("volume"))
     )
+    # Windows over a ticker cost far more time than bytes, so they must not be dealt out by bytes: a stated number of
+    # partitions isn't joined at run time, and serves all later windows by ticker.
+    day = day.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ticker")
     w = Window.partitionBy("ticker").orderBy("date")
     pos, cents = F.col("pos"), F.col("cents")
     step = ((cents % 401) - 200) * (1 + pos % 3) + (pos * 7) % 13 - 4
