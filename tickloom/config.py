@@ -18,6 +18,17 @@ PRESETS = {
     "default": Preset(50, 5, 10, 70),
     "aggressive": Preset(45, 10, 20, 60),
 }
+#: Ranges of a user's own parameters (fixed values); one out of range falls back to the default, by itself.
+CUSTOM_RANGES = {"rsiMin": (30, 70), "goldenCrossWindow": (1, 20), "highScoreThreshold": (50, 95)}
+
+
+def custom_preset(own: dict[str, float]) -> Preset:
+    base = PRESETS["default"]
+    usual = dict(zip(CUSTOM_RANGES, (base.rsi_min, base.cross_window, base.high_score)))
+    rsi, window, score = (own[k] if isinstance(own.get(k), (int, float)) and low <= own[k] <= high else usual[k] for k, (low, high) in CUSTOM_RANGES.items())
+    return Preset(rsi, int(window), 2 * int(window), score)
+
+
 #: Keys of published results (fixed values).
 STRATEGIES = ("trend", "minervini", "consensus_2star", "consensus_1star")
 SAMPLES, BASES, QUALITIES, REGIMES, STATES = ("in", "out"), ("allSignals", "top5"), ("all", "normal", "relaxed"), ("up", "neutral", "down"), ("0", "1", "2", "3")

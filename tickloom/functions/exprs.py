@@ -58,7 +58,7 @@ def smooth(x: Column, n: int, first: int, alpha: float) -> Column:
     at = i - block * size
     power = lambda k: F.pow(F.lit(q), k)
     part = F.when(i > seed_at, alpha * x * power(-at))
-    seed = F.sum(F.when(i.between(first, seed_at), x / n)).over(whole())
+    seed = F.sum(F.when(i.between(first, seed_at), x / n)).over(run())  # complete where it is read
     own = F.sum(part).over(Window.partitionBy("ticker", block).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
     before = F.sum(part).over(Window.partitionBy("ticker").orderBy(block).rangeBetween(-1, -1))
     tail = power(at) * (F.coalesce(own, F.lit(0.0)) + q**size * F.coalesce(before, F.lit(0.0)))

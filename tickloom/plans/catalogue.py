@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.plans import backtest_oracle, backtest_queries, oracle, queries
+from tickloom.plans import backtest_oracle, backtest_queries, oracle, queries, reports, reports_oracle
 
-QUERIES = {**queries.QUERIES, **backtest_queries.QUERIES}
-SQL = {**oracle.SQL, **backtest_oracle.SQL}
+QUERIES = {**queries.QUERIES, **backtest_queries.QUERIES, **reports.QUERIES}
+SQL = {**oracle.SQL, **backtest_oracle.SQL, **reports_oracle.SQL}
