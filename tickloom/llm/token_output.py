@@ -32,7 +32,7 @@ MARKS = ".,;:!?&#*%$|"
 #: Words encoded as one text: few enough that it stays in a processor's cache.
 LINES = 16
 #: Distinct parts whose ids a worker keeps, and bytes of text that it encodes at once.
-CACHE_WORDS, CHUNK_BYTES = 1_000_000, 12 << 20
+CACHE_WORDS, CHUNK_BYTES = 400_000, 6 << 20
 ORC_OPTIONS = {
     "compression": "none",
     "orc.stripe.size": str(32 << 20),
