@@ -6,7 +6,7 @@ sample of at most about SAMPLE documents of a group: random subsets are concentr
 determinant go on beside one start from medians. Over all documents, concentration steps then repeat "distances to the
 estimate, smallest H of them, their mean and covariance" until no start's determinant falls any more, and the start of
 least determinant wins. Distances are counted in fine logarithmic bins, so a step is an aggregation with partial sums
-and never gathers a group. A last step takes the moments of all documents within the 97.5 % distance (reweighting).
+and never gathers a group. Two last steps take the moments of all documents within the 97.5 % distance (reweighting).
 
 Groups lend each other strength at every size alike: PRIOR documents with the moments of the language are added to those
 of a group, and PRIOR documents with the moments of all to those of a language. A group of a few documents is thus judged
@@ -42,7 +42,7 @@ H, SAMPLE, SUBSETS, KEPT = 0.75, 400, 40, 2
 #: Concentration steps at most, and the fall of the logarithm of a determinant below which a start has converged.
 STEPS, CONVERGED = 12, 1e-3
 #: Documents with the moments of the wider group that are added to each group.
-PRIOR = 50.0
+PRIOR = 200.0
 #: Fixed values for five dimensions: what makes the covariances of the nearest 75 and 97.5 % consistent; chi-square at
 #: 0.975 and 0.999.
 CONSISTENCY, REWEIGHTED, NEAR, CUT = 1.41, 1.055, 12.833, 20.515
@@ -207,16 +207,31 @@ def mcd(rows: DataFrame) -> DataFrame:
     return materialize(best.select("g", "b.mu", "b.inv", "b.logdet"), "mcd")
 
 
+def _scaled() -> list[Column]:
+    return [d / F.greatest(F.col("dev")[i], F.col("least")[i]) for i, d in enumerate(_from_mean())]
+
+
 def estimates(rows: DataFrame) -> DataFrame:
-    """g, mu, dev, inv (of correlations) of each group of rows (g, l, x, least), reweighted and lent strength by l and by all."""
+    """g, mu, dev, inv (of correlations) of each group of rows (g, l, x, least), reweighted and lent strength by l and by all.
+
+    A group of a few documents that are all far from the others has them at its own centre, so what is near is judged
+    once more by the estimates that others have lent strength to.
+    """
     own = mcd(rows)
-    near = rows.join(if_small(own, own.count()), "g").filter(_distance(_from_mean()) <= NEAR)
-    sums = materialize(_sums(near, "l", "g"), "moments")
+    groups = materialize(rows.select("l", "g").distinct(), "groups")
+    first = _lent(_sums(rows.join(if_small(own, own.count()), "g").filter(_distance(_from_mean()) <= NEAR), "l", "g"), groups)
+    return _lent(_sums(rows.join(if_small(first, first.count()), "g").filter(_distance(_scaled()) <= NEAR), "l", "g"), groups)
+
+
+def _lent(sums: DataFrame, groups: DataFrame) -> DataFrame:
+    """g, mu, dev, inv of all groups (l, g) from the moments m of what is near in each (l, g), with those of l and of all."""
+    sums = materialize(sums, "moments")
     total = lambda *keys: sums.groupBy(*keys).agg(F.array(*[F.sum(F.col("m")[i]) for i in range(1 + DIMS + len(PAIRS))]).alias("w"))
     lend = lambda m, w: F.zip_with(m, w, lambda a, b: a + PRIOR * b / w[0])
-    every = F.broadcast(total().filter("w[0] > 0"))  # one row
-    by_language = total("l").crossJoin(every.withColumnRenamed("w", "a")).select("l", lend(F.col("w"), F.col("a")).alias("w"))
-    lent = rows.select("l", "g").distinct().join(sums.drop("l"), "g", "left").join(by_language, "l")
+    every = F.broadcast(total().filter("w[0] > 0").withColumnRenamed("w", "a"))  # one row
+    by_language = groups.select("l").distinct().join(total("l"), "l", "left").crossJoin(every)
+    by_language = by_language.select("l", F.coalesce(lend(F.col("w"), F.col("a")), F.transform("a", lambda b: PRIOR * b / F.col("a")[0])).alias("w"))
+    lent = groups.join(sums.drop("l"), "g", "left").join(by_language, "l")
     lent = lent.select("g", F.coalesce(lend(F.col("m"), F.col("w")), "w").alias("m"))
 
     def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,8 +259,7 @@ def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
     name = lambda *c: F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("null")) for x in c])
     rows = stats.withColumns({"l": name("lang"), "g": name("lang", "source"), "x": F.array(*_features()), "least": F.array(*_resolutions())})
     known = estimates(rows.filter("NOT base_failed").select("l", "g", "x", "least"))
-    scaled = [d / F.greatest(F.col("dev")[i], F.col("least")[i]) for i, d in enumerate(_from_mean())]
-    out = rows.join(if_small(known, known.count()), "g", "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance(scaled)))
+    out = rows.join(if_small(known, known.count()), "g", "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance(_scaled())))
     return out.select("doc_id", "lang", "source", *[x.split()[0] for x in STATS.split(", ")], "base_failed", "distance2", (~F.col("base_failed") & (F.col("distance2") <= cut)).alias("kept"))
 
 
