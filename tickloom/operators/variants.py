@@ -9,6 +9,7 @@ from tickloom.config import Preset
 from tickloom.functions.exprs import bars_since, half_up
 from tickloom.operators import screening
 
+#: Thresholds of the variants (fixed values).
 SWEET_LOW, SWEET_HIGH, OVERHEATED, ADX_MIN, OLDEST = 3.0, 8.0, 15.0, 20.0, 10
 
 

@@ -2,11 +2,13 @@
 
 A backtest meets the bars' features several times over; written once, they are computed once and each plan that reads
 them stays small. A lost executor costs nothing that is written. The input tables are taken as unchanged while a
-session lasts; forget() drops what is known of a session.
+session lasts; forget() drops what is known of a session. The tables are written while a plan is built, and their folders stay,
+as the plans handed out read them; whoever set the shared folder clears it.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -16,8 +18,10 @@ _known: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as in tests, a folder of our own."""
+    """spark.checkpoint.dir; only where a local session has none, as in tests, a folder of our own."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (base or "/tmp/checkpoints/tickloom").rstrip("/")
 
 
