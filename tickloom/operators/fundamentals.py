@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import half_up
 
+#: Least number of quarters of a ticker, and the least growth (%) and ROE of the hurdle (fixed values).
+MIN_QUARTERS, GROWTH, ROE = 2, 20, 0.17
+
 
 def metrics(quarters: DataFrame) -> DataFrame:
-    """A row a ticker: yearly growth of EPS and revenue (%), roe, and whether margin and EPS rose on the quarter."""
+    """A row a ticker of at least two quarters: yearly growth of EPS and revenue (%), roe, and whether margin and EPS rose on the quarter."""
     at = lambda c, n: F.max(F.when(F.col("rn") == n, F.col(c)))
     growth = lambda c: half_up((at(c, 1) / F.nullif(at(c, 5), F.lit(0.0)) - 1) * 100, 2)
     return quarters.groupBy("ticker").agg(
@@ -18,7 +21,14 @@ def metrics(quarters: DataFrame) -> DataFrame:
         at("roe", 1).alias("roe"),
         (at("operating_margin", 1) >= at("operating_margin", 2)).alias("margin_up"),
         (at("eps", 1) > at("eps", 2)).alias("accelerating"),
-    )
+        F.count("*").alias("quarters"),
+    ).filter(F.col("quarters") >= MIN_QUARTERS)
+
+
+def missing(m: DataFrame) -> DataFrame:
+    """metrics with missing: the codes of what can't be judged, in order."""
+    known = {"F1": "eps_yoy", "F2": "accelerating", "F3": "revenue_yoy", "F4": "margin_up", "F5": "roe"}
+    return m.withColumn("missing", F.array_compact(F.array(*[F.when(F.col(c).isNull(), code) for code, c in known.items()])))
 
 
 def verdict(core: list[Column]) -> Column:
@@ -29,7 +39,26 @@ def verdict(core: list[Column]) -> Column:
 
 
 def hurdle(m: DataFrame) -> DataFrame:
-    return m.withColumn("verdict", verdict([F.col("eps_yoy") >= 20, F.col("revenue_yoy") >= 20, F.col("roe") >= 0.17]))
+    return m.withColumn("verdict", verdict([F.col("eps_yoy") >= GROWTH, F.col("revenue_yoy") >= GROWTH, F.col("roe") >= ROE]))
+
+
+def history(quarters: DataFrame) -> DataFrame:
+    """ticker, qn, as_of, eps_growth, revenue_growth, verdict: each quarter against the one before it, as known 45 days after it ended.
+
+    What the yearly figures of today leave unknown stays unknown in every quarter, and ROE is today's.
+    """
+    w, whole = Window.partitionBy("ticker").orderBy("rn"), Window.partitionBy("ticker")
+    at = lambda c, n: F.max(F.when(F.col("rn") == n, F.col(c))).over(whole)
+    yearly = lambda c: at(c, 1) / F.nullif(at(c, 5), F.lit(0.0))
+    growth = lambda c: (F.col(c) - F.lead(c).over(w)) / F.nullif(F.abs(F.lead(c).over(w)), F.lit(0.0)) * 100
+    q = quarters.select(
+        "ticker", "qn", growth("eps").alias("eps_growth"), growth("revenue").alias("revenue_growth"), F.lead("qn").over(w).alias("prior"),
+        yearly("eps").isNotNull().alias("f1"), yearly("revenue").isNotNull().alias("f3"), at("roe", 1).alias("roe"),
+    )
+    core = [F.when(F.col("f1"), F.col("eps_growth") >= GROWTH), F.when(F.col("f3"), F.col("revenue_growth") >= GROWTH), F.col("roe") >= ROE]
+    year, quarter = F.floor(F.col("qn") / 4).cast("int"), (F.col("qn") % 4 + 1).cast("int")
+    report = F.date_add(F.last_day(F.make_date(year, quarter * 3, F.lit(1))), 45)
+    return q.filter("prior IS NOT NULL").select("ticker", "qn", report.alias("as_of"), *[half_up(F.col(c), 4).alias(c) for c in ("eps_growth", "revenue_growth")], verdict(core).alias("verdict"))
 
 
 def as_of(records: DataFrame, history: DataFrame) -> DataFrame:

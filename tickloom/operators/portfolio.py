@@ -27,6 +27,26 @@ def pie(picks: DataFrame) -> DataFrame:
     return p.groupBy("eval_date", name.alias("slice")).agg(half_up(F.sum("share"), 4).alias("pct"))
 
 
+def rebalanced(picks: DataFrame) -> DataFrame:
+    """eval_date, ticker, equal, adjusted of picks (eval_date, ticker, wanted): shares of 100, to one digit.
+
+    At most one pick a date has a wanted share; it gets it, within 0 to 100, and the others divide the rest evenly. A
+    single pick has 100 whatever is wanted; where nothing is wanted, shares are equal.
+    """
+    day = Window.partitionBy("eval_date")
+    n, own = F.count("*").over(day), F.when(F.col("wanted").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("wanted"))))
+    p = picks.withColumns({"equal": half_up(100 / n, 1), "rest": half_up((100 - F.max(own).over(day)) / F.nullif(n - 1, F.lit(0)), 1)})
+    adjusted = F.when(F.col("rest").isNull(), F.col("equal")).otherwise(F.coalesce(own, "rest"))
+    return p.select("eval_date", "ticker", "equal", adjusted.alias("adjusted"))
+
+
+def kept_positions(positions: DataFrame, known: DataFrame) -> DataFrame:
+    """Stored positions (ticker, entry_price, entry_date, ...) of known tickers with a positive finite price; an empty date is null."""
+    price = F.col("entry_price")
+    sound = price.isNotNull() & ~F.isnan(price) & (price > 0) & (price < F.lit(float("inf")))
+    return positions.filter(sound).join(known.select("ticker"), "ticker", "left_semi").withColumn("entry_date", F.nullif("entry_date", F.lit("")))
+
+
 def plan(positions: DataFrame, f: DataFrame) -> DataFrame:
     """Plan of each position (ticker, entry_price, entry_date): return, R multiple, stops and alerts at the last bar."""
     price = F.col("entry_price")

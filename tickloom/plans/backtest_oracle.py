@@ -148,7 +148,7 @@ _TOGGLES = {
 }
 METRICS = f"""
 mt AS (SELECT a.ticker, {_r('(a.eps / NULLIF(e.eps, 0) - 1) * 100', 2)} AS eps_yoy, {_r('(a.revenue / NULLIF(e.revenue, 0) - 1) * 100', 2)} AS revenue_yoy, a.roe,
-  a.operating_margin >= b.operating_margin AS margin_up, a.eps > b.eps AS accelerating FROM quarters a LEFT JOIN quarters b ON b.ticker = a.ticker AND b.rn = 2 LEFT JOIN quarters e ON e.ticker = a.ticker AND e.rn = 5 WHERE a.rn = 1),
+  a.operating_margin >= b.operating_margin AS margin_up, a.eps > b.eps AS accelerating FROM quarters a JOIN quarters b ON b.ticker = a.ticker AND b.rn = 2 LEFT JOIN quarters e ON e.ticker = a.ticker AND e.rn = 5 WHERE a.rn = 1),
 vd AS (SELECT ticker, CASE WHEN u >= 2 THEN 'insufficientFundamentals' WHEN k = 3 THEN 'pass' WHEN k >= 1 THEN 'partial' ELSE 'fail' END AS verdict FROM (
   SELECT ticker, (eps_yoy IS NULL)::INT + (revenue_yoy IS NULL)::INT + (roe IS NULL)::INT AS u, COALESCE(eps_yoy >= 20, FALSE)::INT + COALESCE(revenue_yoy >= 20, FALSE)::INT + COALESCE(roe >= 0.17::DOUBLE, FALSE)::INT AS k FROM mt))
 """

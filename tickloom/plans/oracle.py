@@ -280,7 +280,8 @@ SQL: dict[str, str] = {
         [
             QUARTERS,
             "g AS (SELECT *, (eps - LEAD(eps) OVER w) / NULLIF(ABS(LEAD(eps) OVER w), 0) * 100 AS eg, (revenue - LEAD(revenue) OVER w) / NULLIF(ABS(LEAD(revenue) OVER w), 0) * 100 AS rg, LEAD(qn) OVER w AS prior FROM quarters WINDOW w AS (PARTITION BY ticker ORDER BY rn))",
-            "h AS (SELECT *, (eg IS NULL)::INT + (rg IS NULL)::INT + (roe IS NULL)::INT AS unknown, COALESCE(eg >= 20, FALSE)::INT + COALESCE(rg >= 20, FALSE)::INT + COALESCE(roe >= 0.17::DOUBLE, FALSE)::INT AS ok FROM g WHERE prior IS NOT NULL)",
+            "y AS (SELECT a.ticker, a.eps / NULLIF(e.eps, 0) AS f1, a.revenue / NULLIF(e.revenue, 0) AS f3, a.roe AS f5 FROM quarters a LEFT JOIN quarters e ON e.ticker = a.ticker AND e.rn = 5 WHERE a.rn = 1)",
+            "h AS (SELECT *, (eg IS NULL OR f1 IS NULL)::INT + (rg IS NULL OR f3 IS NULL)::INT + (f5 IS NULL)::INT AS unknown, COALESCE(eg >= 20 AND f1 IS NOT NULL, FALSE)::INT + COALESCE(rg >= 20 AND f3 IS NOT NULL, FALSE)::INT + COALESCE(f5 >= 0.17::DOUBLE, FALSE)::INT AS ok FROM g JOIN y USING (ticker) WHERE prior IS NOT NULL)",
         ],
         f"""SELECT ticker, qn, CAST(LAST_DAY(MAKE_DATE(qn // 4, (qn % 4 + 1) * 3, 1)) + 45 AS DATE) AS as_of, {_r('eg', 4)} AS eps_growth, {_r('rg', 4)} AS revenue_growth,
         CASE WHEN unknown >= 2 THEN 'insufficientFundamentals' WHEN ok = 3 THEN 'pass' WHEN ok >= 1 THEN 'partial' ELSE 'fail' END AS verdict FROM h""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.config import BASES, HORIZONS, PRESETS, QUALITIES, REGIMES, SAMPLES, STRATEGIES
 from tickloom.functions.exprs import by, half_up, sma
-from tickloom.operators import backtest, pullback, screening
+from tickloom.operators import backtest, fundamentals, pullback, screening
 from tickloom.operators.indicators import entry_state, exit_signals, indicators
 from tickloom.sources.bars import bars, quarters
 from tickloom.sources.stage import staged
@@ -178,23 +178,6 @@ def _drawdown(spark: SparkSession, d: str) -> DataFrame:
     return backtest.drawdowns(_priced(spark, d), trend).select("eval_date", "ticker", "days", half_up(F.col("mdd")).alias("mdd"))
 
 
-def _hurdle(spark: SparkSession, d: str) -> DataFrame:
-    """Quarter on quarter verdicts: growth of EPS and revenue of 20 % and more, and ROE of 17 % and more."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("ticker").orderBy("rn")
-    q = quarters(spark, d)
-    growth = lambda c: (F.col(c) - F.lead(c).over(w)) / F.nullif(F.abs(F.lead(c).over(w)), F.lit(0.0)) * 100
-    q = q.select("ticker", "rn", "qn", growth("eps").alias("eps_growth"), growth("revenue").alias("revenue_growth"), "roe", F.lead("qn").over(w).alias("prior"))
-    core = [F.col("eps_growth") >= 20, F.col("revenue_growth") >= 20, F.col("roe") >= 0.17]
-    unknown = sum((x.isNull().cast("int") for x in core), F.lit(0))
-    passed = sum((F.coalesce(x, F.lit(False)).cast("int") for x in core), F.lit(0))
-    verdict = F.when(unknown >= 2, "insufficientFundamentals").when(passed == 3, "pass").when(passed >= 1, "partial").otherwise("fail")
-    year, quarter = F.floor(F.col("qn") / 4).cast("int"), (F.col("qn") % 4 + 1).cast("int")
-    report = F.date_add(F.last_day(F.make_date(year, quarter * 3, F.lit(1))), 45)
-    return q.filter("prior IS NOT NULL").select("ticker", "qn", report.alias("as_of"), *[half_up(F.col(c), 4).alias(c) for c in ("eps_growth", "revenue_growth")], verdict.alias("verdict"))
-
-
 QUERIES: dict[str, QUERY] = {
     "bars": lambda spark, d: bars(spark, d).drop("pos"),
     "quarters": quarters,
@@ -216,5 +199,5 @@ QUERIES: dict[str, QUERY] = {
     "max_drawdown": _drawdown,
     "strategy_table": _strategy_table,
     "regime_axis": _regime_axis,
-    "fundamental_history": _hurdle,
+    "fundamental_history": lambda spark, d: fundamentals.history(quarters(spark, d)),
 }
