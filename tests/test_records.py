@@ -44,3 +44,18 @@ def test_fundamental_reasons_sign_and_mark(spark):
     m = spark.createDataFrame([("A", -0.3, 25.4, 0.17), ("B", None, None, None)], "ticker string, eps_yoy double, revenue_yoy double, roe double")
     got = {r.ticker: r.reasons for r in reasons.fundamental_reasons(m).orderBy(F.col("ticker")).collect()}
     assert got == {"A": "EPS -0% ✗, 매출 +25% ✓, ROE 17% ✓", "B": "EPS 성장률 판정불가, 매출 성장률 판정불가, ROE 판정불가"}
+
+
+NOTE = '{"ticker": "A", "sentiment": "neutral", "summary": "s", "catalysts": [], "risks": ["r"], "analystView": null, "origin": "userRequested", "sources": [{"title": "t", "url": "u", "date": "d"}], "riskFlags": []}'
+
+
+def test_research_rules(spark):
+    wrong = {
+        "good": NOTE,
+        "recommended": NOTE.replace("userRequested", "recommended"),
+        "lists": NOTE.replace('["r"]', "[1]").replace('"riskFlags": []', '"riskFlags": [{"type": "other"}]'),
+        "source": NOTE.replace('"url": "u"', '"url": "", "operatorProvided": 1'),
+        "view": NOTE.replace('"analystView": null', '"analystView": 3, "signalPassed": null'),
+    }
+    got = {(r.id, r.path) for r in validation.research_errors(spark.createDataFrame(list(wrong.items()), "id string, json string")).collect()}
+    assert got == {("recommended", "signalPassed"), ("lists", "risks"), ("lists", "riskFlags[0].description"), ("source", "sources[0].url"), ("source", "sources[0].operatorProvided"), ("view", "analystView"), ("view", "signalPassed")}

@@ -58,6 +58,18 @@ def _research(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(F.col("n_name").alias("ticker")).agg(flags.alias("flags"), F.when(F.avg("s_acctbal") < 3000, "negative").otherwise("neutral").alias("sentiment"))
 
 
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    """id, json: a note of research a supplier; by its number an unknown sentiment, no source, no signal, an unknown risk, or nothing wrong."""
+    k = F.col("s_suppkey") % 5
+    source = F.struct(F.col("s_name").alias("title"), F.lit("https://example.org/").alias("url"), F.lit("2001-01-02").alias("date"))
+    risk = F.struct(F.when(k == 4, "weather").otherwise("other").alias("type"), F.lit("balance").alias("description"))
+    note = F.struct(
+        F.col("s_name").alias("ticker"), F.when(k == 1, "mixed").otherwise("neutral").alias("sentiment"), F.lit("balance").alias("summary"), F.array(F.lit("a")).alias("catalysts"), F.array().cast("array<string>").alias("risks"),
+        F.lit("recommended").alias("origin"), F.when(k != 3, True).alias("signalPassed"), F.when(k == 2, F.array().cast("array<struct<title:string,url:string,date:string>>")).otherwise(F.array(source)).alias("sources"), F.array(risk).alias("riskFlags"),
+    )
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.to_json(note).alias("json"))
+
+
 def _checked(spark: SparkSession, d: str) -> DataFrame:
     """Trend signals with the state of research; the flagged ones can be hidden."""
     signals = _lists(spark, d)[0].filter("signal").select("eval_date", "ticker")
@@ -91,6 +103,7 @@ QUERIES: dict[str, QUERY] = {
     "fundamental_reasons": lambda spark, d: reasons.fundamental_reasons(_metrics(spark, d)),
     "fundamental_missing": _missing,
     "fundamental_errors": lambda spark, d: validation.fundamental_errors(_records(spark, d)),
+    "research_errors": lambda spark, d: validation.research_errors(_notes(spark, d)),
     "research_check": _checked,
     "portfolio_rebalanced": _rebalance,
     "kept_positions": _positions,

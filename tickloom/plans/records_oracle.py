@@ -43,6 +43,7 @@ SQL: dict[str, str] = {
         f"""SELECT ticker AS id, 'roe' AS path FROM mt WHERE LENGTH(ticker) % 4 = 0 AND roe IS NOT NULL UNION ALL SELECT ticker, 'quarters[0].period' FROM mt WHERE LENGTH(ticker) % 4 = 1
         UNION ALL SELECT ticker, 'missing[' || CASE WHEN {_CODES} = '' THEN 0 ELSE LEN(STRING_SPLIT({_CODES}, ',')) END || ']' FROM mt WHERE LENGTH(ticker) % 4 = 2""",
     ),
+    "research_errors": "SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 1 THEN 'sentiment' WHEN 2 THEN 'sources' WHEN 3 THEN 'signalPassed' ELSE 'riskFlags[0].type' END AS path FROM supplier WHERE s_suppkey % 5 <> 0",
     "research_check": _sql(
         [*_ALL, "rc AS (SELECT n_name AS ticker, MIN(s_acctbal) < -900 OR MAX(s_acctbal) > 9900 OR AVG(s_acctbal) < 3000 AS against FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 4 <> 0 GROUP BY n_name)"],
         "SELECT eval_date, ticker, CASE WHEN against IS NULL THEN 'none' WHEN against THEN 'flagged' ELSE 'ok' END AS state, NOT COALESCE(against, FALSE) AS shown FROM tg LEFT JOIN rc USING (ticker) WHERE signal",
