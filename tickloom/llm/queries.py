@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import decontamination, language, mixing, pii, quality, sharding, simhash, suffixes, token_output, warc
+from tickloom.llm import decontamination, language, mixing, pii, quality, secrets, sharding, simhash, suffixes, token_output, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         language.op8_ecoc_language_id,
         sharding.op9_hypergeometric_sharding,
         simhash.op10_simhash_near_duplicates,
+        secrets.op13_token_efficiency_secrets,
     )
 }
 SQL = {"op5_warc_transactions": warc.OP5_SQL}
