@@ -4,8 +4,9 @@ A vocabulary learnt from prose and code spells ordinary words with few tokens: f
 English, two to three in invented words. Random keys get less than two. So each run of key characters that no fixed
 pattern covers is encoded, and one of few characters a token is a secret (kind `random`), unless it is a known kind of
 digest or identifier: hexadecimal digests and ids of standard lengths, UUIDs, numbers and dates, subresource
-integrity values, and whatever the words before it call a digest, commit, checksum or the like. Where a run as a whole
-passes, its parts between slashes and dots are tried, so that a key in a path shows.
+integrity values, and whatever the words before it call a digest, commit, checksum or the like. Of a run with slashes or
+dots the ordinary words at both ends are left out first, and where the rest passes, its parts are tried one by one, so
+that a key in a path shows.
 
 One pass over the documents, without a shuffle; a task holds one batch of texts. Texts without a long run and without a
 keyword are told apart on their bytes and never meet a pattern.
@@ -38,6 +39,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 #: Runs that may be keys, with the padding of base64.
 RUN = re.compile(r"[A-Za-z0-9+/_.~-]{16,}={0,2}")
+PARTS = re.compile(r"[^/.]+")
 RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.~-="
 LEAST_RUN, PIECE, BEFORE = 16, 1024, 40
 #: Most characters a token of a random string: with letters of both cases or digits among letters, and of letters of one case,
@@ -102,16 +104,19 @@ def random_spans(text: str, covered: list[tuple[int, int, int]], encoding) -> li
     for m in RUN.finditer(text):
         at = m.start() + len(m[0]) - len(m[0].lstrip("-._~/"))
         run = m[0].strip("-._~/")
-        if CALLED.search(text[max(0, at - BEFORE) : at]):
+        if KNOWN.fullmatch(run) or CALLED.search(text[max(0, at - BEFORE) : at]):
             continue
-        few = _exposed(run, encoding)
-        tried = [(at, run, few)]
-        if few is None and not KNOWN.fullmatch(run):
-            tried = [(at + p.start(), p[0], _exposed(p[0], encoding)) for p in re.finditer(r"[^/.]+", run) if p[0] != run]
-        for a, part, few in tried:
-            k = int(np.searchsorted(starts, a + len(part))) - 1
-            if few is not None and not (k >= 0 and apart[k][1] > a):
-                out.append((a, 3, a + len(part), few))
+        parts = [(p.start(), p.end()) for p in PARTS.finditer(run)]
+        odd = [k for k, (a, z) in enumerate(parts) if z - a >= 4 and ratio(run[a:z], encoding) <= MIXED]
+        if odd:
+            first, last = parts[odd[0]][0], parts[odd[-1]][1]
+            tried = [(first, last, _exposed(run[first:last], encoding))]
+            if tried[0][2] is None:
+                tried = [(a, z, _exposed(run[a:z], encoding)) for a, z in (parts[k] for k in odd)]
+            for a, z, few in tried:
+                k = int(np.searchsorted(starts, at + z)) - 1
+                if few is not None and not (k >= 0 and apart[k][1] > at + a):
+                    out.append((at + a, 3, at + z, few))
     return out
 
 
