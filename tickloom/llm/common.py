@@ -90,13 +90,18 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Before Python runs in tasks: bound the batches, and make this package importable there.
+    """Before Python runs on texts in tasks: bound the batches, and make this package importable there.
 
     The session's batch size is lowered, never raised, and stays so: results run later, when the caller reads them.
     """
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(size)) <= BATCH_ROWS:
         spark.conf.set(size, BATCH_ROWS)
+    importable(spark)
+
+
+def importable(spark: SparkSession) -> None:
+    """Ship this package to the workers, unless they find it themselves."""
     root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_tickloom_shipped", False):
         return
