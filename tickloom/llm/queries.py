@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import audit, decontamination, language, mixing, pii, quality, secrets, sharding, simhash, suffixes, token_output, warc
+from tickloom.llm import audit, decontamination, language, mixing, pii, quality, secrets, sharding, simhash, suffixes, token_output, treap, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,8 +17,9 @@ QUERIES = {
         language.op8_ecoc_language_id,
         sharding.op9_hypergeometric_sharding,
         simhash.op10_simhash_near_duplicates,
+        treap.op11_k2_treap_search,
         audit.op12_retraction_stream_audit,
         secrets.op13_token_efficiency_secrets,
     )
 }
-SQL = {"op5_warc_transactions": warc.OP5_SQL, "op12_retraction_stream_audit": audit.OP12_SQL}
+SQL = {"op5_warc_transactions": warc.OP5_SQL, "op11_k2_treap_search": treap.OP11_SQL, "op12_retraction_stream_audit": audit.OP12_SQL}
