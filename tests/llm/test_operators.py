@@ -413,3 +413,30 @@ def test_pipeline_keeps_columns(spark):
         assert rows.columns[: len(docs.columns)] == docs.columns
         assert rows.count() <= before.count()
     assert {"shard", "slot"} <= set(rows.columns)
+
+
+def test_rows_without_an_id_whose_hashes_nearly_agree(spark):
+    """Two texts whose 64-bit hashes share their low 26 bits: places found in one aren't applied to the other."""
+    import xxhash
+
+    rng, seen = random.Random(11), {}
+    twice, other = sentence(rng, "en", 40), sentence(rng, "fr", 130)
+    low = lambda t: xxhash.xxh64(t.encode(), seed=42).intdigest() & ((1 << 26) - 1)
+    for k in range(30000):
+        seen[low(f"{twice} | {twice} {k}")] = k
+    a, b = next((f"{twice} | {twice} {seen[h]}", t) for k in range(30000) if (h := low(t := f"{other} {k}")) in seen)
+    short = next((t for k in range(4000) for t in [f"short {k}"] if low(t) in seen), "short")
+    for ids in ((None, None, None), (1, 1, 1)):
+        rows = spark.createDataFrame(list(zip(ids, (a, b, short))), "doc_id long, text string")
+        got = {r["n_bytes"]: r["n_removed"] for r in suffixes.remove_repeats(rows).collect()}
+        alone = brute.without_repeats([(1, a)])[1][1]
+        assert got == {len(a.encode()): alone, len(b.encode()): 0, len(short.encode()): 0} and alone > 100
+
+
+def test_many_rows_without_an_id(spark):
+    """20,000 rows without an id: what a row repeats of itself goes, what rows share at other starts goes where it starts later."""
+    rng = random.Random(12)
+    texts_ = [f"{k} " + sentence(rng, "en", 12) for k in range(19_900)] + [f"{k} " + 2 * (sentence(rng, "fr", 40) + " ") for k in range(100)]
+    want = sorted((len(t.encode()), brute.without_repeats([(1, t)])[1][1]) for t in texts_)
+    rows = spark.createDataFrame([(None, t) for t in texts_], "doc_id long, text string")
+    assert sorted((r["n_bytes"], r["n_removed"]) for r in suffixes.remove_repeats(rows).collect()) == want

@@ -14,7 +14,9 @@ The few that share leading bytes with others but not the whole range - at the ed
 start by start and sorted the same way by their full strings' hashes (two of 64 bits).
 
 Defined results: a null text has no bytes; a null doc_id is smaller than any other; rows of one doc_id at the same
-start are neither earlier than the other, so repeated rows are treated alike; an empty table gives an empty result.
+start are neither earlier than the other, so repeated rows are treated alike; rows of one doc_id, or without one, are told
+apart by the 64-bit hash of their text; a very long text is worked through in segments of a megabyte; other columns are
+left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,15 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import if_light, if_small, materialize, small_batches, table
+from tickloom.llm.common import if_light, if_small, materialize, small_batches, table, temporary
 
 LENGTH, GRAM = 100, 40
 REACH = LENGTH - GRAM  # ranges of starts span 0 to REACH
+SPAN_BITS = 6
 SEGMENT = 1 << 20
 CHUNK_ROWS = 1 << 17
 #: Bytes of places, or of removed runs, up to which they are broadcast to the documents.
 BROADCAST_BYTES = 32 << 20
-SAME_ROW = f"d.doc_id <=> p.doc_id AND (d.tag & {(1 << 26) - 1}) = p.row"
+#: A row of documents, wherever it is met: its doc_id, if any, and the 64-bit hash of its text.
+SAME_ROW = "d.doc_id <=> p.doc_id AND d.tag = p.tag"
+AT = ["doc_id", "tag", "place"]
+SUFFIX = ["g", "c", "doc_id", "tag", "place"]
 _U = np.uint64
 _tables: dict = {}
 
@@ -71,13 +77,17 @@ def _layout(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, ends - ends[0] if len(column) else np.zeros(1, np.int64)
 
 
-def _tags(column: pa.Array) -> np.ndarray:
-    """26 bits of each row's text hash: tells rows of one doc_id apart."""
-    return column.to_numpy(zero_copy_only=False).astype(np.int64) & ((1 << 26) - 1)
+def _place(start: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """A range of starts in a text as one number: the first and how many follow (at most REACH)."""
+    return (start << SPAN_BITS) | span
 
 
-def _place(start: np.ndarray, span: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    return (start << 32) | (span << 26) | tag
+def _start(place: np.ndarray) -> np.ndarray:
+    return place >> SPAN_BITS
+
+
+def _span(place: np.ndarray) -> np.ndarray:
+    return place & ((1 << SPAN_BITS) - 1)
 
 
 def thinned(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -114,38 +124,38 @@ def thinned(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ..
 
 
 def _bucket(docs: DataFrame) -> DataFrame:
-    """g, c, doc_id, place of the thinned suffixes. docs: doc_id, tag, text."""
+    """g, c, doc_id, tag, place of the thinned suffixes. docs: doc_id, tag, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, ends = _layout(b.column(2))
-            tags = _tags(b.column(1))
             for d, lo, span, g, c in thinned(data, ends):
+                rows = pa.array(d)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(pa.array(d)), pa.array(_place(lo, span, tags[d]))], names=["g", "c", "doc_id", "place"]
+                    [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(_place(lo, span))], names=SUFFIX
                 )
 
-    return docs.mapInArrow(run, "g long, c long, doc_id long, place long")
+    return docs.mapInArrow(run, "g long, c long, doc_id long, tag long, place long")
 
 
 def _compare(rows: DataFrame) -> DataFrame:
-    """kind, g, c, doc_id, place: rows of a class (g, c) after its first place (kind 0), and the first of each class
+    """kind, g, c, doc_id, tag, place: rows of a class (g, c) after its first place (kind 0), and the first of each class
     where g has several (1) or where the group touches the end of what was compared at once (2)."""
 
-    def judge(g: np.ndarray, c: np.ndarray, doc: np.ndarray, null: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    def judge(g: np.ndarray, c: np.ndarray, doc: np.ndarray, null: np.ndarray, tag: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
         n = len(g)
         new_g = np.concatenate(([True], g[1:] != g[:-1]))
         new_c = new_g | np.concatenate(([True], c[1:] != c[:-1]))
         first = np.maximum.accumulate(np.where(new_c, np.arange(n), 0))
-        later = (doc != doc[first]) | (null != null[first]) | ((place >> 32) != (place[first] >> 32))
+        later = (doc != doc[first]) | (null != null[first]) | (_start(place) != _start(place[first]))
         group = np.cumsum(new_g) - 1
         classes = np.bincount(group, weights=new_c)
         edge = (group == 0) | (group == group[-1])
-        lead = ~later & (new_c | (doc == doc[first]) & (place != place[first]))
+        lead = ~later & (new_c | (tag != tag[first]) | (place != place[first]))
         kind = np.where(later, 0, np.where(lead & edge, 2, np.where(lead & (classes[group] > 1), 1, -1)))
         at = np.flatnonzero(kind >= 0)
         return pa.RecordBatch.from_arrays(
-            [pa.array(kind[at].astype(np.int32)), pa.array(g[at]), pa.array(c[at]), pa.array(doc[at], mask=null[at]), pa.array(place[at])], names=["kind", "g", "c", "doc_id", "place"]
+            [pa.array(kind[at].astype(np.int32)), pa.array(g[at]), pa.array(c[at]), pa.array(doc[at], mask=null[at]), pa.array(tag[at]), pa.array(place[at])], names=["kind", *SUFFIX]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +164,7 @@ def _compare(rows: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             null = t.column(2).is_null().to_numpy()
-            return judge(t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).fill_null(0).to_numpy(), null, t.column(3).to_numpy())
+            return judge(t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).fill_null(0).to_numpy(), null, t.column(3).to_numpy(), t.column(4).to_numpy())
 
         for b in batches:
             if b.num_rows:
@@ -167,30 +177,30 @@ def _compare(rows: DataFrame) -> DataFrame:
             yield out()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["g", "c", "doc_id", "place"]
-    return rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select(*keys).mapInArrow(run, "kind int, g long, c long, doc_id long, place long")
+    keys = ["g", "c", "doc_id", "place", "tag"]
+    return rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select(*SUFFIX).mapInArrow(run, "kind int, g long, c long, doc_id long, tag long, place long")
 
 
 def _across(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that repeat an earlier place, and the firsts of classes whose g has several; boundaries resolved."""
-    start = F.shiftright("place", 32)
+    start = F.shiftright("place", SPAN_BITS)
     edge = found.filter("kind = 2")
     first = edge.groupBy("g", "c").agg(F.min(F.struct("doc_id", start.alias("start"))).alias("f"))
     judged = edge.join(first, ["g", "c"]).withColumn("later", ~F.struct("doc_id", start.alias("start")).eqNullSafe(F.col("f")))
     several = materialize(first.groupBy("g").count().filter("count > 1").select("g"), "several")
     several = if_small(several, several.count())
-    repeats = found.filter("kind = 0").select("doc_id", "place").unionByName(judged.filter("later").select("doc_id", "place"))
-    firsts = found.filter("kind = 1").select("doc_id", "place").unionByName(judged.filter("NOT later").join(several, "g", "left_semi").select("doc_id", "place"))
+    repeats = found.filter("kind = 0").select(*AT).unionByName(judged.filter("later").select(*AT))
+    firsts = found.filter("kind = 1").select(*AT).unionByName(judged.filter("NOT later").join(several, "g", "left_semi").select(*AT))
     return repeats, firsts
 
 
 def _by_row(places: DataFrame) -> GroupedData:
-    """Places by document; rows of one doc_id, or without one, stay apart by their texts."""
-    return places.groupBy("doc_id", F.col("place").bitwiseAND(F.lit((1 << 26) - 1).cast("long")).alias("row"))
+    """Places by row of documents; rows of one doc_id, or without one, stay apart by their texts."""
+    return places.groupBy("doc_id", "tag")
 
 
 def _spelled(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """g, c, doc_id, place: each start in the places of firsts, by two hashes of its LENGTH bytes."""
+    """g, c, doc_id, tag, place: each start in the places of firsts, by two hashes of its LENGTH bytes."""
     places = materialize(_by_row(firsts).agg(F.collect_list("place").alias("places")), "edges")
     rows, total = places.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
     both = docs.alias("d").join(if_light(places, 8 * total + 48 * rows, BROADCAST_BYTES).alias("p"), F.expr(SAME_ROW)).select("d.doc_id", "d.tag", "d.text", "p.places")
@@ -198,15 +208,13 @@ def _spelled(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, ends = _layout(b.column(2))
-            tags, lists, got = _tags(b.column(1)), b.column(3), []
+            lists, got = b.column(3), []
             for i in range(b.num_rows):
                 p = lists[i].values.to_numpy()
-                p = p[(p & ((1 << 26) - 1)) == tags[i]]
-                if len(p):
-                    span = ((p >> 26) & 63) + 1
-                    s = np.repeat(p >> 32, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-                    got.append((np.full(len(s), i), np.unique(s) if len(s) else s))
-            for i, s in ((i[0], s) for i, s in got):
+                span = _span(p) + 1
+                s = np.repeat(_start(p), span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
+                got.append((i, np.unique(s)))
+            for i, s in got:
                 text = data[ends[i] : ends[i + 1]]
                 for a in range(0, len(text), SEGMENT):
                     mine = s[(s >= a) & (s < a + SEGMENT)]
@@ -215,44 +223,42 @@ def _spelled(docs: DataFrame, firsts: DataFrame) -> DataFrame:
                         for which in (0, 1):
                             q, powers = _sums(text[a : a + SEGMENT + LENGTH], which)
                             h.append(_mix((q[mine - a + LENGTH] - q[mine - a]) * powers[mine - a]).view(np.int64))
-                        ids = b.column(0).take(pa.array(np.full(len(mine), i)))
-                        yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), ids, pa.array(_place(mine, np.zeros_like(mine), tags[i]))], names=["g", "c", "doc_id", "place"])
+                        rows = pa.array(np.full(len(mine), i))
+                        yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), b.column(0).take(rows), b.column(1).take(rows), pa.array(_place(mine, np.zeros_like(mine)))], names=SUFFIX)
 
-    return both.mapInArrow(run, "g long, c long, doc_id long, place long")
+    return both.mapInArrow(run, "g long, c long, doc_id long, tag long, place long")
 
 
 def _runs(places: DataFrame) -> DataFrame:
-    """doc_id, row, runs: maximal removed runs of each document as packed (tag, begin, end) triples of long."""
+    """doc_id, tag, runs: maximal removed runs of each row of documents as packed (begin, end) pairs of long."""
     lists = _by_row(places).agg(F.collect_list("place").alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             packed = []
-            for i in range(b.num_rows):
-                p, out = np.sort(b.column(1)[i].values.to_numpy()), []
-                for tag in np.unique(p & ((1 << 26) - 1)).tolist():
-                    own = p[(p & ((1 << 26) - 1)) == tag]
-                    lo, hi = own >> 32, np.maximum.accumulate((own >> 32) + ((own >> 26) & 63) + LENGTH)
-                    new = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
-                    last = np.concatenate((new[1:] - 1, [len(lo) - 1]))
-                    out.append(np.stack((np.full(len(new), tag), lo[new], hi[last]), axis=1))
-                packed.append(np.concatenate(out).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], names=["doc_id", "row", "runs"])
+            for places_ in b.column(2):
+                p = np.sort(places_.values.to_numpy())
+                lo, hi = _start(p), np.maximum.accumulate(_start(p) + _span(p) + LENGTH)
+                new = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
+                last = np.concatenate((new[1:] - 1, [len(lo) - 1]))
+                packed.append(np.stack((lo[new], hi[last]), axis=1).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["doc_id", "tag", "runs"])
 
-    return lists.select("doc_id", "places", "row").mapInArrow(run, "doc_id long, row long, runs binary")
+    return lists.select("doc_id", "tag", "places").mapInArrow(run, "doc_id long, tag long, runs binary")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, row, runs of docs (doc_id, tag, text)."""
+    """doc_id, tag, runs of docs (doc_id, tag, text)."""
     small_batches(docs.sparkSession)
-    repeats, firsts = _across(materialize(_compare(_bucket(docs)), "suffixes"))
-    more, _ = _across(materialize(_compare(_spelled(docs, firsts)), "spelled"))
-    return materialize(_runs(repeats.unionByName(more)), "runs")
+    with temporary(docs.sparkSession):
+        repeats, firsts = _across(materialize(_compare(_bucket(docs)), "suffixes"))
+        more, _ = _across(materialize(_compare(_spelled(docs, firsts)), "spelled"))
+        return materialize(_runs(repeats.unionByName(more)), "runs", keep=True)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text without the runs, as bytes)."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
     runs = repeated_runs(rows)
     n, size = runs.agg(F.count("*"), F.coalesce(F.sum(F.length("runs")), F.lit(0))).first()
     both = rows.alias("d").join(if_light(runs, size + 48 * n, BROADCAST_BYTES).alias("p"), F.expr(SAME_ROW), "left").select("d.doc_id", "d.tag", "d.text", "p.runs")
@@ -260,13 +266,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, ends = _layout(b.column(2))
-            tags, raw, out = _tags(b.column(1)), data.tobytes(), []
+            raw, out = data.tobytes(), []
             for i, packed in enumerate(b.column(3).to_pylist()):
                 text, spans, kept, at = raw[ends[i] : ends[i + 1]], 0, [], 0
-                for tag, lo, hi in np.frombuffer(packed or b"", "<i8").reshape(-1, 3).tolist():
-                    if tag == tags[i]:
-                        kept.append(text[at:lo])
-                        at, spans = hi, spans + 1
+                for lo, hi in np.frombuffer(packed or b"", "<i8").reshape(-1, 2).tolist():
+                    kept.append(text[at:lo])
+                    at, spans = hi, spans + 1
                 whole = b"".join([*kept, text[at:]])
                 out.append((len(text), len(text) - len(whole), spans, hashlib.sha256(whole).hexdigest(), whole))
             cols = list(zip(*out)) or [[]] * 5
