@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions.exprs import ema, wilder
+from tickloom.functions.exprs import ema, wilder, with_blocks
 
 BARS = 10_000
 
@@ -29,7 +29,7 @@ def followed(x: list[float], n: int, first: int, alpha: float) -> list[float | N
 @pytest.mark.parametrize("n", [9, 12, 26, 200])
 def test_exponential_average(spark, n):
     x = series()
-    bars = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)] + [("b", i, v) for i, v in enumerate(x[:50])], "ticker string, idx long, close double")
+    bars = with_blocks(spark.createDataFrame([("a", i, v) for i, v in enumerate(x)] + [("b", i, v) for i, v in enumerate(x[:50])], "ticker string, idx long, close double"))
     got = {(r["ticker"], r["idx"]): r["e"] for r in bars.select("ticker", "idx", ema(F.col("close"), n, 3).alias("e")).collect()}
     for ticker, values in (("a", x), ("b", x[:50])):
         for i, want in enumerate(followed(values, n, 3, 2 / (n + 1)) if len(values) > n + 3 else [None] * 50):
@@ -38,7 +38,7 @@ def test_exponential_average(spark, n):
 
 def test_wilder_average(spark):
     x = series()
-    bars = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "ticker string, idx long, close double")
+    bars = with_blocks(spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "ticker string, idx long, close double"))
     got = [r["e"] for r in bars.select("idx", wilder(F.col("close"), 14, 1).alias("e")).orderBy("idx").collect()]
     want = followed(x, 14, 1, 1 / 14)
     assert all(a is b is None or abs(a / b - 1) < 1e-9 for a, b in zip(got, want)) and len(got) == len(want)

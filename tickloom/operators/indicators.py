@@ -6,42 +6,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.config import BREAKOUT_RECENCY, BUFFER, CHASE, FAR, VOL_MULT
-from tickloom.functions.exprs import by, run, bars_since, ema, guarded, last, sma, wilder
+from tickloom.functions.exprs import bars_since, by, ema, guarded, last, mean, run, wilder
 
 
 def indicators(bars: DataFrame) -> DataFrame:
     c, v, h, low, idx = (F.col(x) for x in ("close", "volume", "high", "low", "idx"))
     pc, ph, pl = F.lag("close").over(by()), F.lag("high").over(by()), F.lag("low").over(by())
     up, down = h - ph, pl - low
-    avg = lambda x, n, back=0: F.avg(x).over(last(n, back))
+    ratio = lambda n, prior: (mean("volume", n) - mean("volume", prior, n)) / F.nullif(mean("volume", prior, n), F.lit(0.0)) * 100
     sd = lambda n, back=0: F.stddev_samp("ret").over(last(n, back))
     anchor = lambda n: (c / F.lag("close", n - 1).over(by()) - 1) * 100
-    f = bars.withColumns(
+    # Sums for means, and extremes of 63 bars, from which those of 126 and 252 follow by looking back.
+    f = bars.withColumns({"close_run": F.sum("close").over(run()), "volume_run": F.sum(v.cast("double")).over(run()), "_high": F.max("high").over(last(63)), "_low": F.min("low").over(last(63)), "_top": F.max("close").over(last(63))})
+    f = f.withColumns({"_high": F.greatest("_high", F.lag("_high", 63).over(by())), "_low": F.least("_low", F.lag("_low", 63).over(by()))})
+    f = f.withColumns(
         {
             "ret": (c - pc) / pc,
             "diff": c - pc,
             "tr": F.greatest(h - low, F.abs(h - pc), F.abs(low - pc)),
             "pdm": F.when(idx > 0, F.when((up > down) & (up > 0), up).otherwise(0.0)),
             "mdm": F.when(idx > 0, F.when((down > up) & (down > 0), down).otherwise(0.0)),
-            **{f"sma{n}": sma("close", n) for n in (20, 50, 150, 200)},
-            "vsma50": sma("volume", 50),
-            "vol_trend": guarded(25, (avg("volume", 5) - avg("volume", 20, 5)) / F.nullif(avg("volume", 20, 5), F.lit(0.0)) * 100),
-            "dryup": guarded(55, (avg("volume", 5) - avg("volume", 50, 5)) / F.nullif(avg("volume", 50, 5), F.lit(0.0)) * 100),
+            **{f"sma{n}": mean("close", n) for n in (20, 50, 150, 200)},
+            "vsma50": mean("volume", 50),
+            "vol_trend": ratio(5, 20),
+            "dryup": ratio(5, 50),
             "ema12": ema(c, 12),
             "ema26": ema(c, 26),
-            "w52_high": guarded(252, F.max("high").over(last(252))),
-            "w52_low": guarded(252, F.min("low").over(last(252))),
-            "proximity": guarded(63, (F.max("close").over(last(63)) - c) / F.nullif(F.max("close").over(last(63)), F.lit(0.0)) * 100),
+            "w52_high": guarded(252, F.greatest("_high", F.lag("_high", 126).over(by()))),
+            "w52_low": guarded(252, F.least("_low", F.lag("_low", 126).over(by()))),
+            "proximity": guarded(63, (F.col("_top") - c) / F.nullif("_top", F.lit(0.0)) * 100),
             "rs_raw": guarded(252, 2 * anchor(63) + anchor(126) + anchor(252)),
             "sim_return": guarded(63, anchor(63)),
             "fast_k": guarded(14, (c - F.min("low").over(last(14))) / F.nullif(F.max("high").over(last(14)) - F.min("low").over(last(14)), F.lit(0.0)) * 100),
-            "high63": F.when(idx >= 63, F.max("close").over(last(63, 1))),
+            "high63": F.when(idx >= 63, F.lag("_top").over(by())),
             "ret10": F.when(idx >= 10, (c / F.lag("close", 10).over(by()) - 1) * 100),
             "boll_sd": guarded(20, F.stddev_samp("close").over(last(20))),
         }
     )
     gain, loss = F.greatest("diff", F.lit(0.0)), F.greatest(-F.col("diff"), F.lit(0.0))
-    full = lambda x, n: F.when(F.count(x).over(last(n)) == n, avg(x, n))
+    full = lambda x, n: F.when(F.count(x).over(last(n)) == n, F.avg(x).over(last(n)))
     f = f.withColumns(
         {
             "macd_line": F.col("ema12") - F.col("ema26"),
@@ -83,7 +86,7 @@ def indicators(bars: DataFrame) -> DataFrame:
             "since_cross": bars_since(F.coalesce((prev_m <= prev_s) & (F.col("macd_line") > F.col("signal_line")), F.lit(False))),
             "since_dead_cross": bars_since(F.coalesce((F.lag("ema26").over(by()) <= F.lag("ema12").over(by())) & (F.col("ema26") > F.col("ema12")), F.lit(False))),
         }
-    )
+    ).drop("_high", "_low", "_top")
 
 
 def entry_state(f: DataFrame) -> DataFrame:

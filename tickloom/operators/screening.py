@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,15 +24,15 @@ def evaluation_dates(calendar: DataFrame, warmup: int = WARMUP, buffer: int = BU
 
 
 def snapshots(f: DataFrame, dates: DataFrame) -> DataFrame:
-    """The last bar of every ticker at or before each date (eval_date): an equi-join on the days that each bar is current.
+    """The last bar of every ticker at or before each date (eval_date): equi-joins on days and on bars.
 
-    A bar is current until the day before the ticker's next bar, the last one until the last date; these few days are
-    spelled out and met with the dates, so no bar is compared with dates that it can't serve.
+    A bar is current until the day before the ticker's next bar, the last one until the last date. These few days are
+    spelled out for the bars' keys alone and met with the dates; of what is left the columns are fetched by ticker and bar.
     """
-    until = f.withColumn("_next", F.lead("date").over(by())).crossJoin(F.broadcast(dates.agg(F.max("eval_date").alias("_last"))))
+    keys = f.select("ticker", "block", "idx", "date").withColumn("_next", F.lead("date").over(by())).crossJoin(F.broadcast(dates.agg(F.max("eval_date").alias("_last"))))
     end = F.least(F.date_sub("_next", 1), "_last")
-    days = until.filter(end >= F.col("date")).withColumn("eval_date", F.explode(F.sequence("date", end)))
-    return days.join(dates, "eval_date").drop("_next", "_last").select(*f.columns, "eval_date")
+    days = keys.filter(end >= F.col("date")).select("ticker", "idx", F.explode(F.sequence("date", end)).alias("eval_date"))
+    return f.join(days.join(dates, "eval_date"), ["ticker", "idx"]).select(*f.columns, "eval_date")
 
 
 def with_template(s: DataFrame) -> DataFrame:
@@ -62,35 +64,77 @@ def sector_returns(s: DataFrame) -> DataFrame:
 
 
 def breadth(f: DataFrame, calendar: DataFrame) -> DataFrame:
-    """date, breadth: share of tickers above their 200-bar average, null without any. f: ticker, idx, date, close, sma200."""
+    """n, date, breadth: share of tickers above their 200-bar average, null without any. f: ticker, idx, date, close, sma200."""
     enough = F.count("*").over(Window.partitionBy("ticker")) >= MIN_BARS
     above = f.withColumn("ok", enough).filter("ok").groupBy("date").agg(F.avg((F.col("close") > F.col("sma200")).cast("int")).alias("breadth"))
-    return calendar.join(above, "date", "left").select("date", "breadth")
+    return calendar.join(above, "date", "left").select("n", "date", "breadth")
+
+
+STATES = (None, "up", "neutral", "down")
+#: Days folded at once: in a block, and blocks in a group.
+FOLDED = 256
+
+
+def _turned(state: Column, v: Column) -> Column:
+    """The state after a day of breadth v."""
+    first = F.when(v >= UP_EXIT, "up").when(v < DOWN_ENTER, "down").otherwise("neutral")
+    return (
+        F.when(v.isNull(), state)
+        .when(state.isNull(), first)
+        .when((state == "up") & (v < UP_EXIT), "neutral")
+        .when((state == "neutral") & (v > UP_ENTER), "up")
+        .when((state == "neutral") & (v < DOWN_ENTER), "down")
+        .when((state == "down") & (v > DOWN_EXIT), "neutral")
+        .otherwise(state)
+    )
+
+
+def _known(state: Column, since: Column) -> Column:
+    return F.struct(state.cast("string").alias("state"), since.cast("date").alias("since"))
+
+
+def _follow(into: Column, to: Column) -> Column:
+    """What a map (to: by state at the start) makes of a state and the day since when it holds."""
+    return F.coalesce(*[F.when(into["state"].eqNullSafe(F.lit(s)), _known(to[k]["state"], F.coalesce(to[k]["since"], into["since"]))) for k, s in enumerate(STATES)])
+
+
+def _starts(maps: Column, into: Column, key: str) -> Column:
+    """key and into of each map in a sorted array: what it starts from, if the first one starts from `into`."""
+    zero = F.struct(into.alias("into"), F.array().cast(f"array<struct<{key}:bigint,into:struct<state:string,since:date>>>").alias("out"))
+    row = lambda acc, x: F.struct(x[key].alias(key), acc["into"].alias("into"))
+    return F.aggregate(maps, zero, lambda acc, x: F.struct(_follow(acc["into"], x["map"]).alias("into"), F.concat(acc["out"], F.array(row(acc, x))).alias("out")))["out"]
+
+
+def _composed(days: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """By state at the start, what a sorted array ends in: a map of states to states (since null where nothing changes)."""
+    return F.array(*[F.aggregate(days, _known(F.lit(s), F.lit(None)), step) for s in STATES])
 
 
 def regimes(b: DataFrame) -> DataFrame:
-    """date, breadth, regime, transition_date. One row a calendar day: the fold runs over a few thousand values."""
-    days = b.agg(F.array_sort(F.collect_list(F.struct("date", "breadth"))).alias("days"))
-    item = "struct<date:date,breadth:double,regime:string,transition_date:date>"
-
-    def step(acc: Column, x: Column) -> Column:
-        v, state = x["breadth"], acc["state"]
-        first = F.when(v >= UP_EXIT, "up").when(v < DOWN_ENTER, "down").otherwise("neutral")
-        now = (
-            F.when(v.isNull(), state)
-            .when(state.isNull(), first)
-            .when((state == "up") & (v < UP_EXIT), "neutral")
-            .when((state == "neutral") & (v > UP_ENTER), "up")
-            .when((state == "neutral") & (v < DOWN_ENTER), "down")
-            .when((state == "down") & (v > DOWN_EXIT), "neutral")
-            .otherwise(state)
-        )
-        since = F.when(v.isNull() | now.eqNullSafe(state), acc["since"]).otherwise(x["date"])
-        row = F.struct(x["date"].alias("date"), v.alias("breadth"), F.when(v.isNotNull(), now).alias("regime"), F.when(v.isNotNull(), since).alias("transition_date")).cast(item)
-        return F.struct(now.alias("state"), since.alias("since"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    zero = F.struct(F.lit(None).cast("string").alias("state"), F.lit(None).cast("date").alias("since"), F.array().cast(f"array<{item}>").alias("out"))
-    return days.select(F.inline(F.aggregate("days", zero, step)["out"]))
+    """date, breadth, regime, transition_date of b (n, date, breadth): the state with hysteresis, as a scan of maps.
+
+    A day turns each state into one; so does a block of days, and a group of blocks. Blocks are folded for all states
+    at once, in parallel, then groups; what each group and block starts from follows from the maps before it, and each block is
+    gone through again from there. Only the groups' maps, one for 65,536 days, are folded in one task.
+    """
+    turn = lambda acc, x: _known(_turned(acc["state"], x["breadth"]), F.when(_turned(acc["state"], x["breadth"]).eqNullSafe(acc["state"]), acc["since"]).otherwise(x["date"]))
+    block = F.floor(F.col("n") / FOLDED)
+    days = b.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "date", "breadth"))).alias("days"))
+    maps = days.select("block", F.floor(F.col("block") / FOLDED).alias("group"), _composed(F.col("days"), turn).alias("map"))
+    gathered = lambda key: F.array_sort(F.collect_list(F.struct(key, "map")))
+    groups = maps.groupBy("group").agg(gathered("block").alias("blocks"))
+    of_groups = groups.select("group", _composed(F.col("blocks"), lambda acc, x: _follow(acc, x["map"])).alias("map")).agg(gathered("group").alias("all"))
+    of_groups = of_groups.select(F.inline(_starts(F.col("all"), _known(F.lit(None), F.lit(None)), "group")))
+    of_blocks = groups.join(of_groups, "group").select(F.inline(_starts(F.col("blocks"), F.col("into"), "block")))
+    row = "struct<date:date,breadth:double,regime:string,transition_date:date>"
+
+    def write(acc: Column, x: Column) -> Column:
+        now, seen = turn(acc["now"], x), x["breadth"].isNotNull()
+        one = F.struct(x["date"].alias("date"), x["breadth"].alias("breadth"), F.when(seen, now["state"]).alias("regime"), F.when(seen, now["since"]).alias("transition_date")).cast(row)
+        return F.struct(now.alias("now"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    last_ = F.aggregate("days", F.struct(F.col("into").alias("now"), F.array().cast(f"array<{row}>").alias("out")), write)
+    return days.join(of_blocks, "block").select(F.inline(last_["out"]))
 
 
 def trend_score(leading: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.config import BASES, HORIZONS, PRESETS, QUALITIES, REGIMES, SAMPLES, STRATEGIES
-from tickloom.functions.exprs import by, half_up, sma
+from tickloom.functions.exprs import by, half_up, mean, run
 from tickloom.operators import backtest, fundamentals, pullback, screening
 from tickloom.operators.indicators import entry_state, exit_signals, indicators
 from tickloom.sources.bars import bars, quarters
@@ -89,7 +89,8 @@ def _priced(spark: SparkSession, d: str) -> DataFrame:
 def _regimes(spark: SparkSession, d: str) -> DataFrame:
     def make() -> DataFrame:
         b = _priced(spark, d)
-        return screening.regimes(screening.breadth(b.select("ticker", "idx", "date", "close", sma("close", 200).alias("sma200")), screening.trading_calendar(b)))
+        averages = b.withColumn("close_run", F.sum("close").over(run())).select("ticker", "idx", "date", "close", mean("close", 200).alias("sma200"))
+        return screening.regimes(screening.breadth(averages, screening.trading_calendar(b)))
 
     return staged(spark, d, "regimes", make)
 
@@ -179,7 +180,7 @@ def _drawdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, QUERY] = {
-    "bars": lambda spark, d: bars(spark, d).drop("pos"),
+    "bars": lambda spark, d: bars(spark, d).drop("pos", "block"),
     "quarters": quarters,
     **{k: _indicator(*v, DIGITS.get(k, 6)) for k, v in INDICATORS.items()},
     "entry_state": _state,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.exprs import half_up
+from tickloom.functions.exprs import half_up, with_blocks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, sector, pos, date, idx, open, high, low, close, volume: a price walk of each supplier nation."""
+    """ticker, sector, pos, date, idx, open, high, low, close, volume, block: a price walk of each supplier nation."""
     line, supplier, nation, region = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region"))
     # Summed by supplier before the names are joined: the shuffle carries keys and two sums.
     by_supplier = line.groupBy("l_suppkey", F.to_date("l_shipdate").alias("date")).agg(
@@ -34,11 +34,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = day.select("*", (F.row_number().over(w) - 1).cast("long").alias("idx"), F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("lp"))
     px = px.withColumn("close", half_up(100 * F.exp(F.col("lp") / 10000), 4))
     px = px.withColumn("open", F.coalesce(F.lag("close").over(w), F.col("close")))
-    return px.select(
+    return with_blocks(px).select(
         "ticker", "sector", "pos", "date", "idx", "open",
         half_up(F.greatest("open", "close") * (1 + (cents % 97).cast("double") / 10000), 4).alias("high"),
         half_up(F.least("open", "close") * (1 - (cents % 89).cast("double") / 10000), 4).alias("low"),
-        "close", "volume",
+        "close", "volume", "block",
     )
 
 
