@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.config import COHORTS, HORIZONS, PRESETS, REGIMES, SAMPLES, STATES, STRATEGIES
+from tickloom.config import COHORTS, PRESETS, REGIMES, SAMPLES, STATES, STRATEGIES
 from tickloom.functions.exprs import half_up
 from tickloom.operators import backtest, filters, fundamentals, paths, portfolio, screening, variants
 from tickloom.plans.queries import QUERY, _basis, _features, _lists, _perf, _regimes, _sampled, _signals, _snapshot
+from tickloom.run import run_of
 from tickloom.sources.bars import bars, quarters
 from tickloom.sources.stage import staged
 
@@ -89,8 +90,8 @@ def _entry_variants(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name in [n for n, e in paths.ENTRIES.items() if e.kind == "breakout"]:
         s, f = _filled(spark, d, name, _out_top5(spark, d))
-        perf = paths.with_benchmark(paths.held(s, f, HORIZONS), f).select(*paths.KEY, "days", "excess", "ret", "mdd")
-        every = s.select(*paths.KEY, F.col("fill_idx").isNotNull().cast("int").alias("filled"), F.explode(F.array(*[F.lit(h) for h in HORIZONS])).alias("days"))
+        perf = paths.with_benchmark(paths.held(s, f, run_of(d).horizons), f).select(*paths.KEY, "days", "excess", "ret", "mdd")
+        every = s.select(*paths.KEY, F.col("fill_idx").isNotNull().cast("int").alias("filled"), F.explode(F.array(*[F.lit(h) for h in run_of(d).horizons])).alias("days"))
         one = every.join(perf, [*paths.KEY, "days"], "left").withColumn("rule", F.lit(name))
         out = one if out is None else out.unionByName(one)
     r, zero = (lambda x: half_up(x, 4)), (lambda c: F.coalesce(c, F.lit(0.0)))
@@ -130,7 +131,7 @@ def _pullback_axis(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name in [n for n, e in paths.ENTRIES.items() if e.kind == "pullback"]:
         s, f = _filled(spark, d, name)
-        one = paths.with_benchmark(paths.held(s, f, HORIZONS), f).withColumn("rule", F.lit(name))
+        one = paths.with_benchmark(paths.held(s, f, run_of(d).horizons), f).withColumn("rule", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return paths.summary(_basis(out).filter("regime IS NOT NULL"), ["rule", "sample", "basis", "regime", "days"])
 
@@ -146,12 +147,12 @@ def _stated(spark: SparkSession, d: str) -> DataFrame:
 
 def _state_axis(spark: SparkSession, d: str) -> DataFrame:
     table = backtest.summarize(_stated(spark, d), ["strategy", "sample", "state", "days"])
-    return backtest.with_empty_cells(table, {"strategy": STRATEGIES, "sample": SAMPLES, "state": STATES, "days": HORIZONS})
+    return backtest.with_empty_cells(table, {"strategy": STRATEGIES, "sample": SAMPLES, "state": STATES, "days": run_of(d).horizons})
 
 
 def _state_regime_axis(spark: SparkSession, d: str) -> DataFrame:
     table = backtest.summarize(_stated(spark, d).filter("regime IS NOT NULL"), ["strategy", "sample", "state", "regime", "days"])
-    return backtest.with_empty_cells(table, {"strategy": STRATEGIES, "sample": SAMPLES, "state": STATES, "regime": REGIMES, "days": HORIZONS})
+    return backtest.with_empty_cells(table, {"strategy": STRATEGIES, "sample": SAMPLES, "state": STATES, "regime": REGIMES, "days": run_of(d).horizons})
 
 
 def _freshness_axis(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +160,7 @@ def _freshness_axis(spark: SparkSession, d: str) -> DataFrame:
     j = _perf(spark, d).filter(F.col("strategy").isin(*STRATEGIES[:2])).join(fresh, ["eval_date", "ticker"])
     j = j.withColumn("cohort", F.when(F.col("strategy") == STRATEGIES[0], F.col("cross_cohort")).otherwise(F.col("pivot_cohort")))
     table = backtest.summarize(j, ["strategy", "cohort", "days"])
-    return backtest.with_empty_cells(table, {"strategy": STRATEGIES[:2], "cohort": COHORTS, "days": HORIZONS})
+    return backtest.with_empty_cells(table, {"strategy": STRATEGIES[:2], "cohort": COHORTS, "days": run_of(d).horizons})
 
 
 #: By policy: the signals that it picks from, what it keeps of them, and the least sample to judge it on (fixed values).

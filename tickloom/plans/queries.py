@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.config import BASES, HORIZONS, PRESETS, QUALITIES, REGIMES, SAMPLES, STRATEGIES
+from tickloom.config import BASES, PRESETS, QUALITIES, REGIMES, SAMPLES, STRATEGIES
 from tickloom.functions.exprs import by, half_up, mean, run
 from tickloom.operators import backtest, fundamentals, pullback, screening
 from tickloom.operators.indicators import entry_state, exit_signals, indicators
+from tickloom.run import Run, run_of
 from tickloom.sources.bars import bars, quarters
 from tickloom.sources.stage import staged
 
-QUERY = Callable[[SparkSession, str], DataFrame]
+QUERY = Callable[[SparkSession, str | Run], DataFrame]
 
 #: Per-bar indicator queries: rounded doubles, and columns taken as they are.
 INDICATORS: dict[str, tuple[list[str], list[str]]] = {
@@ -77,8 +78,12 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
 
 def _snapshot(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     f = _features(spark, d)
-    dates = screening.evaluation_dates(screening.trading_calendar(_priced(spark, d)))
-    return f, staged(spark, d, "snapshot", lambda: screening.with_template(screening.snapshots(f, dates)))
+    return f, staged(spark, d, "snapshot", lambda: screening.with_template(screening.snapshots(f, _dates(spark, d))))
+
+
+def _dates(spark: SparkSession, d: str | Run) -> DataFrame:
+    run = run_of(d)
+    return screening.evaluation_dates(screening.trading_calendar(_priced(spark, d)), run.warmup, run.buffer, run.step)
 
 
 def _priced(spark: SparkSession, d: str) -> DataFrame:
@@ -124,8 +129,7 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
     """split: the middle evaluation date; it and later ones are out of sample. One row."""
-    dates = screening.evaluation_dates(screening.trading_calendar(_priced(spark, d)))
-    return dates.agg(F.array_sort(F.collect_list("eval_date")).alias("a")).select(F.get("a", F.floor(F.size("a") / 2).cast("int")).alias("split"))
+    return _dates(spark, d).agg(F.array_sort(F.collect_list("eval_date")).alias("a")).select(F.get("a", F.floor(F.size("a") / 2).cast("int")).alias("split"))
 
 
 def _sampled(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
@@ -146,9 +150,9 @@ def _perf(spark: SparkSession, d: str) -> DataFrame:
 
     def make() -> DataFrame:
         s, b = staged(spark, d, "signals", lambda: _signals(spark, d)), _priced(spark, d)
-        forward = backtest.forward_returns(b)
+        forward = backtest.forward_returns(b, run_of(d).horizons)
         at = _regimes(spark, d).select(F.col("date").alias("eval_date"), "regime")
-        perf = backtest.performance(s, forward, backtest.benchmark(forward), backtest.drawdowns(b, s))
+        perf = backtest.performance(s, forward, backtest.benchmark(forward), backtest.drawdowns(b, s, run_of(d).horizons))
         return _sampled(spark, d, perf.join(at, "eval_date", "left"))
 
     return staged(spark, d, "performance", make)
@@ -160,13 +164,13 @@ def _strategy_table(spark: SparkSession, d: str) -> DataFrame:
     s = _quality(_basis(_sampled(spark, d, staged(spark, d, "signals", lambda: _signals(spark, d)))))
     share = s.groupBy(*keys).agg(half_up(F.avg(F.col("relaxed").cast("int")), 4).alias("relaxed_share"))
     table = backtest.summarize(_quality(_basis(_perf(spark, d))), [*keys, "days"])
-    whole = backtest.with_empty_cells(table, {"strategy": STRATEGIES, "sample": SAMPLES, "basis": BASES, "quality": QUALITIES, "days": HORIZONS})
+    whole = backtest.with_empty_cells(table, {"strategy": STRATEGIES, "sample": SAMPLES, "basis": BASES, "quality": QUALITIES, "days": run_of(d).horizons})
     return whole.join(share, keys, "left")
 
 
 def _regime_axis(spark: SparkSession, d: str) -> DataFrame:
     table = backtest.summarize(_basis(_perf(spark, d).filter("regime IS NOT NULL")), ["strategy", "sample", "basis", "regime", "days"])
-    return backtest.with_empty_cells(table, {"strategy": STRATEGIES, "sample": SAMPLES, "basis": BASES, "regime": REGIMES, "days": HORIZONS})
+    return backtest.with_empty_cells(table, {"strategy": STRATEGIES, "sample": SAMPLES, "basis": BASES, "regime": REGIMES, "days": run_of(d).horizons})
 
 
 def _benchmark(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +191,7 @@ QUERIES: dict[str, QUERY] = {
     "exit_signals": _exits,
     "exit_signal_counts": _exit_counts,
     "trading_calendar": lambda spark, d: screening.trading_calendar(bars(spark, d)),
-    "evaluation_dates": lambda spark, d: screening.evaluation_dates(screening.trading_calendar(bars(spark, d))),
+    "evaluation_dates": _dates,
     "asof_snapshot": lambda spark, d: _snapshot(spark, d)[1].select("eval_date", "ticker", "date", "idx", "close", "sufficient", "full_year"),
     "trend_template": _template,
     "sector_returns": lambda spark, d: screening.sector_returns(_snapshot(spark, d)[1]).select("eval_date", "sector", half_up(F.col("avg_return")).alias("avg_return"), "members", "leading"),

@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.config import ATR_STOP, HORIZONS, MIN_BARS, PRESETS, REGIMES, SAMPLES, STEP, STOP, STRATEGIES, YEAR, custom_preset
+from tickloom.config import ATR_STOP, MIN_BARS, PRESETS, REGIMES, SAMPLES, STEP, STOP, STRATEGIES, YEAR, custom_preset
 from tickloom.functions.exprs import by, guarded, half_up, last
 from tickloom.operators import backtest, filters, fundamentals, paths, screening, variants
 from tickloom.operators.indicators import entry_state, indicators
 from tickloom.plans import backtest_queries, queries
 from tickloom.plans.queries import QUERY, _perf, _priced, _regimes, _sampled, _signals, _snapshot
 from tickloom.sources import universe
+from tickloom.run import run_of
 from tickloom.sources.bars import bars, table
 from tickloom.sources.stage import shared_folder, staged
 
@@ -108,7 +109,7 @@ def _intersection(spark: SparkSession, d: str) -> DataFrame:
     p = _perf(spark, d).filter((F.col("strategy") == STRATEGIES[2]) & F.col("regime").isNotNull()).join(verdicts, ["eval_date", "ticker"])
     groups = F.when(F.col("verdict").isin("pass", "partial"), F.array("verdict", F.lit("partialOrBetter"))).when(F.col("verdict") == "fail", F.array("verdict"))
     table_ = backtest.summarize(p.withColumn("hurdle", F.explode(groups)), ["sample", "regime", "hurdle", "days"])
-    return backtest.with_empty_cells(table_, {"sample": SAMPLES, "regime": REGIMES, "hurdle": HURDLE_GROUPS, "days": HORIZONS})
+    return backtest.with_empty_cells(table_, {"sample": SAMPLES, "regime": REGIMES, "hurdle": HURDLE_GROUPS, "days": run_of(d).horizons})
 
 
 def _variants(spark: SparkSession, d: str) -> DataFrame:

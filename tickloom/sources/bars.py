@@ -6,25 +6,55 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import half_up, with_blocks
+from tickloom.run import UNIVERSES, Run, run_of
+from tickloom.sources.universe import read_universe
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, d: str | Run, name: str) -> DataFrame:
+    return spark.read.parquet(f"{run_of(d).folder}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, sector, pos, date, idx, open, high, low, close, volume, block: a price walk of each supplier nation."""
-    line, supplier, nation, region = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region"))
-    # Summed by supplier before the names are joined: the shuffle carries keys and two sums.
-    by_supplier = line.groupBy("l_suppkey", F.to_date("l_shipdate").alias("date")).agg(
-        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.sum(F.col("l_quantity").cast("long")).alias("volume")
-    )
-    names = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    day = (
-        by_supplier.join(names, F.col("l_suppkey") == F.col("s_suppkey"))
+def bars(spark: SparkSession, d: str | Run) -> DataFrame:
+    """ticker, sector, pos, date, idx, open, high, low, close, volume, block of the run's universe."""
+    universe = run_of(d).universe
+    if universe not in UNIVERSES:
+        return with_blocks(read_universe(spark, universe, lines=True)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ticker")
+    return _walk(spark, _suppliers(spark, d) if universe == UNIVERSES[0] else _customers(spark, d))
+
+
+def _named(by_key: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """cents and volume by nation (ticker, pos), region (sector) and date, from sums by a key of names."""
+    return (
+        by_key.join(names, key)
         .groupBy(F.col("n_name").alias("ticker"), F.col("n_nationkey").cast("long").alias("pos"), F.col("r_name").alias("sector"), "date")
         .agg(F.sum("cents").alias("cents"), F.sum("volume").alias("volume"))
     )
+
+
+def _nations(spark: SparkSession, d: str | Run) -> DataFrame:
+    return table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+
+def _customers(spark: SparkSession, d: str | Run) -> DataFrame:
+    """The second universe: orders by the customers' nations, their price in cents and their number."""
+    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
+    by_customer = orders.groupBy(F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("date")).agg(
+        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.count("*").alias("volume")
+    )
+    return _named(by_customer, customer.join(_nations(spark, d), F.col("c_nationkey") == F.col("n_nationkey")), "c_custkey")
+
+
+def _suppliers(spark: SparkSession, d: str | Run) -> DataFrame:
+    """Line items by the suppliers' nations; summed by supplier before names are joined, so the shuffle carries keys and two sums."""
+    line, supplier = table(spark, d, "lineitem"), table(spark, d, "supplier")
+    by_supplier = line.groupBy(F.col("l_suppkey").alias("s_suppkey"), F.to_date("l_shipdate").alias("date")).agg(
+        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.sum(F.col("l_quantity").cast("long")).alias("volume")
+    )
+    return _named(by_supplier, supplier.join(_nations(spark, d), F.col("s_nationkey") == F.col("n_nationkey")), "s_suppkey")
+
+
+def _walk(spark: SparkSession, day: DataFrame) -> DataFrame:
+    """Bars of a price walk whose daily steps follow from each nation's cents."""
     # Windows over a ticker cost far more time than bytes, so they must not be dealt out by bytes: a stated number of
     # partitions isn't joined at run time, and serves all later windows by ticker.
     day = day.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ticker")
@@ -42,10 +72,10 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quarters(spark: SparkSession, d: str | Run) -> DataFrame:
     """ticker, rn (1 is the newest of five), qn, eps, revenue, operating_margin, roe."""
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    o = o.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).filter("o_orderdate < TIMESTAMP '2001-07-01 00:00:00'")
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).filter("o_orderdate < TIMESTAMP '2001-07-01 00:00:00'")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     q = o.groupBy(F.col("n_name").alias("ticker"), F.col("n_nationkey").alias("nk"), (F.year("o_orderdate") * 4 + F.quarter("o_orderdate") - 1).cast("long").alias("qn")).agg(
         F.sum(cents).cast("double").alias("rc"), F.count("*").cast("double").alias("cnt"), F.sum(F.when(F.col("o_orderstatus") == "F", cents).otherwise(0)).cast("double").alias("fc")

@@ -2,7 +2,7 @@
 
 A backtest meets the bars' features several times over; written once, they are computed once and each plan that reads
 them stays small. A lost executor costs nothing that is written. The input tables are taken as unchanged while a
-session lasts; forget() drops what is known of a session. The tables are written while a plan is built, and their folders stay,
+session lasts, and are kept by the whole run that they belong to; forget() drops what is known of a session. The tables are written while a plan is built, and their folders stay,
 as the plans handed out read them; whoever set the shared folder clears it.
 """
 
@@ -14,7 +14,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_known: dict[tuple[str, str, str], DataFrame] = {}
+from tickloom.run import Run, run_of
+
+_known: dict[tuple[str, Run, str], DataFrame] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,8 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     return (base or "/tmp/checkpoints/tickloom").rstrip("/")
 
 
-def staged(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def staged(spark: SparkSession, d: str | Run, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, run_of(d), name)
     if key not in _known:
         df, path = make(), f"{shared_folder(spark)}/tickloom-{uuid.uuid4().hex}/{name}"
         df.write.parquet(path)
