@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontamination, language, mixing, near_copies, sharding
-from tickloom.llm.common import fresh_path, table, unused
+from tickloom.llm.common import delete_folder, fresh_path, table, unused
 
 
 def _own(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -53,9 +53,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over documents, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = fresh_path(spark, "pipeline")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # read for the last time by the stage just written
+            delete_folder(spark, before)
+        before = path
     return docs

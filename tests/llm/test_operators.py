@@ -440,3 +440,39 @@ def test_many_rows_without_an_id(spark):
     want = sorted((len(t.encode()), brute.without_repeats([(1, t)])[1][1]) for t in texts_)
     rows = spark.createDataFrame([(None, t) for t in texts_], "doc_id long, text string")
     assert sorted((r["n_bytes"], r["n_removed"]) for r in suffixes.remove_repeats(rows).collect()) == want
+
+
+def test_stated_shares_of_absent_kinds(spark):
+    rng = random.Random(13)
+    rows = [(i, sentence(rng, "en", 30), rng.choice(["en", "fr", "es"]), "s", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r["axis"], r["kind"]): (r["target"], r["expected"]) for r in mixing.margins(docs, keep=0.3, targets={"lang": {"en": 0.5, "nope": 0.3}}).collect()}
+    assert abs(got["lang", "en"][0] - 0.5) < 1e-9 and abs(got["lang", "en"][1] - 0.5) < 1e-3
+    assert got["lang", "nope"] == (0.3, 0.0)
+    with pytest.warns(UserWarning, match="nope"):
+        mixing.mix(docs, keep=0.3, targets={"lang": {"en": 0.5, "nope": 0.3}})
+
+
+def test_shares_of_many_partitions_by_halving():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 50, 5000)
+    matrix = sharding.communication_matrix([int(sizes[i::8].sum()) for i in range(8)], sharding.shard_sizes(int(sizes.sum()), 16), 5)
+    own = np.array([sharding.own_share(matrix, sizes, p, 5) for p in range(len(sizes))])
+    assert (own.sum(1) == sizes).all() and (own >= 0).all()
+    assert all((own[i::8].sum(0) == matrix[i]).all() for i in range(8))
+
+
+def test_tokens_of_rows_without_or_with_one_id(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(public.path("byte_bpe_50k.json")), random.Random(14)
+    rows = [(None, sentence(rng, "en", 9)) for _ in range(60)] + [(5, sentence(rng, "fr", 9)) for _ in range(60)] + [(5, "same")] * 9 + [(5, None), (None, ""), (7, "z")]
+    path = fresh_path(spark, "tokens")
+    token_output.write_tokens(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, start long, IDS string"), public.path("byte_bpe_50k.json"), path)
+    got = token_output.digest(token_output.read_tokens(spark, path)).collect()
+    crc = lambda t: zlib.crc32(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == Counter((i, crc(t)) for i, t in rows)
+    in_order = sorted(got, key=lambda r: r["start"])
+    assert [r["start"] for r in in_order] == [sum(x["n_tokens"] for x in in_order[:k]) for k in range(len(in_order))]
+    assert [r["doc_id"] for r in in_order] == sorted((r["doc_id"] for r in got), key=lambda i: (i is not None, i or 0))

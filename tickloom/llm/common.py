@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -43,8 +44,14 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tickloom-{uuid.uuid4().hex}/{tag}"
 
 
-#: Folders written inside each open `temporary` block, innermost last.
-_open: list[list[str]] = []
+class _Open(threading.local):
+    """Folders written inside each open `temporary` block of a driver's thread, innermost last."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
@@ -55,8 +62,8 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    if len(_open) > keep:
-        _open[-1 - keep].append(path)
+    if len(_open.blocks) > keep:
+        _open.blocks[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,11 +77,11 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables that materialize() writes inside are removed at the end; what is read later must be kept."""
-    _open.append([])
+    _open.blocks.append([])
     try:
         yield
     finally:
-        for path in _open.pop():
+        for path in _open.blocks.pop():
             delete_folder(spark, path)
 
 

@@ -68,7 +68,7 @@ def targets_of(codes: np.ndarray, tokens: np.ndarray, power: float, kinds: list[
     open_ = np.isnan(given)
     if min(stated.values()) < 0 or sum(stated.values()) > 1 + 1e-9:
         raise ValueError("target shares must not be negative or add up to more than 1")
-    rest = max(0.0, 1 - sum(stated.values()))
+    rest = max(0.0, 1 - given[~open_].sum())  # what kinds that the data lack were to have goes to those without a stated share
     out = np.where(open_, rest * share / max(share[open_].sum(), 1e-300), given)
     return out / max(out.sum(), 1e-300)
 
@@ -126,7 +126,8 @@ def _planned(docs: DataFrame, keep: float, temper: dict[str, float], targets: di
     wanted = [targets_of(c, mass, temper[a], x, targets.get(a)) for a, c, x in zip(AXES, codes, names)]
     factor, prob = calibrate(codes, mass, wanted, keep)
     kept = mass * prob
-    margins = [(a, k, float(w), float(g)) for a, c, x, want in zip(AXES, codes, names, wanted) for k, w, g in zip(x, want, np.bincount(c, weights=kept) / max(kept.sum(), 1e-300))]
+    lacking = [(a, k, float(v), 0.0) for a, x in zip(AXES, names) for k, v in targets.get(a, {}).items() if k not in x]
+    margins = lacking + [(a, k, float(w), float(g)) for a, c, x, want in zip(AXES, codes, names, wanted) for k, w, g in zip(x, want, np.bincount(c, weights=kept) / max(kept.sum(), 1e-300))]
     return rows, own, keys, cells.assign(weight=factor, probability=prob), margins
 
 

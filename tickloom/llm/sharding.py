@@ -6,8 +6,8 @@ permuted again within their target block; the result is a uniform permutation cu
 at most. Source blocks are partitions as they are read, so equal rows, however many, spread like any others.
 
 The driver holds row counts by partition and the matrix (at most SOURCES x TARGETS counts, 16 MB as sent to tasks),
-never rows. Beyond SOURCES partitions several share a row of the matrix, and each task splits that row among them by
-the same law and the same seed.
+never rows. Beyond SOURCES partitions several share a row of the matrix, and each task halves that row by the same law
+and the same seeds until its own share is left.
 
 The counts and the exchange read df twice, so its partitions must be the same both times, as they are for a table
 read from files. Any other df is written to the shared folder first (stored=False). A task that meets another number of
@@ -80,12 +80,22 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
 
 
 def own_share(matrix: np.ndarray, sizes: np.ndarray, part: int, seed: int) -> np.ndarray:
-    """Rows of partition `part` for each target: its share of the matrix row that partitions part, part + SOURCES, ... have."""
-    row, rng = matrix[part % len(matrix)].tolist(), np.random.default_rng((seed, 1, part % len(matrix)))
-    for p in range(part % len(matrix), part + 1, len(matrix)):
-        mine = split(rng, row, int(sizes[p]))
-        row = [a - b for a, b in zip(row, mine)]
-    return np.array(mine, dtype=np.int64)
+    """Rows of partition `part` for each target: its share of the matrix row that partitions part, part + SOURCES, ... have.
+
+    Those partitions are halved until one is left; the first half's share is drawn with a seed of its own, so every task that
+    comes by draws the same, and a task draws as often as its partitions can be halved.
+    """
+    line, lines = part % len(matrix), len(matrix)
+    row, own = matrix[line].tolist(), sizes[line::lines]
+    low, high, at = 0, len(own), part // lines
+    while high - low > 1:
+        half = (low + high) // 2
+        first = split(np.random.default_rng((seed, 1, line, low, high)), row, int(own[low:half].sum()))
+        if at < half:
+            row, high = first, half
+        else:
+            row, low = [a - b for a, b in zip(row, first)], half
+    return np.array(row, dtype=np.int64)
 
 
 def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 17, stored: bool = False) -> DataFrame:

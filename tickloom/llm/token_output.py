@@ -8,7 +8,7 @@ Texts are cut where a new piece must begin, and each distinct part of a chunk of
 worker has encoded before; Arrow numbers the parts and numpy lays their ids out. A chunk is bounded by its bytes.
 
 Defined results: a null text is encoded as an empty one (only the end id); null doc_ids come first; repeated
-doc_ids are ordered by text; fully equal rows follow each other; a very long text is a chunk of its own; other columns
+doc_ids are ordered by the hash of their text, and spread over files by it; fully equal rows follow each other; a very long text is a chunk of its own; other columns
 are left out; an empty table gives an empty result.
 """
 
@@ -205,8 +205,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
             done += n
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(path)
+    # The hash of the text parts and orders rows of one doc_id, or without one, however many they are.
+    keys = ["doc_id", "text_hash", "text"]
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).repartitionByRange(parts, *keys[:2]).sortWithinPartitions(*keys)
+    ordered.select("doc_id", "text").mapInArrow(encode, FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
