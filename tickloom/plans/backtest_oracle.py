@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.config import COHORTS, HORIZONS, REGIMES, SAMPLES, STATES, STRATEGIES
+from tickloom.config import HORIZONS, REGIMES, SAMPLES, STATES, STRATEGIES
 from tickloom.plans.backtest_queries import COMBOS, POLICIES
 from tickloom.plans.oracle import _ALL, _CROSS, _DAILY, _SAMPLE, BARS, EXITS, FORWARD, QUARTERS, STATE, _cells, _r, _sql, _summary, _trend
 from tickloom.plans.oracle import SQL as BASE
@@ -215,8 +215,8 @@ SQL: dict[str, str] = {
     "freshness_axis": _sql(
         [*_PERF, _FRESH],
         _cells(
-            {"strategy": STRATEGIES[:2], "cohort": COHORTS, "days": HORIZONS},
-            _summary("strategy, cohort, days", "(SELECT pr.*, CASE WHEN strategy = 'trend' THEN cc ELSE pc END AS cohort FROM pr JOIN fr ON fr.ticker = pr.ticker AND fr.date = pr.eval_date WHERE strategy IN ('trend', 'minervini'))"),
+            {"strategy": ("trend", "minervini"), "sample": ("in", "out"), "cohort": ("0d", "1-2d", "3-4d", "5d+", "no_recent_breakout"), "days": (5, 20, 60, 90, 120)},
+            _summary("strategy, sample, cohort, days", "(SELECT pr.*, CASE WHEN strategy = 'trend' THEN cc ELSE pc END AS cohort FROM pr JOIN fr ON fr.ticker = pr.ticker AND fr.date = pr.eval_date WHERE strategy IN ('trend', 'minervini'))"),
         ),
     ),
     "policy_variants": _sql([*_STATED, _SIGNED], _ARMS),

@@ -159,8 +159,8 @@ def _freshness_axis(spark: SparkSession, d: str) -> DataFrame:
     fresh = variants.freshness(_features(spark, d)).withColumnRenamed("date", "eval_date")
     j = _perf(spark, d).filter(F.col("strategy").isin(*STRATEGIES[:2])).join(fresh, ["eval_date", "ticker"])
     j = j.withColumn("cohort", F.when(F.col("strategy") == STRATEGIES[0], F.col("cross_cohort")).otherwise(F.col("pivot_cohort")))
-    table = backtest.summarize(j, ["strategy", "cohort", "days"])
-    return backtest.with_empty_cells(table, {"strategy": STRATEGIES[:2], "cohort": COHORTS, "days": run_of(d).horizons})
+    table = backtest.summarize(j, ["strategy", "sample", "cohort", "days"])
+    return backtest.with_empty_cells(table, {"strategy": STRATEGIES[:2], "sample": SAMPLES, "cohort": COHORTS, "days": run_of(d).horizons})
 
 
 #: By policy: the signals that it picks from, what it keeps of them, and the least sample to judge it on (fixed values).

@@ -214,7 +214,10 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     key = F.col("s_suppkey")
     exchange = F.when(key % 5 == 0, "NYSE ARCA").when(key % 5 == 1, F.lit(None)).when(key % 5 == 2, " nasdaq gs ").otherwise("NASDAQ")
-    return s.select(key.alias("line"), F.when(key % 7 != 0, F.concat(F.lit(" "), F.lower("n_name"))).alias("ticker"), F.col("s_name").alias("name"), F.col("r_name").alias("sector"), exchange.alias("exchange"))
+    note = F.when(key % 11 == 0, " (W/I) *").when(key % 11 == 1, "**").when(key % 11 == 2, ".b").otherwise("")
+    bare = F.when(key % 19 == 3, "(w/i)").otherwise(F.concat(F.lit(" "), F.lower("n_name"), note))
+    empty = lambda n, c: F.when(key % n != 0, F.col(c)).otherwise("")
+    return s.select(key.alias("line"), F.when(key % 7 != 0, bare).alias("ticker"), empty(13, "s_name").alias("name"), empty(17, "r_name").alias("sector"), exchange.alias("exchange"))
 
 
 def _constituents(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +244,7 @@ def _clean_bars(spark: SparkSession, d: str) -> DataFrame:
 
 def _admission(spark: SparkSession, d: str) -> DataFrame:
     """Every supplier's nation and name asked for as tickers."""
-    asked = _lines(spark, d).select(F.explode(F.array(F.trim("ticker"), "name")).alias("ticker")).filter("ticker IS NOT NULL").distinct()
+    asked = _lines(spark, d).select(F.explode(F.array(universe.normalised(F.col("ticker")), "name")).alias("ticker")).filter("ticker IS NOT NULL").distinct()
     return universe.admitted(asked, filters.sufficiency(bars(spark, d)))
 
 

@@ -11,9 +11,11 @@ _ST, _BT = oracle.SQL, backtest_oracle.SQL
 _BASE = f"(SELECT signals AS base_signals, win_rate AS base_win_rate, avg_excess AS base_avg_excess, median_excess AS base_median_excess FROM ({_ST['strategy_table']}) WHERE strategy = 'trend' AND sample = 'out' AND basis = 'top5' AND quality = 'all' AND days = 60)"
 _X3 = "s3 AS (SELECT s.*, ex.x1, ex.x2, ex.x4, ex.x5, CASE WHEN full_year THEN 8 - n_passed END AS missing, CASE WHEN full_year THEN 8 - n_passed >= 3 END AS x3 FROM s JOIN ex USING (ticker, idx))"
 _CODES = ", ".join(f"CASE WHEN x{k} THEN 'X{k}' END" for k in range(1, 6))
-_LINES = """ln AS (SELECT s_suppkey AS line, CASE WHEN s_suppkey % 7 <> 0 THEN ' ' || LOWER(n_name) END AS ticker, s_name AS name, r_name AS sector,
+_LINES = """ln AS (SELECT s_suppkey AS line, CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 19 = 3 THEN '(w/i)' ELSE ' ' || LOWER(n_name) || CASE s_suppkey % 11 WHEN 0 THEN ' (W/I) *' WHEN 1 THEN '**' WHEN 2 THEN '.b' ELSE '' END END AS ticker,
+  CASE WHEN s_suppkey % 13 = 0 THEN '' ELSE s_name END AS name, CASE WHEN s_suppkey % 17 = 0 THEN '' ELSE r_name END AS sector,
   CASE s_suppkey % 5 WHEN 0 THEN 'NYSE ARCA' WHEN 1 THEN NULL WHEN 2 THEN ' nasdaq gs ' ELSE 'NASDAQ' END AS exchange
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+_TICKER = r"TRIM(RTRIM(TRIM(REGEXP_REPLACE(UPPER(TRIM(ticker)), '\s*\([^)]*\)$', '')), '*'))"
 _FRAME = """fq AS (SELECT ticker, date, idx, open, high, low, close, volume, idx % 50 < 48 AS whole, idx % 50 <> 49 AS part FROM bars),
 lg AS (SELECT ticker, COUNT(*) FILTER (WHERE whole) AS bars, COUNT(*) FILTER (WHERE part AND NOT whole) AS dropped FROM fq GROUP BY ticker)"""
 _TREND_CUSTOM = _trend("default").replace("rsi14 >= 50", "rsi14 >= 48").replace("score >= 70", "score >= 75")
@@ -88,12 +90,12 @@ SQL: dict[str, str] = {
     "result_invariants": f"WITH t AS ({_TABLE}) SELECT rule, COUNT(*) AS checked, COUNT(*) FILTER (WHERE NOT ok) AS broken FROM ({_RULESET}) GROUP BY rule",
     "trend_recommend_custom": _sql([*_CROSS, _TREND_CUSTOM], "SELECT * FROM trend"),
     "universe_file": _sql([BARS], "SELECT ticker, sector, idx, date, open, high, low, close, volume FROM bars"),
-    "constituents": _sql([_LINES], "SELECT UPPER(TRIM(ticker)) AS ticker, name, sector FROM ln WHERE ticker IS NOT NULL AND COALESCE(exchange, '') <> 'NYSE ARCA' QUALIFY ROW_NUMBER() OVER (PARTITION BY UPPER(TRIM(ticker)) ORDER BY line) = 1"),
+    "constituents": _sql([_LINES], f"SELECT t AS ticker, CASE WHEN name = '' THEN t ELSE name END AS name, CASE WHEN sector = '' THEN 'Unknown' ELSE sector END AS sector FROM (SELECT *, {_TICKER} AS t FROM ln) WHERE t <> '' AND COALESCE(exchange, '') <> 'NYSE ARCA' QUALIFY ROW_NUMBER() OVER (PARTITION BY t ORDER BY line) = 1"),
     "excluded_lines": _sql([_LINES], "SELECT TRIM(ticker) AS ticker, 'other exchange: NYSE ARCA' AS reason FROM ln WHERE ticker IS NOT NULL AND exchange = 'NYSE ARCA'"),
     "cleaned_bars": _sql([BARS, _FRAME], "SELECT ticker, date, open, high, low, close, volume FROM fq JOIN lg USING (ticker) WHERE whole AND bars >= 200"),
-    "cleaning_log": _sql([BARS, _FRAME], "SELECT ticker, bars, dropped, CASE WHEN bars = 0 THEN 'no data' WHEN bars < 200 THEN 'fewer than 200 bars' END AS reason FROM lg"),
+    "cleaning_log": _sql([BARS, _FRAME], "SELECT ticker, bars, dropped, CASE WHEN bars = 0 THEN 'no data' WHEN bars < 200 THEN 'fewer than 200 bars: ' || bars || ', and ' || dropped || ' dropped' END AS reason FROM lg"),
     "ticker_admission": _sql(
-        [BARS, _LINES, "asked AS (SELECT DISTINCT UPPER(x) AS ticker FROM (SELECT UNNEST([TRIM(ticker), name]) AS x FROM ln) WHERE x IS NOT NULL)", "kn AS (SELECT ticker, COUNT(*) AS n FROM bars GROUP BY ticker)"],
+        [BARS, _LINES, "asked AS (SELECT DISTINCT UPPER(x) AS ticker FROM (SELECT UNNEST([" + _TICKER + ", name]) AS x FROM ln) WHERE x IS NOT NULL)", "kn AS (SELECT ticker, COUNT(*) AS n FROM bars GROUP BY ticker)"],
         "SELECT ticker, COALESCE(n >= 110, FALSE) AS accepted, CASE WHEN n IS NULL THEN 'not in the universe' WHEN n < 110 THEN 'fewer than 110 bars' END AS reason FROM asked LEFT JOIN kn USING (ticker)",
     ),
 }
