@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.config import HORIZONS, STRATEGIES
@@ -47,8 +47,8 @@ def performance(s: DataFrame, forward: DataFrame, bench: DataFrame, falls: DataF
     return j.join(falls, ["eval_date", "ticker", "days"])
 
 
-def summarize(perf: DataFrame, keys: list[str]) -> DataFrame:
-    """signals, win_rate, avg_excess, median_excess, avg_return, mdd by keys."""
+def summarize(perf: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """signals, win_rate, avg_excess, median_excess, avg_return, mdd and more by keys."""
     r = lambda x: half_up(x, 4)
     return perf.groupBy(*keys).agg(
         F.count("*").alias("signals"),
@@ -57,6 +57,7 @@ def summarize(perf: DataFrame, keys: list[str]) -> DataFrame:
         r(F.expr("percentile(excess, 0.5)")).alias("median_excess"),
         r(F.avg("ret")).alias("avg_return"),
         r(F.avg("mdd")).alias("mdd"),
+        *more,
     )
 
 

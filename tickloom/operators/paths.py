@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.config import ATR_STOP, HOLD, PIVOT_STOP, PULLBACK_STOP, RESUME_WINDOW, STOP, TRAIL, TRIGGER_WINDOW, VOL_MULT
-from tickloom.functions.exprs import half_up
 
 KEY = ["eval_date", "ticker"]
 
@@ -71,9 +70,9 @@ def at_signal(signals: DataFrame, f: DataFrame) -> DataFrame:
     return signals.join(known, KEY)
 
 
-def ahead(starts: DataFrame, f: DataFrame, at: str, first: int, last: int, columns: list[str]) -> DataFrame:
+def ahead(starts: DataFrame, f: DataFrame, at: str, first: int, last: int | Column, columns: list[str]) -> DataFrame:
     """starts by offset first to last from bar `at`, with the columns of the bar there as a_...; an equi-join on ticker and bar."""
-    steps = starts.withColumn("offset", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    steps = starts.withColumn("offset", F.explode(F.sequence(F.lit(first), last if isinstance(last, Column) else F.lit(last))))
     steps = steps.withColumn("a_idx", F.col(at) + F.col("offset"))
     return steps.join(f.select("ticker", F.col("idx").alias("a_idx"), *[F.col(c).alias(f"a_{c}") for c in columns]), ["ticker", "a_idx"])
 
@@ -137,41 +136,55 @@ def with_benchmark(ended: DataFrame, bars: DataFrame) -> DataFrame:
     return got.withColumn("excess", F.col("ret") - F.col("bench"))
 
 
-def summary(perf: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    r = lambda x: half_up(x, 4)
-    return perf.groupBy(*keys).agg(
-        F.count("*").alias("signals"),
-        r(F.avg((F.col("excess") > 0).cast("int"))).alias("win_rate"),
-        r(F.avg("excess")).alias("avg_excess"),
-        r(F.expr("percentile(excess, 0.5)")).alias("median_excess"),
-        r(F.avg("ret")).alias("avg_return"),
-        r(F.avg("mdd")).alias("mdd"),
-        *more,
-    )
+#: Ratios of a position's legs may add up to 1, but for errors of rounding.
+WHOLE = 1 + 1e-9
 
 
-def climax_partial(filled: DataFrame, f: DataFrame) -> DataFrame:
-    """Half the position ends on the first climax bar within 60 bars, the rest after 60: weighted return and fall.
+def legged(filled: DataFrame, bars: DataFrame, legs: DataFrame, last: int = HOLD) -> DataFrame:
+    """A row for each leg of each filled position: days, weight, exit_close, and of the position mdd, n_legs and held.
 
-    days_held is the weighted length; legs have benchmarks of their own, so days lists the first leg's length.
+    legs: eval_date, ticker, days (bars after the fill) and ratio, any number a position. What is left of a position
+    ends after `last` bars. A position is dropped if its ratios add up to less than 0 or more than 1, if a leg ends at or
+    before the fill, or if a leg leaves the data. The fall is that of the whole position's value, in which an ended leg stays at
+    its last price. A position's closes are one array of at most as many values as its longest leg has bars.
     """
-    start = f.select("ticker", F.col("idx").alias("fill_idx"), F.col("date").alias("fill_date"))
-    walk = ahead(filled.filter("fill_idx IS NOT NULL").join(start, ["ticker", "fill_idx"]), f, "fill_idx", 0, HOLD, ["close", "x4"])
-    whole = Window.partitionBy(*KEY)
-    w = whole.orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    walk = walk.withColumns({"first": F.min(F.when((F.col("offset") >= 1) & F.col("a_x4"), F.struct("offset", "a_close"))).over(whole), "_n": F.max("offset").over(whole)})
-    walk = walk.filter(F.col("_n") == HOLD)
-    locked = F.col("first").isNotNull() & (F.col("offset") >= F.col("first.offset"))
-    walk = walk.withColumn("value", F.when(locked, 0.5 * (F.col("first.a_close") / F.col("price")) + 0.5 * (F.col("a_close") / F.col("price"))).otherwise(F.col("a_close") / F.col("price")))
-    walk = walk.withColumn("top", F.max("value").over(w)).withColumn("mdd", F.max((F.col("top") - F.col("value")) / F.col("top")).over(w))
-    end = walk.filter(F.col("offset") == HOLD)
-    legs = F.when(F.col("first").isNull(), F.array(F.struct(F.lit(HOLD).alias("days"), F.lit(1.0).alias("weight"), F.col("a_close").alias("exit_close")))).otherwise(
-        F.array(F.struct(F.col("first.offset").alias("days"), F.lit(0.5).alias("weight"), F.col("first.a_close").alias("exit_close")), F.struct(F.lit(HOLD).alias("days"), F.lit(0.5).alias("weight"), F.col("a_close").alias("exit_close")))
+    each = F.collect_list(F.struct(F.col("days").cast("int").alias("days"), F.col("ratio").cast("double").alias("weight")))
+    given = legs.groupBy(*KEY).agg(F.array_sort(each).alias("legs"))
+    none = F.array().cast("array<struct<days:int,weight:double>>")
+    s = filled.filter("fill_idx IS NOT NULL").join(given, KEY, "left").withColumn("legs", F.coalesce("legs", none))
+    s = s.withColumn("_ratio", F.aggregate("legs", F.lit(0.0), lambda a, x: a + x["weight"]))
+    s = s.filter((F.col("_ratio") >= 0) & (F.col("_ratio") <= WHOLE) & ~F.exists("legs", lambda x: x["days"].isNull() | (x["days"] < 1)))
+    rest = F.greatest(F.lit(0.0), 1 - F.col("_ratio"))
+    s = s.withColumn("legs", F.concat("legs", F.when(rest > 1e-9, F.array(F.struct(F.lit(last).alias("days"), rest.alias("weight")))).otherwise(none)))
+    s = s.withColumn("_last", F.array_max(F.transform("legs", lambda x: x["days"]))).filter("_last IS NOT NULL")
+    start = bars.select("ticker", F.col("idx").alias("fill_idx"), F.col("date").alias("fill_date"))
+    keep = [c for c in filled.columns if c not in KEY] + ["fill_date", "legs", "_last"]
+    walk = ahead(s.join(start, ["ticker", "fill_idx"]), bars, "fill_idx", 0, F.col("_last"), ["close"])
+    path = F.transform(F.array_sort(F.collect_list(F.struct("offset", "a_close"))), lambda x: x["a_close"])
+    got = walk.groupBy(*KEY).agg(path.alias("_closes"), *[F.first(c).alias(c) for c in keep]).filter(F.size("_closes") == F.col("_last") + 1)
+    value = lambda t: F.aggregate("legs", F.lit(0.0), lambda a, x: a + x["weight"] * F.get("_closes", F.least(t, x["days"])) / F.col("price"))
+    fall = F.aggregate(
+        F.transform(F.sequence(F.lit(0), "_last"), value),
+        F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("fall")),
+        lambda a, v: F.struct(F.greatest(a["top"], v).alias("top"), F.greatest(a["fall"], (F.greatest(a["top"], v) - v) / F.greatest(a["top"], v)).alias("fall")),
+    )["fall"]
+    held = F.aggregate("legs", F.lit(0.0), lambda a, x: a + x["weight"] * x["days"])
+    got = got.withColumns({"mdd": fall, "n_legs": F.size("legs"), "held": held})
+    return got.select(*filled.columns, "fill_date", "mdd", "n_legs", "held", "_closes", F.explode("legs").alias("leg")).select(
+        *filled.columns, "fill_date", "mdd", "n_legs", "held", "leg.days", "leg.weight", F.get("_closes", F.col("leg.days")).alias("exit_close")
     )
-    return end.select(*filled.columns, "fill_date", "mdd", F.col("first").isNotNull().alias("triggered"), F.explode(legs).alias("leg")).select("*", "leg.days", "leg.weight", "leg.exit_close").drop("leg")
 
 
-def joined_legs(perf: DataFrame) -> DataFrame:
-    """One row a position from its legs (ret, bench, weight)."""
-    got = perf.groupBy(*KEY, "mdd", "triggered").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("ret", "bench")], F.sum(F.col("weight") * F.col("days")).alias("held"))
-    return got.withColumn("excess", F.col("ret") - F.col("bench"))
+def joined_legs(perf: DataFrame, *keep: str) -> DataFrame:
+    """One row a position from its legs (ret, bench, weight), each against a benchmark of its own length; with the columns `keep`.
+
+    A position of which a leg has no benchmark is dropped.
+    """
+    got = perf.groupBy(*KEY, "mdd", "n_legs", "held", *keep).agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("ret", "bench")], F.count("*").alias("_met"))
+    return got.filter(F.col("_met") == F.col("n_legs")).drop("_met").withColumn("excess", F.col("ret") - F.col("bench"))
+
+
+def climax_legs(filled: DataFrame, f: DataFrame) -> DataFrame:
+    """eval_date, ticker, days, ratio: half of a position ends on the first climax bar within 60 bars, if there is one."""
+    walk = ahead(filled.filter("fill_idx IS NOT NULL"), f, "fill_idx", 1, HOLD, ["x4"]).filter("a_x4")
+    return walk.groupBy(*KEY).agg(F.min("offset").alias("days")).withColumn("ratio", F.lit(0.5))

@@ -162,6 +162,13 @@ cv AS (SELECT w.eval_date, w.ticker, w.k, CASE WHEN hit IS NOT NULL AND w.k >= h
 fall AS (SELECT eval_date, ticker, MAX((m - v) / m) AS mdd FROM (SELECT *, MAX(v) OVER (PARTITION BY eval_date, ticker ORDER BY k) AS m FROM cv) GROUP BY ALL)"""
 
 
+_THREE = """w3 AS (SELECT * FROM (VALUES (10, 0.25::DOUBLE), (40, 1 / 3::DOUBLE), (60, 1 - 0.25::DOUBLE - 1 / 3::DOUBLE)) v(days, weight)),
+l3 AS (SELECT w.*, days, weight FROM wd w JOIN ok USING (eval_date, ticker) JOIN w3 ON w.k = w3.days),
+c3 AS (SELECT w.eval_date, w.ticker, w.k, SUM(w3.weight * x.c / w.price) AS v FROM wd w JOIN ok USING (eval_date, ticker) CROSS JOIN w3
+  JOIN wd x ON x.eval_date = w.eval_date AND x.ticker = w.ticker AND x.k = LEAST(w.k, w3.days) WHERE w.k <= 60 GROUP BY ALL),
+f3l AS (SELECT eval_date, ticker, MAX((m - v) / m) AS mdd FROM (SELECT *, MAX(v) OVER (PARTITION BY eval_date, ticker ORDER BY k) AS m FROM c3) GROUP BY ALL)"""
+
+
 def _entry_axis() -> str:
     parts, ctes = [], []
     for i, e in enumerate(("entry_close", "entry_pivot_trigger", "entry_pivot_trigger_vol", "entry_pivot_confirm2")):
@@ -203,6 +210,11 @@ SQL: dict[str, str] = {
         f"""SELECT eval_date, ticker, hit IS NOT NULL AS triggered, held, {_r('ret')} AS ret, {_r('ret - bench')} AS excess, {_r('mdd')} AS mdd FROM (
         SELECT eval_date, ticker, SUM(weight * ret) AS ret, SUM(weight * bench) AS bench, SUM(weight * days) AS held FROM {_measured('SELECT * FROM lg')} GROUP BY ALL) JOIN cl USING (eval_date, ticker) JOIN fall USING (eval_date, ticker)""",
     ),
+    "three_leg_positions": _sql(
+        [*_SIG, _walk("entry_close"), "ok AS (SELECT eval_date, ticker FROM wd GROUP BY ALL HAVING MAX(k) >= 60)", _THREE],
+        f"""SELECT eval_date, ticker, 3 AS n_legs, {_r('held')} AS held, {_r('ret')} AS ret, {_r('ret - bench')} AS excess, {_r('mdd')} AS mdd FROM (
+        SELECT eval_date, ticker, SUM(weight * ret) AS ret, SUM(weight * bench) AS bench, SUM(weight * days) AS held FROM {_measured('SELECT * FROM l3')} GROUP BY ALL) JOIN f3l USING (eval_date, ticker)""",
+    ),
     "pullback_checks": _sql(_SIG, f"SELECT ticker, idx, peak_idx, depth BETWEEN 10 AND 25 AS p2, p3, p4, {_r('depth')} AS depth_pct, {_r('low_since')} AS pullback_low, {_r('resume')} AS resume_trigger FROM pb WHERE pvt IS NOT NULL"),
     "pullback_funnel": _sql(_SIG, f"SELECT sample, basis, regime, COUNT(*) AS signals, COUNT(*) FILTER (WHERE pvt IS NULL) AS insufficient, {_FUNNEL} FROM (SELECT *, {_BASIS} FROM sg WHERE regime IS NOT NULL) GROUP BY ALL"),
     "pullback_axis": _pullback_axis(),

@@ -69,12 +69,12 @@ def _exit(rule: str) -> QUERY:
 
 def _exit_variants(spark: SparkSession, d: str) -> DataFrame:
     got = _walked(spark, d, "entry_close", list(paths.EXITS), _out_top5(spark, d))
-    return paths.summary(got, ["rule"], half_up(F.avg("days"), 4).alias("avg_days"), half_up(F.avg(F.col("stop_hit").cast("int")), 4).alias("stop_rate"))
+    return backtest.summarize(got, ["rule"], half_up(F.avg("days"), 4).alias("avg_days"), half_up(F.avg(F.col("stop_hit").cast("int")), 4).alias("stop_rate"))
 
 
 def _exit_regime_detail(spark: SparkSession, d: str) -> DataFrame:
     got = _walked(spark, d, "entry_close", list(paths.EXITS), _out_top5(spark, d)).filter("regime IS NOT NULL")
-    return paths.summary(got, ["rule", "regime"], half_up(F.avg("days"), 4).alias("avg_days"), half_up(F.avg(F.col("stop_hit").cast("int")), 4).alias("stop_rate"))
+    return backtest.summarize(got, ["rule", "regime"], half_up(F.avg("days"), 4).alias("avg_days"), half_up(F.avg(F.col("stop_hit").cast("int")), 4).alias("stop_rate"))
 
 
 def _combos(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ def _combos(spark: SparkSession, d: str) -> DataFrame:
     for name, (entry, rule) in COMBOS.items():
         one = _walked(spark, d, entry, [rule], _out_top5(spark, d)).withColumn("combo", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    return paths.summary(out, ["combo"], half_up(F.avg("days"), 4).alias("avg_days"))
+    return backtest.summarize(out, ["combo"], half_up(F.avg("days"), 4).alias("avg_days"))
 
 
 def _entry_variants(spark: SparkSession, d: str) -> DataFrame:
@@ -102,10 +102,28 @@ def _entry_variants(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _climax_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Top five trend signals out of sample of which half ends at the first climax."""
+
+    def make() -> DataFrame:
+        s, f = _filled(spark, d, "entry_close", _out_top5(spark, d))
+        legs = paths.with_benchmark(paths.legged(s, f, paths.climax_legs(s, f)), f)
+        return paths.joined_legs(legs, "regime").withColumn("triggered", F.col("n_legs") > 1)
+
+    return staged(spark, d, "climax_positions", make)
+
+
+def _three_legs(spark: SparkSession, d: str) -> DataFrame:
+    """Trend signals of which a quarter ends after 10 bars, a third after 40, and the rest after 60."""
+    s, f = _filled(spark, d, "entry_close")
+    parts = F.explode(F.array(*[F.struct(F.lit(n).alias("days"), F.lit(r).alias("ratio")) for n, r in ((10, 0.25), (40, 1 / 3))])).alias("x")
+    legs = s.select(*paths.KEY, parts).select(*paths.KEY, "x.days", "x.ratio")
+    got = paths.joined_legs(paths.with_benchmark(paths.legged(s, f, legs), f))
+    return got.select(*paths.KEY, "n_legs", *[half_up(F.col(c)).alias(c) for c in ("held", "ret", "excess", "mdd")])
+
+
 def _climax(spark: SparkSession, d: str) -> DataFrame:
-    s, f = _filled(spark, d, "entry_close", _out_top5(spark, d))
-    got = paths.joined_legs(paths.with_benchmark(paths.climax_partial(s, f), f))
-    return got.select("eval_date", "ticker", "triggered", "held", *[half_up(F.col(c)).alias(c) for c in ("ret", "excess", "mdd")])
+    return _climax_positions(spark, d).select("eval_date", "ticker", "triggered", "held", *[half_up(F.col(c)).alias(c) for c in ("ret", "excess", "mdd")])
 
 
 def _pullback_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -133,7 +151,7 @@ def _pullback_axis(spark: SparkSession, d: str) -> DataFrame:
         s, f = _filled(spark, d, name)
         one = paths.with_benchmark(paths.held(s, f, run_of(d).horizons), f).withColumn("rule", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    return paths.summary(_basis(out).filter("regime IS NOT NULL"), ["rule", "sample", "basis", "regime", "days"])
+    return backtest.summarize(_basis(out).filter("regime IS NOT NULL"), ["rule", "sample", "basis", "regime", "days"])
 
 
 def _signal_performance(spark: SparkSession, d: str) -> DataFrame:
@@ -333,6 +351,7 @@ QUERIES: dict[str, QUERY] = {
     "combos": _combos,
     "entry_variants_axis": _entry_variants,
     "climax_partial": _climax,
+    "three_leg_positions": _three_legs,
     "pullback_checks": _pullback_checks,
     "pullback_funnel": _funnel,
     "pullback_axis": _pullback_axis,

@@ -20,6 +20,8 @@ from tickloom.sources.stage import shared_folder, staged
 
 #: Least missing template conditions of X3, samples of a badge, and samples of a scoring variant (fixed values).
 X3_MISSING, BADGE_SAMPLE, VARIANT_SAMPLE = 3, 50, 100
+#: Name of the exit that ends half of a position (fixed value).
+PARTIAL = "exit_climax_partial"
 HURDLE_GROUPS = ("pass", "partial", "partialOrBetter", "fail")
 
 
@@ -82,13 +84,19 @@ def _baseline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _exit_deltas(spark: SparkSession, d: str) -> DataFrame:
-    j = backtest_queries.QUERIES["exit_variants"](spark, d).crossJoin(_baseline(spark, d))
+    partial = backtest.summarize(backtest_queries._climax_positions(spark, d).withColumn("rule", F.lit(PARTIAL)), ["rule"])
+    figures = ["rule", "signals", "avg_excess", "win_rate"]
+    both = backtest_queries.QUERIES["exit_variants"](spark, d).select(*figures).unionByName(partial.select(*figures))
+    j = both.crossJoin(_baseline(spark, d))
     return j.select("rule", "signals", "base_signals", *[half_up(F.col(c) - F.col(f"base_{c}"), 4).alias(f"{c}_delta") for c in ("avg_excess", "win_rate")])
 
 
 def _exit_regime_baseline(spark: SparkSession, d: str) -> DataFrame:
     detail = backtest_queries.QUERIES["exit_regime_detail"](spark, d).select("rule", "regime", "signals", "win_rate", "avg_excess", "median_excess", "mdd", "stop_rate", "avg_days")
-    whole = backtest.with_empty_cells(detail, {"rule": tuple(paths.EXITS), "regime": REGIMES})
+    more = (half_up(F.avg(F.col("triggered").cast("int")), 4).alias("stop_rate"), half_up(F.avg("held"), 4).alias("avg_days"))
+    partial = backtest_queries._climax_positions(spark, d).filter("regime IS NOT NULL").withColumn("rule", F.lit(PARTIAL))
+    detail = detail.unionByName(backtest.summarize(partial, ["rule", "regime"], *more).select(*detail.columns))
+    whole = backtest.with_empty_cells(detail, {"rule": (*paths.EXITS, PARTIAL), "regime": REGIMES})
     held = queries.QUERIES["regime_axis"](spark, d).filter(f"strategy = '{STRATEGIES[0]}' AND sample = 'out' AND basis = 'top5' AND days = 60")
     return whole.join(held.select("regime", *[F.col(c).alias(f"base_{c}") for c in ("signals", "win_rate", "avg_excess", "median_excess", "mdd")]), "regime")
 

@@ -9,6 +9,9 @@ from tickloom.plans.oracle import _ALL, _CROSS, _DAILY, _SAMPLE, BARS, EXITS, FO
 
 _ST, _BT = oracle.SQL, backtest_oracle.SQL
 _BASE = f"(SELECT signals AS base_signals, win_rate AS base_win_rate, avg_excess AS base_avg_excess, median_excess AS base_median_excess FROM ({_ST['strategy_table']}) WHERE strategy = 'trend' AND sample = 'out' AND basis = 'top5' AND quality = 'all' AND days = 60)"
+#: Positions of which half ends at a climax, unrounded and with their regime.
+_PARTIAL = _BT["climax_partial"].replace(f"{_r('ret - bench')} AS excess", "ret - bench AS excess, regime").replace(f"{_r('mdd')} AS mdd", "mdd").replace("JOIN fall USING (eval_date, ticker)", "JOIN fall USING (eval_date, ticker) JOIN (SELECT eval_date, ticker, regime FROM rec) USING (eval_date, ticker)")
+_PARTIAL_BY_REGIME = f"SELECT 'exit_climax_partial', regime, COUNT(*), {_r('AVG((excess > 0)::INT)', 4)}, {_r('AVG(excess)', 4)}, {_r('MEDIAN(excess)', 4)}, {_r('AVG(mdd)', 4)}, {_r('AVG(triggered::INT)', 4)}, {_r('AVG(held)', 4)} FROM ({_PARTIAL}) WHERE regime IS NOT NULL GROUP BY regime"
 _X3 = "s3 AS (SELECT s.*, ex.x1, ex.x2, ex.x4, ex.x5, CASE WHEN full_year THEN 8 - n_passed END AS missing, CASE WHEN full_year THEN 8 - n_passed >= 3 END AS x3 FROM s JOIN ex USING (ticker, idx))"
 _CODES = ", ".join(f"CASE WHEN x{k} THEN 'X{k}' END" for k in range(1, 6))
 _LINES = """ln AS (SELECT s_suppkey AS line, CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 19 = 3 THEN '(w/i)' ELSE ' ' || LOWER(n_name) || CASE s_suppkey % 11 WHEN 0 THEN ' (W/I) *' WHEN 1 THEN '**' WHEN 2 THEN '.b' ELSE '' END END AS ticker,
@@ -61,9 +64,10 @@ SQL: dict[str, str] = {
         CASE WHEN idx >= 62 THEN MAX(high) OVER (w ROWS 62 PRECEDING) END AS period_high, CASE WHEN idx >= 62 THEN MIN(low) OVER (w ROWS 62 PRECEDING) END AS period_low FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY idx))""",
     ),
     "derived_prices": _sql(_DAILY, f"SELECT ticker, idx, {_r('pvt * (1 + 0.003::DOUBLE)')} AS trigger, {_r('pvt * (1 + 0.05::DOUBLE)')} AS upper, {_r('pvt * (1 - 0.1::DOUBLE)')} AS far_band, {_r('close * (1 - 0.08::DOUBLE)')} AS stop_fixed, {_r('close - 2.5 * atr14')} AS stop_atr FROM f WHERE pvt IS NOT NULL"),
-    "exit_deltas": f"SELECT rule, signals, base_signals, {_r('avg_excess - base_avg_excess', 4)} AS avg_excess_delta, {_r('win_rate - base_win_rate', 4)} AS win_rate_delta FROM ({_BT['exit_variants']}) CROSS JOIN {_BASE}",
+    "exit_deltas": f"""SELECT rule, signals, base_signals, {_r('avg_excess - base_avg_excess', 4)} AS avg_excess_delta, {_r('win_rate - base_win_rate', 4)} AS win_rate_delta FROM (
+      SELECT rule, signals, avg_excess, win_rate FROM ({_BT['exit_variants']}) UNION ALL SELECT 'exit_climax_partial', COUNT(*), {_r('AVG(excess)', 4)}, {_r('AVG((excess > 0)::INT)', 4)} FROM ({_PARTIAL}) HAVING COUNT(*) > 0) CROSS JOIN {_BASE}""",
     "exit_regime_baseline": f"""SELECT c.*, b.signals AS base_signals, b.win_rate AS base_win_rate, b.avg_excess AS base_avg_excess, b.median_excess AS base_median_excess, b.mdd AS base_mdd FROM (
-      {_cells({"rule": tuple(_RULES), "regime": REGIMES}, f"SELECT rule, regime, signals, win_rate, avg_excess, median_excess, mdd, stop_rate, avg_days FROM ({_BT['exit_regime_detail']})")}) c
+      {_cells({"rule": (*_RULES, "exit_climax_partial"), "regime": REGIMES}, f"SELECT rule, regime, signals, win_rate, avg_excess, median_excess, mdd, stop_rate, avg_days FROM ({_BT['exit_regime_detail']}) UNION ALL {_PARTIAL_BY_REGIME}")}) c
       JOIN (SELECT * FROM ({_ST['regime_axis']}) WHERE strategy = 'trend' AND sample = 'out' AND basis = 'top5' AND days = 60) b USING (regime)""",
     "climax_comparison": f"""SELECT 'noExit' AS arm, base_signals AS signals, base_avg_excess AS avg_excess, base_median_excess AS median_excess FROM {_BASE}
       UNION ALL SELECT 'fullClimaxExit', signals, avg_excess, median_excess FROM ({_BT['exit_variants']}) WHERE rule = 'exit_climax'
