@@ -117,11 +117,11 @@ def exits(filled: DataFrame, f: DataFrame, rules: list[str], regimes: DataFrame
     return got.select(*filled.columns, "fill_date", "x.rule", "x.stop_hit", F.col("x.end.offset").alias("days"), F.col("x.end.a_close").alias("exit_close"), F.col("x.end.mdd").alias("mdd"))
 
 
-def held(filled: DataFrame, f: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
-    """A row for each filled position and horizon whose exit bar exists: days, exit_close, mdd."""
+def held(filled: DataFrame, f: DataFrame, horizons: tuple[int, ...], *more: str) -> DataFrame:
+    """A row for each filled position and horizon whose exit bar exists: days, exit_close, mdd. more: columns that tell positions of one signal apart."""
     start = f.select("ticker", F.col("idx").alias("fill_idx"), F.col("date").alias("fill_date"))
     walk = ahead(filled.filter("fill_idx IS NOT NULL").join(start, ["ticker", "fill_idx"]), f, "fill_idx", 0, max(horizons), ["close"])
-    w = Window.partitionBy(*KEY).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*KEY, *more).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     walk = walk.withColumn("top", F.max("a_close").over(w)).withColumn("mdd", F.max((F.col("top") - F.col("a_close")) / F.col("top")).over(w))
     return walk.filter(F.col("offset").isin(*horizons)).select(*filled.columns, "fill_date", F.col("offset").alias("days"), F.col("a_close").alias("exit_close"), "mdd")
 

@@ -169,18 +169,28 @@ c3 AS (SELECT w.eval_date, w.ticker, w.k, SUM(w3.weight * x.c / w.price) AS v FR
 f3l AS (SELECT eval_date, ticker, MAX((m - v) / m) AS mdd FROM (SELECT *, MAX(v) OVER (PARTITION BY eval_date, ticker ORDER BY k) AS m FROM c3) GROUP BY ALL)"""
 
 
+def _axis_figures(keys: str, parts: list[str]) -> str:
+    """Of parts with fill_idx, excess, ret and dd (null where unmeasured): fill rate, conditional and opportunity figures."""
+    zero = lambda c: f"COALESCE({c}, 0)"
+    return f"""SELECT {keys}, COUNT(*) AS signals, {_r('AVG((fill_idx IS NOT NULL)::INT)', 4)} AS fill_rate, COUNT(excess) AS measured, {_r('AVG((excess > 0)::INT)', 4)} AS win_rate, {_r('AVG(excess)', 4)} AS avg_excess,
+        {_r('MEDIAN(excess)', 4)} AS median_excess, {_r('AVG(ret)', 4)} AS avg_return, {_r('AVG(dd)', 4)} AS mdd, {_r('AVG((COALESCE(excess, 0) > 0)::INT)', 4)} AS opportunity_win_rate, {_r(f"AVG({zero('excess')})", 4)} AS opportunity_excess,
+        {_r(f"MEDIAN({zero('excess')})", 4)} AS opportunity_median, {_r(f"AVG({zero('ret')})", 4)} AS opportunity_return, {_r(f"AVG({zero('dd')})", 4)} AS opportunity_mdd
+        FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"""
+
+
+def _entered(names: tuple[str, ...], keep: str) -> tuple[list[str], list[str]]:
+    """CTEs of the walks, and all signals by rule and length with what was measured."""
+    parts = [
+        f"""SELECT g.sample, g.rank, g.regime, g.fill_idx, h.days, p.excess, p.ret, p.dd, '{e}' AS rule FROM (SELECT * FROM fl{i} WHERE {keep}) g CROSS JOIN {_HORIZON} h
+          LEFT JOIN {_measured(_HELD.format(f'wd{i}'))} p ON p.eval_date = g.eval_date AND p.ticker = g.ticker AND p.days = h.days"""
+        for i, e in enumerate(names)
+    ]
+    return [_walk(e, str(i)) for i, e in enumerate(names)], parts
+
+
 def _entry_axis() -> str:
-    parts, ctes = [], []
-    for i, e in enumerate(("entry_close", "entry_pivot_trigger", "entry_pivot_trigger_vol", "entry_pivot_confirm2")):
-        ctes.append(_walk(e, str(i)))
-        parts.append(f"""SELECT g.fill_idx, h.days, p.excess, p.dd, '{e}' AS rule FROM (SELECT * FROM fl{i} WHERE {_OUT}) g CROSS JOIN {_HORIZON} h
-          LEFT JOIN {_measured(_HELD.format(f'wd{i}'))} p ON p.eval_date = g.eval_date AND p.ticker = g.ticker AND p.days = h.days""")
-    return _sql(
-        [*_SIG, *ctes],
-        f"""SELECT rule, days, COUNT(*) AS signals, {_r('AVG((fill_idx IS NOT NULL)::INT)', 4)} AS fill_rate, COUNT(excess) AS measured, {_r('AVG((excess > 0)::INT)', 4)} AS win_rate, {_r('AVG(excess)', 4)} AS avg_excess,
-        {_r('AVG(dd)', 4)} AS mdd, {_r('AVG((COALESCE(excess, 0) > 0)::INT)', 4)} AS opportunity_win_rate, {_r('AVG(COALESCE(excess, 0))', 4)} AS opportunity_excess, {_r('AVG(COALESCE(dd, 0))', 4)} AS opportunity_mdd
-        FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL""",
-    )
+    ctes, parts = _entered(("entry_close", "entry_pivot_trigger", "entry_pivot_trigger_vol", "entry_pivot_confirm2"), _OUT)
+    return _sql([*_SIG, *ctes], _axis_figures("rule, days", parts))
 
 
 def _tagged(names: dict[str, tuple[str, str]]) -> str:
@@ -191,8 +201,10 @@ def _tagged(names: dict[str, tuple[str, str]]) -> str:
 
 def _pullback_axis() -> str:
     names = ("pullback_immediate", "pullback_resume", "pullback_resume_vol")
-    parts = [f"SELECT *, '{n}' AS rule, {_BASIS} FROM {_measured(_HELD.format(f'wd{i}'))} WHERE regime IS NOT NULL" for i, n in enumerate(names)]
-    return _sql([*_SIG, *[_walk(n, str(i)) for i, n in enumerate(names)]], f"SELECT rule, sample, basis, regime, days, {_SUM}, {_r('AVG(dd)', 4)} AS mdd FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL")
+    ctes, parts = _entered(names, "regime IS NOT NULL")
+    figures = _axis_figures("rule, sample, basis, regime, days", [f"SELECT *, {_BASIS} FROM ({p})" for p in parts])
+    cells = {"rule": names, "sample": ("in", "out"), "basis": ("allSignals", "top5"), "regime": ("up", "neutral", "down"), "days": (5, 20, 60, 90, 120)}
+    return _sql([*_SIG, *ctes], f"SELECT * REPLACE (COALESCE(measured, 0) AS measured) FROM ({_cells(cells, figures)})")
 
 
 _FUNNEL = ", ".join(f"COUNT(*) FILTER (WHERE pvt IS NOT NULL AND {c}) AS {n}" for n, c in (("p1", "p1"), ("p1p2", "p1 AND p2"), ("p1p2p3", "p1 AND p2 AND p3"), ("observed", "p1 AND p2 AND p3 AND p4")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.config import COHORTS, PRESETS, REGIMES, SAMPLES, STATES, STRATEGIES
+from tickloom.config import BASES, COHORTS, PRESETS, REGIMES, SAMPLES, STATES, STRATEGIES
 from tickloom.functions.exprs import half_up
 from tickloom.operators import backtest, filters, fundamentals, paths, portfolio, screening, variants
 from tickloom.plans.queries import QUERY, _basis, _features, _lists, _perf, _regimes, _sampled, _signals, _snapshot
@@ -85,23 +85,36 @@ def _combos(spark: SparkSession, d: str) -> DataFrame:
     return backtest.summarize(out, ["combo"], half_up(F.avg("days"), 4).alias("avg_days"))
 
 
-def _entry_variants(spark: SparkSession, d: str) -> DataFrame:
-    """By rule and length: fill rate, and summaries of the filled and of all signals (unfilled count as nothing)."""
-    out = None
-    for name in [n for n, e in paths.ENTRIES.items() if e.kind == "breakout"]:
-        s, f = _filled(spark, d, name, _out_top5(spark, d))
-        perf = paths.with_benchmark(paths.held(s, f, run_of(d).horizons), f).select(*paths.KEY, "days", "excess", "ret", "mdd")
-        every = s.select(*paths.KEY, F.col("fill_idx").isNotNull().cast("int").alias("filled"), F.explode(F.array(*[F.lit(h) for h in run_of(d).horizons])).alias("days"))
-        one = every.join(perf, [*paths.KEY, "days"], "left").withColumn("rule", F.lit(name))
-        out = one if out is None else out.unionByName(one)
+def _by_entry(spark: SparkSession, d: str, kind: str, records: DataFrame) -> DataFrame:
+    """A row for each rule of a kind, signal and length: filled, and what was measured of it. All rules share one walk and one benchmark."""
+    f, rules = _features(spark, d), None
+    s = paths.at_signal(records, f)
+    for name in [n for n, e in paths.ENTRIES.items() if e.kind == kind]:
+        one = paths.fills(s, f, name).withColumn("rule", F.lit(name))
+        rules = one if rules is None else rules.unionByName(one)
+    key = [*paths.KEY, "rule"]
+    perf = paths.with_benchmark(paths.held(rules, f, run_of(d).horizons, "rule"), f).select(*key, "days", "excess", "ret", "mdd")
+    every = rules.withColumns({"filled": F.col("fill_idx").isNotNull().cast("int"), "days": F.explode(F.array(*[F.lit(h) for h in run_of(d).horizons]))})
+    return every.join(perf, [*key, "days"], "left")
+
+
+def _entry_summary(every: DataFrame, keys: list[str]) -> DataFrame:
+    """By keys: fill rate, and figures of the measured signals and of all signals, of which unmeasured ones count as nothing."""
     r, zero = (lambda x: half_up(x, 4)), (lambda c: F.coalesce(c, F.lit(0.0)))
-    return out.groupBy("rule", "days").agg(
+    middle = lambda x: r(F.percentile(x, F.lit(0.5)))
+    return every.groupBy(*keys).agg(
         F.count("*").alias("signals"), r(F.avg("filled")).alias("fill_rate"), F.count("excess").alias("measured"),
-        r(F.avg((F.col("excess") > 0).cast("int"))).alias("win_rate"), r(F.avg("excess")).alias("avg_excess"), r(F.avg("mdd")).alias("mdd"),
-        r(F.avg((zero("excess") > 0).cast("int"))).alias("opportunity_win_rate"), r(F.avg(zero("excess"))).alias("opportunity_excess"), r(F.avg(zero("mdd"))).alias("opportunity_mdd"),
+        r(F.avg((F.col("excess") > 0).cast("int"))).alias("win_rate"), r(F.avg("excess")).alias("avg_excess"), middle(F.col("excess")).alias("median_excess"), r(F.avg("ret")).alias("avg_return"), r(F.avg("mdd")).alias("mdd"),
+        r(F.avg((zero("excess") > 0).cast("int"))).alias("opportunity_win_rate"), r(F.avg(zero("excess"))).alias("opportunity_excess"), middle(zero("excess")).alias("opportunity_median"),
+        r(F.avg(zero("ret"))).alias("opportunity_return"), r(F.avg(zero("mdd"))).alias("opportunity_mdd"),
     )
 
 
+def _entry_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Breakout entries of the top five trend signals out of sample, by rule and length."""
+    return _entry_summary(_by_entry(spark, d, "breakout", _out_top5(spark, d)), ["rule", "days"])
+
+
 def _climax_positions(spark: SparkSession, d: str) -> DataFrame:
     """Top five trend signals out of sample of which half ends at the first climax."""
 
@@ -146,12 +159,13 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def _pullback_axis(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for name in [n for n, e in paths.ENTRIES.items() if e.kind == "pullback"]:
-        s, f = _filled(spark, d, name)
-        one = paths.with_benchmark(paths.held(s, f, run_of(d).horizons), f).withColumn("rule", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return backtest.summarize(_basis(out).filter("regime IS NOT NULL"), ["rule", "sample", "basis", "regime", "days"])
+    """Pullback entries of trend signals by rule, sample, basis, regime and length, groups without signals included."""
+    keys = ["rule", "sample", "basis", "regime", "days"]
+    every = _basis(_by_entry(spark, d, "pullback", _records(spark, d).filter("regime IS NOT NULL")))
+    rules = tuple(n for n, e in paths.ENTRIES.items() if e.kind == "pullback")
+    cells = {"rule": rules, "sample": SAMPLES, "basis": BASES, "regime": REGIMES, "days": run_of(d).horizons}
+    whole = backtest.with_empty_cells(_entry_summary(every, keys), cells)
+    return whole.withColumn("measured", F.coalesce("measured", F.lit(0).cast("long")))
 
 
 def _signal_performance(spark: SparkSession, d: str) -> DataFrame:
