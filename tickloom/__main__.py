@@ -1,4 +1,4 @@
-"""python -m tickloom --data=FOLDER [--universe=NAME|FILE] [--step=N] [--warmup=N] [--buffer=N] [--horizons=A,B,...] [--out=FOLDER] QUERY ...
+"""python -m tickloom --data=FOLDER [--universe=NAME|FILE] [--step=N] [--warmup=N] [--buffer=N] [--horizons=A,B,...] [--until=DATE] [--out=FOLDER] QUERY ...
 
 Runs the named queries and writes each to a folder of its name below --out, or prints its first rows.
 """

@@ -16,10 +16,11 @@ def table(spark: SparkSession, d: str | Run, name: str) -> DataFrame:
 
 def bars(spark: SparkSession, d: str | Run) -> DataFrame:
     """ticker, sector, pos, date, idx, open, high, low, close, volume, block of the run's universe."""
-    universe = run_of(d).universe
-    if universe not in UNIVERSES:
-        return with_blocks(read_universe(spark, universe, lines=True)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ticker")
-    return _walk(spark, _suppliers(spark, d) if universe == UNIVERSES[0] else _customers(spark, d))
+    run = run_of(d)
+    known = lambda df: df if run.until is None else df.filter(F.col("date") <= F.lit(run.until).cast("date"))
+    if run.universe not in UNIVERSES:
+        return known(with_blocks(read_universe(spark, run.universe, lines=True))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ticker")
+    return _walk(spark, known(_suppliers(spark, d) if run.universe == UNIVERSES[0] else _customers(spark, d)))
 
 
 def _named(by_key: DataFrame, names: DataFrame, key: str) -> DataFrame:
