@@ -476,3 +476,35 @@ def test_tokens_of_rows_without_or_with_one_id(spark):
     in_order = sorted(got, key=lambda r: r["start"])
     assert [r["start"] for r in in_order] == [sum(x["n_tokens"] for x in in_order[:k]) for k in range(len(in_order))]
     assert [r["doc_id"] for r in in_order] == sorted((r["doc_id"] for r in got), key=lambda i: (i is not None, i or 0))
+
+
+def test_index_finds_every_pair_within_the_radius(spark):
+    """Pairs come from the block index alone: random fingerprints and near ones, against all pairs of equal lengths."""
+    rng = random.Random(15)
+    items = [(i, 20 + i % 3, rng.getrandbits(64)) for i in range(60)]
+    windows = []
+    for k in range(600):
+        _, m, fp = rng.choice(items)
+        for b in rng.sample(range(64), rng.randint(0, 30)):
+            fp ^= 1 << b
+        windows.append((k, m if k % 5 else 99, fp))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    left = spark.createDataFrame([(k, m, signed(f)) for k, m, f in windows], "k int, m int, fp long")
+    right = spark.createDataFrame([(i, m, signed(f)) for i, m, f in items], "i int, m int, item_fp long")
+    probes = left.select("k", "m", "fp", F.explode(decontamination._index_keys(F.col("fp"), True)).alias("key"))
+    index = right.select("i", "m", "item_fp", F.explode(decontamination._index_keys(F.col("item_fp"), False)).alias("key"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= decontamination.RADIUS
+    got = {(r["k"], r["i"]) for r in probes.join(index, ["m", "key"]).filter(near).select("k", "i").distinct().collect()}
+    want = {(k, i) for k, m, f in windows for i, n, g in items if m == n and (f ^ g).bit_count() <= decontamination.RADIUS}
+    assert got == want and len(want) > 300
+
+
+def test_short_items(spark):
+    docs = spark.createDataFrame(
+        [(1, "so: Electroencephalography, machines hum"), (2, "a b c d e f g"), (3, "これはとても長い日本語の文章です ok"), (4, "machines electroencephalography"), (None, "electroencephalography MACHINES"), (5, None), (6, "")],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(10, "electroencephalography machines"), (11, "a b"), (12, "これはとても長い日本語の文章です"), (13, ""), (14, None), (None, "Machines hum electro")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["window"]) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(1, 10): (1.0, 1), (3, 12): (1.0, 0), (None, 10): (1.0, 0)}
+    assert sorted(r["doc_id"] for r in decontamination.without_contaminated(docs, items).collect()) == [2, 4, 5, 6]
