@@ -106,11 +106,11 @@ def entry_state(f: DataFrame) -> DataFrame:
 
 
 def exit_signals(f: DataFrame) -> DataFrame:
-    """x1, x2, x4, x5: nullable booleans per bar."""
+    """x1, x2, x4, x5: nullable booleans per bar; x5_date and x5_ret of the worst day since the last breakout."""
     c, v = F.col("close"), F.col("volume")
     inside = Window.partitionBy("ticker", "segment").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     after = (F.col("segment") > 0) & (F.col("since_breakout") > 0)
-    worst = F.min(F.when(after, F.struct("ret", "idx", F.coalesce(v >= VOL_MULT * F.col("vsma50"), F.lit(False)).alias("ok")))).over(inside)
+    worst = F.min(F.when(after, F.struct("ret", "idx", "date", F.coalesce(v >= VOL_MULT * F.col("vsma50"), F.lit(False)).alias("ok")))).over(inside)
     return f.withColumns(
         {
             "x1": c < F.col("sma50"),
@@ -118,5 +118,7 @@ def exit_signals(f: DataFrame) -> DataFrame:
             "x2": F.when(F.col("ema26").isNotNull(), F.coalesce(F.col("since_dead_cross") < 5, F.lit(False))),
             "x4": F.when(F.col("sma50").isNotNull(), (F.col("ret10") >= 25) & ((c - F.col("sma50")) / F.col("sma50") * 100 >= 25)),
             "x5": F.when(after, (F.col("idx") - worst["idx"] <= 4) & worst["ok"]),
+            "x5_date": F.when(after, worst["date"]),
+            "x5_ret": F.when(after, worst["ret"]),
         }
     )

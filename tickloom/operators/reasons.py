@@ -21,6 +21,35 @@ STAGE, STRENGTH, TIGHT, NEAR = "Stage 2 추세", "RS 상위 ", "변동성 수축
 UNKNOWN_EPS, UNKNOWN_REVENUE, UNKNOWN_ROE = "EPS 성장률 판정불가", "매출 성장률 판정불가", "ROE 판정불가"
 
 
+#: How strong an exit signal is, as published (fixed values): strong, medium, information, warning.
+STRONG, MEDIUM, INFORMATION, WARNING = "강", "중", "정보", "경고"
+
+
+def _fixed(x: Column, digits: int) -> Column:
+    return half_up(x, digits).cast(f"decimal(18,{digits})").cast("string")
+
+
+def exit_evidence(s: DataFrame) -> DataFrame:
+    """eval_date, ticker, code, strength, evidence of each exit signal that fires. s: the snapshot with x1 to x5 and what they rest on.
+
+    The phrases are published (fixed values).
+    """
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    strong = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)), STRONG).otherwise(MEDIUM)
+    loud = F.when(F.coalesce("x1_strong", F.lit(False)), " · 거래량 동반").otherwise("")
+    missed = F.concat_ws(", ", *[F.when(~F.col(f"t{k}"), f"T{k}") for k in range(1, 9)])
+    over = (F.col("close") - F.col("sma50")) / F.col("sma50") * 100
+    found = {
+        "X1": (F.col("x1"), strong("x1_strong"), text("50일선 이탈 (종가 ", _fixed(F.col("close"), 2), " < SMA50 ", _fixed(F.col("sma50"), 2), ")", loud)),
+        "X2": (F.col("x2"), F.lit(MEDIUM), text("EMA12가 EMA26을 하향 교차 (최근 5거래일 내)")),
+        "X3": (F.col("x3"), strong("x3_strong"), text("트렌드 템플릿 ", F.col("missing").cast("string"), "개 조건 미충족 (", missed, ")")),
+        "X4": (F.col("x4"), F.lit(INFORMATION), text("10거래일 수익률 +", _fixed(F.col("ret10"), 1), "% · SMA50 이격 +", _fixed(over, 1), "% — 단기 급등(클라이맥스 런) 패턴 감지")),
+        "X5": (F.col("x5"), F.lit(WARNING), text("돌파 후 최대 낙폭일(", F.col("x5_date").cast("string"), ", ", _fixed(F.col("x5_ret") * 100, 1), "%)이 최근 5거래일 내 + 거래량 동반")),
+    }
+    each = F.array_compact(F.array(*[F.when(x, F.struct(F.lit(code).alias("code"), how.alias("strength"), why.alias("evidence"))) for code, (x, how, why) in found.items()]))
+    return s.select("eval_date", "ticker", F.inline(each))
+
+
 def _whole(x: Column) -> Column:
     return F.floor(x + 0.5).cast("string")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.config import ATR_STOP, MIN_BARS, PRESETS, REGIMES, SAMPLES, STEP, STOP, STRATEGIES, YEAR, custom_preset
 from tickloom.functions.exprs import by, guarded, half_up, last
-from tickloom.operators import backtest, filters, fundamentals, paths, screening, variants
+from tickloom.operators import backtest, filters, fundamentals, paths, reasons, screening, variants
 from tickloom.operators.indicators import entry_state, indicators
 from tickloom.plans import backtest_queries, queries
 from tickloom.plans.queries import QUERY, _perf, _priced, _regimes, _sampled, _signals, _snapshot
@@ -43,6 +43,10 @@ def _bundle(spark: SparkSession, d: str) -> DataFrame:
     return _with_x3(spark, d).select("eval_date", "ticker", fired.alias("codes"), count(lambda x: F.coalesce(x, F.lit(False))).alias("fired"), count(lambda x: x.isNotNull()).alias("judged"))
 
 
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    return reasons.exit_evidence(_with_x3(spark, d))
+
+
 def _universe_stats(spark: SparkSession, d: str) -> DataFrame:
     n = bars(spark, d).groupBy("ticker").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_BARS)
     short = F.count_if(F.col("n") < YEAR)
@@ -259,6 +263,7 @@ def _admission(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, QUERY] = {
     "template_breakdown": _breakdown,
     "exit_signal_bundle": _bundle,
+    "exit_evidence": _evidence,
     "universe_stats": _universe_stats,
     "effective_samples": _effective,
     "current_regime": _current_regime,

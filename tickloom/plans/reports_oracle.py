@@ -12,7 +12,7 @@ _BASE = f"(SELECT signals AS base_signals, win_rate AS base_win_rate, avg_excess
 #: Positions of which half ends at a climax, unrounded and with their regime.
 _PARTIAL = _BT["climax_partial"].replace(f"{_r('ret - bench')} AS excess", "ret - bench AS excess, regime").replace(f"{_r('mdd')} AS mdd", "mdd").replace("JOIN fall USING (eval_date, ticker)", "JOIN fall USING (eval_date, ticker) JOIN (SELECT eval_date, ticker, regime FROM rec) USING (eval_date, ticker)")
 _PARTIAL_BY_REGIME = f"SELECT 'exit_climax_partial', regime, COUNT(*), {_r('AVG((excess > 0)::INT)', 4)}, {_r('AVG(excess)', 4)}, {_r('MEDIAN(excess)', 4)}, {_r('AVG(mdd)', 4)}, {_r('AVG(triggered::INT)', 4)}, {_r('AVG(held)', 4)} FROM ({_PARTIAL}) WHERE regime IS NOT NULL GROUP BY regime"
-_X3 = "s3 AS (SELECT s.*, ex.x1, ex.x2, ex.x4, ex.x5, CASE WHEN full_year THEN 8 - n_passed END AS missing, CASE WHEN full_year THEN 8 - n_passed >= 3 END AS x3 FROM s JOIN ex USING (ticker, idx))"
+_X3 = "s3 AS (SELECT s.*, ex.x1, ex.x1_strong, ex.x2, ex.x4, ex.x5, CASE WHEN full_year THEN 8 - n_passed END AS missing, CASE WHEN full_year THEN 8 - n_passed >= 3 END AS x3 FROM s JOIN ex USING (ticker, idx))"
 _CODES = ", ".join(f"CASE WHEN x{k} THEN 'X{k}' END" for k in range(1, 6))
 _LINES = """ln AS (SELECT s_suppkey AS line, CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 19 = 3 THEN '(w/i)' ELSE ' ' || LOWER(n_name) || CASE s_suppkey % 11 WHEN 0 THEN ' (W/I) *' WHEN 1 THEN '**' WHEN 2 THEN '.b' ELSE '' END END AS ticker,
   CASE WHEN s_suppkey % 13 = 0 THEN '' ELSE s_name END AS name, CASE WHEN s_suppkey % 17 = 0 THEN '' ELSE r_name END AS sector,
@@ -45,6 +45,10 @@ UNION ALL SELECT 'topIsPartOfAll', SUM(CASE WHEN basis = 'top5' THEN signals ELS
 """
 
 
+def _fixed(x: str, digits: int) -> str:
+    return f"CAST(CAST({_r(x, digits)} AS DECIMAL(18, {digits})) AS VARCHAR)"
+
+
 def _of(n: int, c: str) -> str:
     return f"MAX(CASE WHEN days = {n} THEN {c} END) AS {c}_{n}"
 
@@ -55,6 +59,19 @@ SQL: dict[str, str] = {
         [*_CROSS, EXITS, _X3],
         f"SELECT eval_date, ticker, CONCAT_WS(',', {_CODES}) AS codes, CAST({' + '.join(f'COALESCE(x{k}, FALSE)::INT' for k in range(1, 6))} AS BIGINT) AS fired, CAST({' + '.join(f'(x{k} IS NOT NULL)::INT' for k in range(1, 6))} AS BIGINT) AS judged FROM s3",
     ),
+    "exit_evidence": _sql(
+        [*_CROSS, EXITS, _X3, "xw AS (SELECT xd.ticker, xd.idx, xd.low_ret, b.date AS low_date FROM xd JOIN bars b ON b.ticker = xd.ticker AND b.idx = xd.low_at)"],
+        " UNION ALL ".join(
+            f"SELECT eval_date, ticker, '{code}' AS code, {strength} AS strength, {text} AS evidence FROM s3 {join} WHERE {code.lower()}"
+            for code, strength, text, join in (
+                ("X1", "CASE WHEN x1_strong THEN '강' ELSE '중' END", f"'50일선 이탈 (종가 ' || {_fixed('close', 2)} || ' < SMA50 ' || {_fixed('sma50', 2)} || ')' || CASE WHEN x1_strong THEN ' · 거래량 동반' ELSE '' END", ""),
+                ("X2", "'중'", "'EMA12가 EMA26을 하향 교차 (최근 5거래일 내)'", ""),
+                ("X3", "CASE WHEN t1 AND t5 THEN '중' ELSE '강' END", "'트렌드 템플릿 ' || missing || '개 조건 미충족 (' || CONCAT_WS(', ', " + ", ".join(f"CASE WHEN NOT t{k} THEN 'T{k}' END" for k in range(1, 9)) + ") || ')'", ""),
+                ("X4", "'정보'", f"'10거래일 수익률 +' || {_fixed('ret10', 1)} || '% · SMA50 이격 +' || {_fixed('(close - sma50) / sma50 * 100', 1)} || '% — 단기 급등(클라이맥스 런) 패턴 감지'", ""),
+                ("X5", "'경고'", f"'돌파 후 최대 낙폭일(' || low_date || ', ' || {_fixed('low_ret * 100', 1)} || '%)이 최근 5거래일 내 + 거래량 동반'", "JOIN xw USING (ticker, idx)"),
+            )
+        ),
+    ),
     "universe_stats": _sql([BARS], f"SELECT COUNT(*) AS tickers, COUNT(*) FILTER (WHERE n < 252) AS short_history, {_r('COUNT(*) FILTER (WHERE n < 252) / NULLIF(COUNT(*), 0)', 4)} AS short_ratio FROM (SELECT COUNT(*) AS n FROM bars GROUP BY ticker) WHERE n >= 110"),
     "effective_samples": f"SELECT strategy, sample, basis, days, signals, {_r('days / 5.0::DOUBLE', 4)} AS overlap_factor, {_r('signals / (days / 5.0::DOUBLE)', 4)} AS effective FROM ({_TABLE}) WHERE quality = 'all'",
     "current_regime": _sql([*_DAILY, oracle.CALENDAR, REGIME], f"SELECT date, {_r('breadth')} AS breadth, regime, transition_date FROM reg WHERE breadth IS NOT NULL ORDER BY date DESC LIMIT 1"),
