@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.config import Preset
+from tickloom.config import PRESETS, STRATEGIES, Preset
 from tickloom.functions.exprs import bars_since, half_up
 from tickloom.operators import screening
 
 #: Thresholds of the variants (fixed values).
+CONSENSUS_WEIGHTS = (0.5, 0.6, 0.4)
 SWEET_LOW, SWEET_HIGH, OVERHEATED, ADX_MIN, OLDEST = 3.0, 8.0, 15.0, 20.0, 10
 
 
@@ -40,6 +44,52 @@ def weighted_consensus(both: DataFrame, trend_weight: float = 0.6) -> DataFrame:
     return both.select("eval_date", "ticker", "stars", half_up(pct, 4).alias("pct"))
 
 
+def weighted_rankings(both: DataFrame, weights: tuple[float, ...] = CONSENSUS_WEIGHTS) -> DataFrame:
+    """trend_weight, eval_date, ticker, stars, pct, rank: the consensus ranked under each weight of the trend list, all in one pass."""
+    each = both.withColumn("trend_weight", F.explode(F.array(*map(F.lit, weights))))
+    w = F.col("trend_weight")
+    each = each.withColumn("pct", half_up(F.when(F.col("stars") == 2, F.col("a") * w + F.col("b") * (1 - w)).otherwise(F.coalesce("a", "b")), 8))
+    order = Window.partitionBy("trend_weight", "eval_date").orderBy(F.desc("stars"), F.desc("pct"), F.col("trend_rank").asc_nulls_last(), "template_rank")
+    return each.select("trend_weight", "eval_date", "ticker", "stars", "pct", F.row_number().over(order).alias("rank"))
+
+
+@dataclass(frozen=True)
+class Lists:
+    """What a variant starts from: the snapshot, the published lists without the regime's gate, and their consensus."""
+
+    snapshot: DataFrame
+    trend: DataFrame
+    template: DataFrame
+
+    def both(self) -> DataFrame:
+        return screening.consensus(self.trend, self.template)
+
+
+@dataclass(frozen=True)
+class Variant:
+    """apply: eval_date, ticker, rank of the changed list. baseline: the strategies that it is measured against."""
+
+    name: str
+    baseline: tuple[str, ...]
+    apply: Callable[[Lists], DataFrame]
+
+
+VARIANTS: dict[str, Variant] = {}
+
+
+def register(variant: Variant) -> Variant:
+    """Make a variant known to the evaluation; names are unique, and a baseline must name strategies."""
+    if variant.name in VARIANTS or not variant.baseline or not set(variant.baseline) <= set(STRATEGIES):
+        raise ValueError(f"not a new variant with a known baseline: {variant.name}, {variant.baseline}")
+    VARIANTS[variant.name] = variant
+    return variant
+
+
+register(Variant("disparity_inverted_u", STRATEGIES[:1], lambda x: inverted_u(x.snapshot, x.trend)))
+register(Variant("adx_gate", STRATEGIES[:1], lambda x: adx_gate(x.snapshot, PRESETS["default"])))
+register(Variant("consensus_weighted", STRATEGIES[2:], lambda x: weighted_rankings(x.both(), (0.6,))))
+
+
 def cohort(days: Column) -> Column:
     return F.when(days.isNull() | (days >= OLDEST), "no_recent_breakout").when(days == 0, "0d").when(days <= 2, "1-2d").when(days <= 4, "3-4d").otherwise("5d+")
 

@@ -127,14 +127,8 @@ def _intersection(spark: SparkSession, d: str) -> DataFrame:
 def _variants(spark: SparkSession, d: str) -> DataFrame:
     """Top five of each scoring variant out of sample, 20 bars on, against the published lists."""
     s, trend, template = backtest_queries._ungated(spark, d)
-    both = screening.consensus(trend, template)
-    weighted = half_up(F.when(F.col("stars") == 2, F.col("a") * 0.6 + F.col("b") * (1 - 0.6)).otherwise(F.coalesce("a", "b")), 8)
-    order = Window.partitionBy("eval_date").orderBy(F.desc("stars"), F.desc(weighted), F.col("trend_rank").asc_nulls_last(), "template_rank")
-    lists = {
-        "disparity_inverted_u": (variants.inverted_u(s, trend), STRATEGIES[:1]),
-        "adx_gate": (variants.adx_gate(s, PRESETS["default"]), STRATEGIES[:1]),
-        "consensus_weighted": (both.withColumn("rank", F.row_number().over(order)), STRATEGIES[2:]),
-    }
+    start = variants.Lists(s, trend, template)
+    lists = {v.name: (v.apply(start), v.baseline) for v in variants.VARIANTS.values()}
     b = _priced(spark, d)
     forward = backtest.forward_returns(b, (20,))
     bench, now, out = backtest.benchmark(forward), _perf(spark, d).filter("rank <= 5 AND sample = 'out' AND days = 20"), None
@@ -156,6 +150,11 @@ def _variants(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumns({"sufficient_sample": enough, "meets_criteria": enough & F.coalesce((F.col("excess_delta") > 0) & (F.col("win_rate_delta") > 0), F.lit(False))})
 
 
+def _weight_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The consensus under each weight of the grid, ranked."""
+    return variants.weighted_rankings(variants.Lists(*backtest_queries._ungated(spark, d)).both())
+
+
 def _weights(spark: SparkSession, d: str) -> DataFrame:
     """Scores of the trend list as shares of a portfolio; null where they add up to nothing."""
     trend = screening.trend_recommend(_snapshot(spark, d)[1], PRESETS["default"])
@@ -274,6 +273,7 @@ QUERIES: dict[str, QUERY] = {
     "climax_comparison": _climax_comparison,
     "hurdle_intersection": _intersection,
     "variant_evaluation": _variants,
+    "consensus_weight_grid": _weight_grid,
     "portfolio_weights": _weights,
     "sparkline_points": _spark_points,
     "confidence_summary": _confidence,

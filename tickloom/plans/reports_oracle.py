@@ -102,6 +102,12 @@ SQL: dict[str, str] = {
         SELECT variant, COALESCE(p.signals, 0) AS signals, COALESCE(b.signals, 0) AS base_signals, {_r('p.e - b.e', 4)} AS excess_delta, {_r('p.w - b.w', 4)} AS win_rate_delta
         FROM (SELECT UNNEST(['disparity_inverted_u', 'adx_gate', 'consensus_weighted']) AS variant) n LEFT JOIN vp p USING (variant) LEFT JOIN vbase b USING (variant))""",
     ),
+    "consensus_weight_grid": _sql(
+        [*_ALL, _VARIANTS.split("uc AS (")[0].split("tr3 WHERE signal AND COALESCE(adx14, 0) >= 20),")[1].strip().rstrip(",")],
+        f"""SELECT w AS trend_weight, eval_date, ticker, stars, pct, ROW_NUMBER() OVER (PARTITION BY w, eval_date ORDER BY stars DESC, pct DESC, ra NULLS LAST, rb) AS rank FROM (
+        SELECT w, COALESCE(a.eval_date, b.eval_date) AS eval_date, COALESCE(a.ticker, b.ticker) AS ticker, a.rank AS ra, b.rank AS rb, CASE WHEN a.ticker IS NOT NULL AND b.ticker IS NOT NULL THEN 2 ELSE 1 END AS stars,
+        {_r('COALESCE(a.pct * w + b.pct * (1 - w), a.pct, b.pct)', 8)} AS pct FROM ua a FULL JOIN ub b ON a.eval_date = b.eval_date AND a.ticker = b.ticker CROSS JOIN (SELECT UNNEST([0.5::DOUBLE, 0.6::DOUBLE, 0.4::DOUBLE]) AS w))""",
+    ),
     "portfolio_weights": _sql([*_CROSS, _trend("default")], f"SELECT eval_date, ticker, {_r('score / NULLIF(SUM(score) OVER (PARTITION BY eval_date), 0)')} AS weight FROM trend"),
     "sparkline_points": _sql([BARS], f"SELECT ticker, idx, {_r('COALESCE((close - lo) / NULLIF(hi - lo, 0), 0.5)')} AS y FROM (SELECT *, MIN(close) OVER (PARTITION BY ticker) AS lo, MAX(close) OVER (PARTITION BY ticker) AS hi FROM (SELECT * FROM bars QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY idx DESC) <= 63))"),
     "confidence_summary": f"""SELECT *, signals_20 = 0 OR win_rate_20 IS NULL OR avg_excess_20 IS NULL AS insufficient_20, signals_60 = 0 OR win_rate_60 IS NULL OR avg_excess_60 IS NULL AS insufficient_60, {_r('signals_60 / 12.0::DOUBLE', 4)} AS effective_60 FROM (
