@@ -11,7 +11,7 @@ from tickloom.config import STATES, STRATEGIES
 from tickloom.functions.exprs import half_up
 from tickloom.operators import backtest, screening, variants
 from tickloom.plans import queries
-from tickloom.plans.queries import QUERY, _basis, _dates, _features, _perf, _quality
+from tickloom.plans.queries import QUERY, _basis, _dates, _features, _perf, _quality, _screened
 from tickloom.run import Run, run_of
 from tickloom.sources.stage import staged
 
@@ -28,7 +28,7 @@ ALWAYS = ["strategy", "sample", "basis", "quality", "days"]
 
 
 def _cohorts(spark: SparkSession, d: str | Run) -> DataFrame:
-    return variants.freshness(_features(spark, d)).withColumnRenamed("date", "eval_date")
+    return variants.freshness(_screened(spark, d)).withColumnRenamed("date", "eval_date")
 
 
 def _axes(spark: SparkSession, d: str | Run) -> DataFrame:
@@ -36,7 +36,7 @@ def _axes(spark: SparkSession, d: str | Run) -> DataFrame:
 
     A set is told by which keys it leaves out, so an unknown regime isn't taken for the total over all regimes.
     """
-    state = _features(spark, d).select("ticker", F.col("date").alias("eval_date"), "state")
+    state = _screened(spark, d).select("ticker", F.col("date").alias("eval_date"), "state")
     p = _perf(spark, d).join(state, ["eval_date", "ticker"]).join(_cohorts(spark, d), ["eval_date", "ticker"])
     cohort = F.when(F.col("strategy") == STRATEGIES[0], F.col("cross_cohort")).when(F.col("strategy") == STRATEGIES[1], F.col("pivot_cohort"))
     rows = _quality(_basis(p.withColumn("cohort", cohort)))

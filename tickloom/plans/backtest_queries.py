@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.config import BASES, COHORTS, PRESETS, REGIMES, SAMPLES, STATES, STRATEGIES
 from tickloom.functions.exprs import half_up
 from tickloom.operators import backtest, filters, fundamentals, paths, portfolio, screening, variants
-from tickloom.plans.queries import QUERY, _basis, _features, _lists, _perf, _regimes, _sampled, _signals, _snapshot
+from tickloom.plans.queries import QUERY, _basis, _features, _lists, _perf, _regimes, _sampled, _screened, _signals, _snapshot
 from tickloom.run import run_of
 from tickloom.sources.bars import bars, quarters
 from tickloom.sources.stage import staged
@@ -173,7 +173,7 @@ def _signal_performance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stated(spark: SparkSession, d: str) -> DataFrame:
-    state = _features(spark, d).select("ticker", F.col("date").alias("eval_date"), "state").filter("state <> 'undetermined'")
+    state = _screened(spark, d).select("ticker", F.col("date").alias("eval_date"), "state").filter("state <> 'undetermined'")
     return _perf(spark, d).join(state, ["eval_date", "ticker"])
 
 
@@ -188,7 +188,7 @@ def _state_regime_axis(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _freshness_axis(spark: SparkSession, d: str) -> DataFrame:
-    fresh = variants.freshness(_features(spark, d)).withColumnRenamed("date", "eval_date")
+    fresh = variants.freshness(_screened(spark, d)).withColumnRenamed("date", "eval_date")
     j = _perf(spark, d).filter(F.col("strategy").isin(*STRATEGIES[:2])).join(fresh, ["eval_date", "ticker"])
     j = j.withColumn("cohort", F.when(F.col("strategy") == STRATEGIES[0], F.col("cross_cohort")).otherwise(F.col("pivot_cohort")))
     table = backtest.summarize(j, ["strategy", "sample", "cohort", "days"])
@@ -236,13 +236,13 @@ def _policy_deltas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _signals_with_state(spark: SparkSession, d: str) -> DataFrame:
-    state = _features(spark, d).select("ticker", F.col("date").alias("eval_date"), "state")
+    state = _screened(spark, d).select("ticker", F.col("date").alias("eval_date"), "state")
     at = _regimes(spark, d).select(F.col("date").alias("eval_date"), "regime")
     return _signals(spark, d).join(state, ["eval_date", "ticker"], "left").join(at, "eval_date", "left")
 
 
 def _stated_all(spark: SparkSession, d: str) -> DataFrame:
-    state = _features(spark, d).select("ticker", F.col("date").alias("eval_date"), "state")
+    state = _screened(spark, d).select("ticker", F.col("date").alias("eval_date"), "state")
     return _perf(spark, d).join(state, ["eval_date", "ticker"])
 
 

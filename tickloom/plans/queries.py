@@ -65,19 +65,28 @@ def _exit_counts(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("ticker").agg(*[F.count_if(c).alias(c) for c in ("x1", "x2", "x4", "x5")])
 
 
-def _features(spark: SparkSession, d: str) -> DataFrame:
-    """Bars with all that screening, fills and exits look at; computed once a session."""
+#: Steps on the way to indicators, which nothing reads afterwards.
+STEPS = ("diff", "tr", "pdm", "mdm", "gain14", "loss14", "tr14", "pdm14", "mdm14", "dx", "fast_k", "boll_sd", "close_run", "volume_run")
+
+
+def _screened(spark: SparkSession, d: str) -> DataFrame:
+    """Bars with all that screening looks at; computed once a session."""
 
     def make() -> DataFrame:
-        f = pullback.pullbacks(entry_state(exit_signals(indicators(_priced(spark, d)))))
+        f = entry_state(exit_signals(indicators(_priced(spark, d))))
         averages = F.when(F.col("idx") >= 19, F.avg("obv").over(by().rowsBetween(-19, 0)))
-        return f.withColumns({"sma200_prior": F.lag("sma200", 22).over(by()), "obv20": averages})
+        return f.withColumns({"sma200_prior": F.lag("sma200", 22).over(by()), "obv20": averages}).drop(*STEPS)
 
-    return staged(spark, d, "features", make)
+    return staged(spark, d, "screened", make)
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    """The same with pullbacks, which fills and exits look at."""
+    return staged(spark, d, "features", lambda: pullback.pullbacks(_screened(spark, d)))
 
 
 def _snapshot(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = _features(spark, d)
+    f = _screened(spark, d)
     return f, staged(spark, d, "snapshot", lambda: screening.with_template(screening.snapshots(f, _dates(spark, d))))
 
 
