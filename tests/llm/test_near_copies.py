@@ -126,3 +126,27 @@ def test_rows_without_an_id_are_copies_too(spark):
     kept = simhash.first_of_each(docs, found).selectExpr("doc_id", "root", "xxhash64(text) AS h").collect()
     assert sorted((r["root"], r["doc_id"] or 0) for r in kept) == [(1, 5), (2, 0), (3, 7), (4, 0)]
     assert [r["h"] for r in kept if r["root"] == 2] == [least]
+
+
+def test_exact_keys_miss_nothing():
+    """Sets of up to 900 shingles at a similarity of 0.8 or a little more always share a key; a little less is not promised."""
+    rng = np.random.default_rng(16)
+    for _ in range(400):
+        n = int(rng.integers(1, 900))
+        both = int(np.ceil(0.8 * n))
+        pool = np.unique(rng.integers(0, 1 << 64, 2 * n + 4, dtype=np.uint64))
+        rng.shuffle(pool)
+        k = int(rng.integers(0, n - both + 1))
+        a = np.sort(pool[:n])
+        b = np.sort(np.concatenate((pool[: n - k], pool[n : n + max(0, int(np.floor((n - k) / 0.8 + 1e-9)) - n)])))
+        same = len(np.intersect1d(a, b))
+        if same / (len(a) + len(b) - same) >= 0.8:
+            assert len(np.intersect1d(near_copies.group_keys(a, True), near_copies.group_keys(b, True)))
+
+
+def test_exact_classes_of_long_texts(spark):
+    rng = random.Random(17)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(700)]
+    texts = [base, base[:640] + [f"x{k}" for k in range(60)], [f"y{k}" for k in range(60)] + base[60:], [f"z{k}" for k in range(700)], base[:350] + [f"v{k}" for k in range(350)]]
+    docs = spark.createDataFrame([(k, " ".join(t), "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] for r in near_copies.one_of_each_group(docs, exact=True).collect()) == [0, 3, 4]

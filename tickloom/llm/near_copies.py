@@ -11,6 +11,8 @@ ones each group is untouched with a chance of 0.4 or more, so a pair exactly at
 A group without shingles makes no key, which short texts can't afford: up to SHORT shingles the least hashes of a text
 are keys as well (prefix filter; a set similar to it holds at least ceil(SIMILARITY n) of its n, so both share one of the
 n - ceil(SIMILARITY n) + 1 least), at the same two levels. Texts whose similar texts are all that short have no others.
+With exact=True texts of every length are keyed that way and no pair is missed; a text of n shingles then has some 0.4 n
+keys in place of 40 at most, and travels with its set to as many buckets.
 
 Candidates never become rows of pairs. Texts travel with their sets of shingles to the buckets of their keys, where a
 task compares whole sets and returns the links of a spanning forest. Buckets of the same members count once. First each
@@ -74,16 +76,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def group_keys(h: np.ndarray) -> np.ndarray:
-    """Keys at both levels of a text's length: of its least hashes if it is short, of its used groups of shingles if not."""
+def group_keys(h: np.ndarray, exact: bool = False) -> np.ndarray:
+    """Keys at both levels of a text's length: of its least hashes if it is short, or if exact, of its used groups of shingles if not."""
     if not len(h):
         return np.zeros(1, np.uint64)
     keys, own = [], math.floor(math.log(len(h)) / -math.log(SIMILARITY) + 1e-9)
     for level in (own, own + 1):
-        if len(h) <= SHORT:
+        if exact or len(h) <= SHORT:
             least = h[: len(h) - math.ceil(SIMILARITY * len(h) - 1e-9) + 1]
             keys.append(_mixed(least + np.full(1, level + (1 << 32), np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        if len(h) <= SIMILARITY * SHORT + 1e-9:  # all that is similar to it is short, too
+        if exact or len(h) <= SIMILARITY * SHORT + 1e-9:  # all that is similar to it is short, too
             continue
         longest = SIMILARITY ** -(level + 1)
         groups = math.floor(2 * longest * (1 - SIMILARITY) / (1 + SIMILARITY)) + 1
@@ -103,7 +105,7 @@ def _listed(node: list[int], sets: list[np.ndarray], *more: tuple[str, pa.Array]
     return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), lists, *[x for _, x in more]], names=["text_hash", "hashes", *[n for n, _ in more]])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, exact: bool = False) -> DataFrame:
     """text_hash, hashes (its keys), fp, size (shingles) of every row of docs; equal texts of a batch once."""
     small_batches(docs.sparkSession)
 
@@ -113,7 +115,7 @@ def keyed(docs: DataFrame) -> DataFrame:
             for node, text in zip(b.column(0).to_pylist(), b.column(1)):
                 if node not in rows:
                     h = shingles(text.as_py())
-                    rows[node] = (int(_prints(h, np.zeros(1, np.int64))[0]) if len(h) else 0, group_keys(h).view(np.int64), len(h))
+                    rows[node] = (int(_prints(h, np.zeros(1, np.int64))[0]) if len(h) else 0, group_keys(h, exact).view(np.int64), len(h))
             fp = np.array([r[0] for r in rows.values()], dtype=np.uint64).view(np.int64)
             size = np.array([r[2] for r in rows.values()], dtype=np.int64)
             yield _listed(list(rows), [r[1] for r in rows.values()], ("fp", pa.array(fp)), ("size", pa.array(size)))
@@ -225,9 +227,9 @@ def _chunk(text_hash: str = "text_hash") -> Column:
     return F.pmod(F.xxhash64(F.lit("chunk"), text_hash), F.col("chunks")).cast("int")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, exact: bool = False) -> DataFrame:
     """text_hash, root (one text hash of the class) of every text of docs (text) that has a near-copy."""
-    nodes = materialize(keyed(docs).dropDuplicates(["text_hash"]), "nodes")
+    nodes = materialize(keyed(docs, exact).dropDuplicates(["text_hash"]), "nodes")
     met = materialize(buckets(nodes), "members")
     wanted = materialize(met.select("text_hash").distinct(), "wanted")
     sets = materialize(shingle_sets(docs, if_small(wanted, wanted.count())), "shingles")
@@ -248,10 +250,10 @@ def classes(docs: DataFrame) -> DataFrame:
     return components(near.union(more)).withColumnRenamed("node", "text_hash")
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def one_of_each_group(docs: DataFrame, exact: bool = False) -> DataFrame:
     """docs without near-copies: the row of least doc_id (then text hash) of each class stays; columns as they are."""
     with temporary(docs.sparkSession):
-        named = materialize(classes(docs), "classes")
+        named = materialize(classes(docs, exact), "classes")
         rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
         found = rows.join(if_small(named, named.count()), "text_hash", "left")
         found = found.select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))

@@ -27,6 +27,7 @@ six counts; a null doc_id is passed through; an empty table gives an empty resul
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -203,6 +204,9 @@ def mcd(rows: DataFrame) -> DataFrame:
         now = materialize(packed.mapInPandas(fit, "g string, start int, mu array<double>, inv array<double>, logdet double, floor array<double>, size double, fell double"), "mcd")
         if not now.filter(F.col("fell") >= CONVERGED).limit(1).count():
             break
+    else:
+        open_ = now.filter(F.col("fell") >= CONVERGED)
+        warnings.warn(f"{open_.count()} starts, of group {open_.first()['g']} the first, haven't converged in {STEPS} steps", stacklevel=2)
     best = now.groupBy("g").agg(F.min(F.struct("logdet", "start", "mu", "inv")).alias("b"))
     return materialize(best.select("g", "b.mu", "b.inv", "b.logdet"), "mcd")
 
