@@ -508,3 +508,26 @@ def test_short_items(spark):
     got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["window"]) for r in decontamination.contaminated(docs, items).collect()}
     assert got == {(1, 10): (1.0, 1), (3, 12): (1.0, 0), (None, 10): (1.0, 0)}
     assert sorted(r["doc_id"] for r in decontamination.without_contaminated(docs, items).collect()) == [2, 4, 5, 6]
+
+
+def test_texts_between_languages_are_flagged(spark):
+    """From one language to the other word by word: the choice is open somewhere on the way, and not at the ends."""
+    rng = random.Random(18)
+    learnt = [(i, sentence(rng, lang, 60), lang) for i, lang in enumerate(["en", "fr"] * 150)]
+    a, b = sentence(rng, "en", 800).split(), sentence(rng, "fr", 800).split()
+    mixed = [(1000 + k, " ".join(a[: 2 * k] + b[2 * k :]), None) for k in range(401)]
+    docs = spark.createDataFrame(learnt + mixed, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["_tl_lang"] for r in language.identify(docs).collect()}
+    way = [got[1000 + k] for k in range(401)]
+    assert (way[0]["lang"], way[-1]["lang"]) == ("fr", "en") and not way[0]["ambiguous"] and not way[-1]["ambiguous"]
+    assert any(w["ambiguous"] for w in way[40:361])
+    assert all(not got[i]["ambiguous"] and got[i]["lang"] == lang for i, _, lang in learnt)
+
+
+def test_rows_learnt_from_are_bounded_over_all_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "TRAIN_ROWS", 40)
+    seen = []
+    monkeypatch.setattr(language, "fit_bits", lambda x, y, code: seen.append(len(x)) or (np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), np.ones(code.shape[1], np.float32)))
+    rng = random.Random(19)
+    docs = spark.createDataFrame([(i, sentence(rng, "en", 5), f"l{i % 8}") for i in range(1600)], "doc_id long, text string, lang string")
+    assert set(language.train(docs)["langs"]) <= {f"l{k}" for k in range(8)} and 8 <= seen[0] <= 90

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import small_batches, table
 
-TRAIN_PER_LANG = 1_500
+#: Labelled rows that the model is fitted on: of each language, and of all (4 KB each on their way to the driver).
+TRAIN_PER_LANG, TRAIN_ROWS = 1_500, 40_000
 DIM = 2_048
 #: Two best losses closer than this share of the weights leave the language open.
 AMBIGUOUS_GAP = 0.02
@@ -105,6 +106,7 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> dict:
     langs = sorted(sizes)
     if not langs:
         return {"langs": []}
+    per_lang = max(1, min(per_lang, TRAIN_ROWS // len(langs)))
     rate = F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1.0, per_lang / sizes[lang]))])
     coin = F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id").cast("string")), F.lit(1_000_003)) / 1_000_003
 

@@ -23,7 +23,8 @@ two chunks and nothing is capped.
 
 Defined results: words are lower-cased in A-Z and parted by ASCII white space; a null text has no words; texts without
 words are copies of each other; fewer words than a shingle make one shingle; equal texts are one node, found by a
-64-bit hash; extra columns pass through; an empty table gives an empty result.
+64-bit hash; a very long text is keyed and compared with all its shingles; of equal doc_ids in a class the least text hash
+stays, and fully equal rows stay or go together but for one; extra columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations

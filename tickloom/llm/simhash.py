@@ -12,7 +12,10 @@ than CHUNK fingerprints is dealt into chunks and each two chunks meet in a task
 and no task holds more than two chunks at a time. Equal fingerprints are one node throughout.
 
 Defined results: a null text has no words (fingerprint zero); fewer words than a shingle make one shingle; repeated
-rows are each answered; a null doc_id takes part, but never names a component unless all of it have none.
+rows are each answered; a null doc_id takes part, but never names a component unless all of it have none; a very long text
+is fingerprinted whole, one text of a batch at a time; a bit set in exactly half of the hashes is 0, and of equal ids and
+fingerprints either stands for the others; other columns are left out; an empty table gives an empty result. A bucket's
+fingerprints are dealt into chunks and copied once for each two of them, n^2 / 1,024 for n different ones.
 """
 
 from __future__ import annotations

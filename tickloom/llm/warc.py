@@ -9,7 +9,9 @@ Payloads that occur more than once are stored with the smallest page_id and revi
 
 Defined results: a null html is an empty payload (all empty payloads are equal); a null url leaves the target URI
 out; a null page_id stays null, and is the response only where all pages of its payload have none; repeated rows
-are captured each; an empty table gives an empty result.
+are captured each, and all rows of the least page_id of a payload are responses; a very
+long payload is one record, compressed and read as a stream; other columns are left out; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
