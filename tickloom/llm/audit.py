@@ -23,6 +23,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations, permutations
 from math import ceil, factorial
@@ -159,8 +160,8 @@ def interactions(masks: DataFrame) -> DataFrame:
     orders = []
     for order in permutations(range(len(FILTERS))):
         for step, k in enumerate(order):
-            orders.append(("".join(FILTERS[j] for j in order), step + 1, bits[k], sum(bits[j] for j in order[:step])))
-    spark, m = masks.sparkSession, F.col("mask")
+            orders.append({"filter_order": "".join(FILTERS[j] for j in order), "step": step + 1, "own": bits[k], "before": sum(bits[j] for j in order[:step])})
+    m = F.col("mask")
     own, before = F.col("at.own"), F.col("at.before")
     rows = masks.select("*", F.explode(F.array(*[F.struct(F.lit(b).alias("own"), F.lit(p).alias("before")) for b, p in places])).alias("at"))
     fails, earlier = m.bitwiseAND(own) != 0, m.bitwiseAND(before) != 0
@@ -175,7 +176,8 @@ def interactions(masks: DataFrame) -> DataFrame:
     )
     times = F.element_at(F.array(*[F.lit(factorial(k) * factorial(len(FILTERS) - 1 - k)) for k in range(len(FILTERS))]), F.bit_count("before") + 1)
     by_place = by_place.withColumn("shapley", F.sum(F.col("removed") * times).over(Window.partitionBy("part", "own")))
-    steps = spark.createDataFrame(orders, "filter_order string, step int, own int, before int")  # 600 rows
+    # 600 rows, made without Python workers, whose memory executors hold beside that of the state.
+    steps = masks.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(orders)), "array<struct<filter_order:string,step:int,own:int,before:int>>")))
     return by_place.join(F.broadcast(steps), ["own", "before"]).select(
         "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"
     )
