@@ -59,7 +59,7 @@ def test_random_strings_are_found_and_names_left_alone(spark):
     assert sum(got[i] == [f"random:15:{15 + len(k)}"] for i, k in enumerate(keys)) >= 198
     names = [
         "internationalization-of-applications", "src/main/java/org/example/ApplicationContext.java", "x" * 300, "-" * 80, "=" * 80, "2024-01-02T03.04.05Z/2025", "123e4567-e89b-12d3-a456-426614174000",
-        hashlib.sha256(b"x").hexdigest().upper(), "sha256-" + "A1b2C3d4" * 5 + "AbC=", "etag: " + keys[0], "commit " + keys[1], "4111111111111111", "donaudampfschifffahrtsgesellschaft", "0x" + hashlib.md5(b"y").hexdigest().upper(),
+        hashlib.sha256(b"x").hexdigest().upper(), "sha256-" + "A1b2C3d4" * 5 + "AbC=", "etag: " + keys[0], "commit " + keys[1], "Einstschkeitieein", "einpfauaueinchpf", "EINPFAUAUEINCHPF", "4111111111111111", "donaudampfschifffahrtsgesellschaft", "0x" + hashlib.md5(b"y").hexdigest().upper(),
     ]
     left = find(spark, [(i, f"see {t} there", "", 0) for i, t in enumerate(names)])
     assert not any(left.values()), {names[i]: s for i, s in left.items() if s}

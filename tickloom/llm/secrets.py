@@ -42,9 +42,10 @@ RUN = re.compile(r"[A-Za-z0-9+/_.~-]{16,}={0,2}")
 PARTS = re.compile(r"[^/.]+")
 RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.~-="
 LEAST_RUN, PIECE, BEFORE = 16, 1024, 40
-#: Most characters a token of a random string: with letters of both cases or digits among letters, and of letters of one case,
-#: where invented words come nearer. Of 2,000 random strings of 32 hexadecimal digits 99 % stay below 2.01, of base64 below 1.55.
-MIXED, PLAIN = 2.0, 1.7
+#: Most characters a token of a random string: with letters of both cases (behind a capital) or digits among letters, and of letters
+#: of one case, where invented words come nearer and PLAIN_RUN letters are needed. Of 2,000 random strings of 32 hexadecimal
+#: digits 99 % stay below 2.01, of base64 below 1.55.
+MIXED, PLAIN, PLAIN_RUN = 2.0, 1.6, 24
 #: Digests and identifiers (fixed forms): UUID; hexadecimal of the usual lengths; numbers, dates, versions; integrity values.
 KNOWN = re.compile(
     r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
@@ -85,9 +86,11 @@ def _exposed(run: str, encoding) -> float | None:
     """The ratio, if it tells that run is random."""
     if len(run) < LEAST_RUN or KNOWN.fullmatch(run):
         return None
-    cases = [bool(re.search(c, run)) for c in ("[a-z]", "[A-Z]", "[0-9]")]
+    mixed = sum(bool(re.search(c, run[1:])) for c in ("[a-z]", "[A-Z]", "[0-9]")) > 1
+    if not mixed and len(run) < PLAIN_RUN:
+        return None
     few = ratio(run, encoding)
-    return few if few <= (MIXED if sum(cases) > 1 else PLAIN) else None
+    return few if few <= (MIXED if mixed else PLAIN) else None
 
 
 def random_spans(text: str, covered: list[tuple[int, int, int]], encoding) -> list[tuple[int, int, int, float]]:
