@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import combinations, permutations
 from math import ceil, factorial
 
@@ -44,6 +45,7 @@ TEXTS_A_BUCKET = 4000
 #: Micro-batches that the files are dealt into, unless the caller says how many files one takes.
 BATCHES = 4
 LAST = (1 << 63) - 1
+FILE_MANAGER = "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"
 COUNTED = ["part", "mask", "good", "toxic"]
 ROWS_SCHEMA = "bucket long, text_key binary, doc_id long, part string, mask int, good int, toxic int, n long"
 STATE = pa.schema([("text_key", pa.binary()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("good", pa.int32()), ("toxic", pa.int32()), ("n", pa.int64())])
@@ -112,6 +114,25 @@ def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     state.update((_packed(held),))
 
 
+@contextmanager
+def _few_processes(spark: SparkSession, folder: str) -> Iterator[None]:
+    """Settings for a stream that starts inside: on a plain local or mounted file system Hadoop starts a process (chmod,
+    readlink) for each state file and checksum file, which counts an executor's memory again while it starts. There, state
+    is written through the plain file system, whose rename is atomic, and without files of checksums.
+    """
+    wanted = {}
+    if "://" not in folder or folder.startswith("file:"):
+        wanted = {"spark.sql.streaming.checkpoint.fileChecksum.enabled": "false", "spark.sql.streaming.checkpointFileManagerClass": FILE_MANAGER}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def masks_by_part(spark: SparkSession, path: str, labels: DataFrame, files_a_batch: int | None = None) -> DataFrame:
     """part, mask of failed filters, n documents, of these good and toxic: the sums of all changes of the stream.
 
@@ -143,7 +164,8 @@ def masks_by_part(spark: SparkSession, path: str, labels: DataFrame, files_a_bat
         def write(df: DataFrame, number: int) -> None:
             df.groupBy(*COUNTED).agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{changes}/batch={number}")
 
-        query = moved.writeStream.outputMode("update").option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(write).start()
+        with _few_processes(spark, progress):
+            query = moved.writeStream.outputMode("update").option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()
         delete_folder(spark, progress)
     if not query.lastProgress:  # no file, so no batch
