@@ -23,35 +23,46 @@ def bars(spark: SparkSession, d: str | Run) -> DataFrame:
     return _walk(spark, known(_suppliers(spark, d) if run.universe == UNIVERSES[0] else _customers(spark, d)))
 
 
-def _named(by_key: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """cents and volume by nation (ticker, pos), region (sector) and date, from sums by a key of names."""
-    return (
-        by_key.join(names, key)
-        .groupBy(F.col("n_name").alias("ticker"), F.col("n_nationkey").cast("long").alias("pos"), F.col("r_name").alias("sector"), "date")
-        .agg(F.sum("cents").alias("cents"), F.sum("volume").alias("volume"))
-    )
+#: Suppliers or customers whose keys are broadcast, at most; beyond that Spark chooses the join (fixed value).
+BROADCAST_KEYS = 2_000_000
+
+
+def _owned(rows: DataFrame, owners: DataFrame, key: str, nation: str) -> DataFrame:
+    """rows with the nation (number) of the supplier or customer named by key. They stay where they are while its keys are few."""
+    of = owners.select(key, F.col(nation).alias("nation"))
+    return rows.join(F.broadcast(of) if owners.count() <= BROADCAST_KEYS else of, key)
 
 
 def _nations(spark: SparkSession, d: str | Run) -> DataFrame:
     return table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
 
 
+def _named(spark: SparkSession, d: str | Run, rows: DataFrame) -> DataFrame:
+    """cents and volume by nation (ticker, pos), region (sector) and date.
+
+    A supplier has few line items a day, so sums by supplier would be about as many rows as there are line items. Sums by
+    nation and day are few in each task, and only they are shuffled and named.
+    """
+    both = [F.sum("cents").alias("cents"), F.sum("volume").alias("volume")]
+    names = _nations(spark, d).withColumnRenamed("n_nationkey", "nation")
+    named = [F.col("n_name").alias("ticker"), F.col("nation").cast("long").alias("pos"), F.col("r_name").alias("sector")]
+    return rows.groupBy("nation", "date").agg(*both).join(names, "nation").groupBy(*named, "date").agg(*both)
+
+
 def _customers(spark: SparkSession, d: str | Run) -> DataFrame:
     """The second universe: orders by the customers' nations, their price in cents and their number."""
-    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
-    by_customer = orders.groupBy(F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("date")).agg(
-        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.count("*").alias("volume")
+    orders = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("date"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.lit(1).cast("long").alias("volume")
     )
-    return _named(by_customer, customer.join(_nations(spark, d), F.col("c_nationkey") == F.col("n_nationkey")), "c_custkey")
+    return _named(spark, d, _owned(orders, table(spark, d, "customer"), "c_custkey", "c_nationkey"))
 
 
 def _suppliers(spark: SparkSession, d: str | Run) -> DataFrame:
-    """Line items by the suppliers' nations; summed by supplier before names are joined, so the shuffle carries keys and two sums."""
-    line, supplier = table(spark, d, "lineitem"), table(spark, d, "supplier")
-    by_supplier = line.groupBy(F.col("l_suppkey").alias("s_suppkey"), F.to_date("l_shipdate").alias("date")).agg(
-        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.sum(F.col("l_quantity").cast("long")).alias("volume")
+    """Line items by the suppliers' nations, their price in cents and their quantity."""
+    line = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("s_suppkey"), F.to_date("l_shipdate").alias("date"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), F.col("l_quantity").cast("long").alias("volume")
     )
-    return _named(by_supplier, supplier.join(_nations(spark, d), F.col("s_nationkey") == F.col("n_nationkey")), "s_suppkey")
+    return _named(spark, d, _owned(line, table(spark, d, "supplier"), "s_suppkey", "s_nationkey"))
 
 
 def _walk(spark: SparkSession, day: DataFrame) -> DataFrame:
@@ -75,12 +86,14 @@ def _walk(spark: SparkSession, day: DataFrame) -> DataFrame:
 
 def quarters(spark: SparkSession, d: str | Run) -> DataFrame:
     """ticker, rn (1 is the newest of five), qn, eps, revenue, operating_margin, roe."""
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    o = o.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).filter("o_orderdate < TIMESTAMP '2001-07-01 00:00:00'")
+    orders = table(spark, d, "orders").filter("o_orderdate < TIMESTAMP '2001-07-01 00:00:00'")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    q = o.groupBy(F.col("n_name").alias("ticker"), F.col("n_nationkey").alias("nk"), (F.year("o_orderdate") * 4 + F.quarter("o_orderdate") - 1).cast("long").alias("qn")).agg(
-        F.sum(cents).cast("double").alias("rc"), F.count("*").cast("double").alias("cnt"), F.sum(F.when(F.col("o_orderstatus") == "F", cents).otherwise(0)).cast("double").alias("fc")
-    )
+    o = orders.select(
+        F.col("o_custkey").alias("c_custkey"), (F.year("o_orderdate") * 4 + F.quarter("o_orderdate") - 1).cast("long").alias("qn"), cents.alias("rc"), F.when(F.col("o_orderstatus") == "F", cents).otherwise(0).alias("fc")
+    )
+    sums = _owned(o, table(spark, d, "customer"), "c_custkey", "c_nationkey").groupBy("nation", "qn").agg(F.sum("rc").alias("rc"), F.count("*").alias("cnt"), F.sum("fc").alias("fc"))
+    names = table(spark, d, "nation").withColumnRenamed("n_nationkey", "nation")
+    q = sums.join(names, "nation").groupBy(F.col("n_name").alias("ticker"), F.col("nation").alias("nk"), "qn").agg(*[F.sum(c).cast("double").alias(c) for c in ("rc", "cnt", "fc")])
     q = q.withColumn("rn", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("qn")))).filter("rn <= 5")
     known = F.col("nk") % 11 != 7
     return q.select(
