@@ -5,6 +5,7 @@ import datetime
 import pytest
 from compare import oracle, rows
 
+from tickloom.plans import backtest_queries
 from tickloom.plans.catalogue import QUERIES, SQL
 from tickloom.sources import bars as source
 
@@ -47,3 +48,34 @@ def test_odd_rows_of_line_items(spark, monkeypatch):
     monkeypatch.setattr(source, "table", lambda spark, d, name: tables[name])
     got = sorted(map(tuple, source._suppliers(spark, SF).select("ticker", "pos", "sector", "date", "cents", "volume").collect()), key=repr)
     assert got == sorted([("a", 0, "r", day.date(), 312, 2), ("a", 0, "r", None, None, 1), ("b", 1, "r", day.date(), 200, 6)], key=repr)
+
+
+def test_policies_share_one_pass(spark):
+    """Three policies read the signals once, with their places, and the performance once."""
+    arms = backtest_queries._policy_arms(spark, SF)
+    scans = [x for x in plan(arms).splitlines() if "FileScan" in x and "strategy#" in x]
+    assert len(scans) == 2
+
+
+def test_policies_pick_in_place_of_what_they_drop(spark, monkeypatch):
+    """The arms of each policy, as picked in a loop from the signals: unknown states and regimes and more than five signals a date included."""
+    days, out = [datetime.date(2000, 1, k) for k in (3, 4)], []
+    signals = [(d, f"t{i}", s, i + 1, i % 2 == 0, ("1", "3", None, "2")[(i + k) % 4], ("down", None)[k]) for k, d in enumerate(days) for s in ("trend", "consensus_2star", "consensus_1star") for i in range(8) if s == "trend" or (i < 3) == (s == "consensus_2star")]
+    every = spark.createDataFrame(signals, "eval_date date, ticker string, strategy string, rank int, relaxed boolean, state string, regime string")
+    measured = [(d, t, s, 20, "out", 0.5) for d, t, s, *_ in signals if t != "t1"]
+    perf = spark.createDataFrame(measured, "eval_date date, ticker string, strategy string, days int, sample string, excess double")
+    monkeypatch.setattr(backtest_queries, "_signals_with_state", lambda spark, d: every)
+    monkeypatch.setattr(backtest_queries, "_sampled", lambda spark, d, df: df.selectExpr("*", "'out' AS sample"))
+    monkeypatch.setattr(backtest_queries, "_perf", lambda spark, d: perf)
+    keeps = {
+        "relax_off_in_downturn": (("trend",), lambda s: not (s[6] == "down" and s[4])),
+        "twostar_only_in_downturn": (("consensus_2star", "consensus_1star"), lambda s: not (s[6] == "down" and s[2] == "consensus_1star")),
+        "actionable_only_top5": (("trend",), lambda s: s[5] in ("1", "2")),
+    }
+    for name, (names, keep) in keeps.items():
+        for d in days:
+            pool = sorted((s for s in signals if s[0] == d and s[2] in names), key=lambda s: s[3])
+            for arm, picked in (("policy", [s for s in pool if keep(s)][:5]), ("baseline", [s for s in pool if s[3] <= 5])):
+                out += [(name, arm, d, s[1], s[2]) for s in picked if s[1] != "t1"]
+    got = backtest_queries._policy_arms(spark, SF).select("policy", "arm", "eval_date", "ticker", "strategy").collect()
+    assert sorted(map(tuple, got)) == sorted(out)
